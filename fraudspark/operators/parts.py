@@ -1,0 +1,52 @@
+"""Lists per key in parts of bounded size.
+
+`collect_list` puts a whole key in one row. Here a key with more than `part_size` items is spread
+over several parts by a hash of the item, so no row and no task holds more than about one part.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+PART_SIZE = 10_000
+
+
+def add_part(
+    df: DataFrame, keys: Sequence[str], item_id: Column, *, part_size: int = PART_SIZE
+) -> DataFrame:
+    """Add `part` (0-based) and `n_parts`; keys of up to `part_size` rows have one part."""
+    keys = list(keys)
+    large = (
+        df.groupBy(*keys)
+        .agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") > part_size)
+        .select(*keys, F.ceil(F.col("_n") / part_size).cast("int").alias("_parts"))
+    )
+    n_parts = F.coalesce(F.col("_parts"), F.lit(1))
+    return (
+        df.join(large, keys, "left")
+        .withColumn("n_parts", n_parts)
+        .withColumn("part", F.pmod(F.xxhash64(item_id), F.col("n_parts")).cast("int"))
+        .drop("_parts")
+    )
+
+
+def collect_parts(
+    df: DataFrame,
+    keys: Sequence[str],
+    items: dict[str, Column],
+    item_id: Column,
+    *,
+    part_size: int = PART_SIZE,
+) -> DataFrame:
+    """(keys, part, n_parts, one sorted array per entry of `items`); NULL items are left out."""
+    keys = list(keys)
+    parted = add_part(df, keys, item_id, part_size=part_size)
+    # Without this shuffle the grouping would reuse the placement by key alone.
+    spread = parted.repartition(*keys, "part")
+    return spread.groupBy(*keys, "part", "n_parts").agg(
+        *[F.array_sort(F.collect_list(c)).alias(n) for n, c in items.items()]
+    )
