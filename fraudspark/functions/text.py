@@ -109,7 +109,7 @@ def owner_name(business: Column, first: Column, last: Column) -> Column:
 
 def split_list(value: Column) -> Column:
     """Comma list to an array of trimmed items."""
-    return F.transform(F.split(value, ","), F.trim)
+    return F.transform(F.split(value, ","), lambda item: F.trim(item))
 
 
 def has_company_word(name: Column) -> Column:

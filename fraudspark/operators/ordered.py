@@ -3,7 +3,7 @@
 A plain window puts every row of a key in one task. When the largest key is small that is the
 cheapest plan and it is used. Otherwise the rows are range-partitioned by (key, order), which
 cuts a hot key into many slices; each slice is scanned on its own and receives the totals of
-the slices before it. Both ways give the same rows.
+the slices before it. Both ways give the same rows. A table without a key is always sliced.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def running(
     """
     sums, lasts, previous = sums or {}, lasts or {}, previous or {}
     keys, order = list(keys), list(order)
-    if largest_group(df, keys) <= group_limit:
+    if keys and largest_group(df, keys) <= group_limit:
         return _scan(df, keys, order, sums, lasts, previous)
 
     # The slice of a row is stored with it, so a lost executor cannot move rows between slices.
@@ -113,7 +113,7 @@ def range_counts(
     rows = events.select(*keys, ts, row_id).na.drop().withColumn("_at", micros(F.col(ts)))
     lower = F.col("_at") - days_before * MICROS_PER_DAY
     upper = F.col("_at") + days_after * MICROS_PER_DAY
-    if largest_group(rows, keys) <= group_limit:
+    if keys and largest_group(rows, keys) <= group_limit:
         by_time = Window.partitionBy(*keys).orderBy("_at")
         upto_end = by_time.rangeBetween(Window.unboundedPreceding, days_after * MICROS_PER_DAY)
         inside = by_time.rangeBetween(-days_before * MICROS_PER_DAY, days_after * MICROS_PER_DAY)
