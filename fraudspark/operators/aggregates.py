@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraudspark.functions.numbers import ratio
+from fraudspark.operators.ordered import quantiles
 
 
 def value_counts(df: DataFrame, column: str, *, top: int | None = None) -> DataFrame:
@@ -59,18 +60,17 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 
 def box_statistics(df: DataFrame, column: str, keys: Sequence[str] = (), *, accuracy: int | None = None) -> DataFrame:
-    """Minimum, quartiles and maximum; exact, or approximate with an `accuracy`.
-
-    Exact quartiles count every distinct value of a key, so use `accuracy` where a measure has
-    more distinct values than a task should hold.
-    """
-    cuts = [0.25, 0.5, 0.75]
-    value = F.col(column).cast("double")
-    q = F.percentile_approx(value, cuts, accuracy) if accuracy else F.percentile(value, F.array(*map(F.lit, cuts)))
-    box = df.groupBy(*keys).agg(F.min(value).alias("low"), q.alias("_q"), F.max(value).alias("high"))
-    return box.select(
-        *keys, "low", *[F.col("_q")[i].alias(n) for i, n in enumerate(["q1", "median", "q3"])], "high"
-    )
+    """Minimum, quartiles and maximum; exact, or approximate in one pass with an `accuracy`."""
+    cuts = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    value, keys = F.col(column).cast("double"), list(keys)
+    ends = [F.min(value).alias("low"), F.max(value).alias("high")]
+    if accuracy:
+        box = df.groupBy(*keys).agg(*ends, F.percentile_approx(value, list(cuts.values()), accuracy).alias("_q"))
+        return box.select(*keys, "low", *[F.col("_q")[i].alias(n) for i, n in enumerate(cuts)], "high")
+    rows = df if keys else df.withColumn("_all", F.lit(0))
+    by = keys or ["_all"]
+    box = rows.groupBy(*by).agg(*ends).join(quantiles(rows, by, column, cuts), by)
+    return box.select(*keys, "low", *cuts, "high")
 
 
 def series(df: DataFrame, ts: str, value: str, unit: str = "day") -> DataFrame:

@@ -159,3 +159,31 @@ def range_counts(
         F.max(F.when(F.col("kind") == 2, F.col("seen"))).alias("upto_end"),
         F.max(F.when(F.col("kind") == 2, F.col("seen_ts"))).alias("last_ts"),
     )
+
+
+def quantiles(
+    df: DataFrame, keys: Sequence[str], column: str, cuts: dict[str, float], *, group_limit: int = GROUP_LIMIT
+) -> DataFrame:
+    """Exact interpolated quantiles per key: one output column per entry of `cuts`.
+
+    Built-in exact percentiles hold all distinct values of a key in one task. Here values are
+    counted, counts are summed in value order, and the value at each rank is a minimum.
+    """
+    keys = list(keys) or ["_all"]
+    rows = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
+    counted = (
+        rows.select(*keys, F.col(column).cast("double").alias("_v"))
+        .filter("_v IS NOT NULL")
+        .groupBy(*keys, "_v")
+        .agg(F.count("*").alias("_n"))
+    )
+    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    ranked = running(counted, keys, ["_v"], sums={"_upto": F.col("_n")}, group_limit=group_limit).join(totals, keys)
+    at = lambda q: (F.col("_total") - 1) * F.lit(q)
+    found = ranked.groupBy(*keys).agg(
+        F.first("_total").alias("_total"),
+        *[F.min(F.when(F.col("_upto") > F.floor(at(q)), F.col("_v"))).alias(f"_lo_{n}") for n, q in cuts.items()],
+        *[F.min(F.when(F.col("_upto") > F.ceil(at(q)), F.col("_v"))).alias(f"_hi_{n}") for n, q in cuts.items()],
+    )
+    between = lambda n, q: F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (at(q) - F.floor(at(q)))
+    return found.select(*[k for k in keys if k != "_all"], *[between(n, q).alias(n) for n, q in cuts.items()])

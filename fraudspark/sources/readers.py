@@ -25,7 +25,8 @@ def raw_table(spark: SparkSession, path: str, spec: Spec) -> DataFrame:
 
 def json_records(spark: SparkSession, path: str, schema) -> DataFrame:
     """Landed pages, each a JSON array of records."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    reader = spark.read.schema(schema).option("multiLine", True)
+    return reader.option("recursiveFileLookup", True).json(path)
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
