@@ -15,6 +15,7 @@ from fraudspark.functions.text import normalize_address
 from fraudspark.operators.enrich import count_per, with_branches
 from fraudspark.operators.pairs import PAIR_LIMIT, group_members, shared_key_pairs, similar_strings
 from fraudspark.operators.parts import PART_SIZE, collect_parts
+from fraudspark.session import cut_lineage
 
 
 # --- properties -------------------------------------------------------------------------------
@@ -315,7 +316,8 @@ def address_links(owners: DataFrame, *, max_distance: int = 2) -> DataFrame:
         .filter("n > 1")
         .select(F.col("address_key").alias("a"), F.col("address_key").alias("b"), F.lit(0).alias("distance"))
     )
-    return same.unionByName(similar_strings(keyed, "address_key", max_distance))
+    # Read by several branches of the callers.
+    return cut_lineage(same.unionByName(similar_strings(keyed, "address_key", max_distance)), "links")
 
 
 def _address_contractors(owners: DataFrame, owns: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -465,29 +467,32 @@ def collaborations(
     crowded properties. Pairs that meet on crowded properties only are given by the members of
     those properties (form 'crowd': a contractor, the property and its jobs there).
     """
-    works = jobs.groupBy("bin", "contractor_id").agg(F.count("*").alias("n"))
+    # Read by up to six branches below.
+    works = cut_lineage(jobs.groupBy("bin", "contractor_id").agg(F.count("*").alias("n")), "works")
     crowded = count_per(works, ["bin"], "_k").filter(F.col("_k") > crowd_limit).select("bin")
-    small = works.join(crowded, "bin", "left_anti")
-    large = works.join(crowded, "bin", "left_semi")
-    a = small.select("bin", F.col("contractor_id").alias("a"), F.col("n").alias("na"))
-    b = small.select("bin", F.col("contractor_id").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, "bin").filter("a < b").groupBy("a", "b").agg(
-        F.sum(F.col("na") * F.col("nb")).alias("times"), F.count("*").alias("n_properties")
-    )
-    in_crowds = (
-        met.select("a", "b")
-        .join(large.select("bin", F.col("contractor_id").alias("a"), F.col("n").alias("na")), "a")
-        .join(large.select("bin", F.col("contractor_id").alias("b"), F.col("n").alias("nb")), ["b", "bin"])
-        .groupBy("a", "b")
-        .agg(F.sum(F.col("na") * F.col("nb")).alias("times"), F.count("*").alias("n_properties"))
+    crowded = cut_lineage(crowded, "crowded")
+    any_crowded = not crowded.isEmpty()
+    small = works.join(crowded, "bin", "left_anti") if any_crowded else works
+    met = _met(small, small, ["bin"]).filter("a < b").groupBy("a", "b").agg(
+        F.sum("product").alias("times"), F.count("*").alias("n_properties")
     )
-    pairs = (
-        met.unionByName(in_crowds)
-        .groupBy("a", "b")
-        .agg(F.sum("times").alias("times"), F.sum("n_properties").alias("n_properties"))
-        .filter(F.col("times") >= at_least)
-        .select(F.lit("pair").alias("form"), "a", "b", F.lit(None).cast("bigint").alias("bin"), "times", "n_properties")
+    large = works.join(crowded, "bin", "left_semi")
+    if any_crowded:
+        met = cut_lineage(met, "met")
+        side = lambda s: large.select("bin", F.col("contractor_id").alias(s), F.col("n").alias(f"n_{s}"))
+        in_crowds = (
+            met.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "bin"]).groupBy("a", "b").agg(
+                F.sum(F.col("n_a") * F.col("n_b")).alias("times"), F.count("*").alias("n_properties")
+            )
+        )
+        met = met.unionByName(in_crowds).groupBy("a", "b").agg(
+            F.sum("times").alias("times"), F.sum("n_properties").alias("n_properties")
+        )
+    pairs = met.filter(F.col("times") >= at_least).select(
+        F.lit("pair").alias("form"), "a", "b", F.lit(None).cast("bigint").alias("bin"), "times", "n_properties"
     )
+    if not any_crowded:
+        return pairs
     crowds = large.select(
         F.lit("crowd").alias("form"), F.col("contractor_id").alias("a"),
         F.lit(None).cast("bigint").alias("b"), F.col("bin").cast("bigint").alias("bin"),
@@ -496,6 +501,13 @@ def collaborations(
     return pairs.unionByName(crowds)
 
 
+def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Contractors with jobs on one property, and the product of their job counts."""
+    a = left.select(*keys, F.col("contractor_id").alias("a"), F.col("n").alias("_na"))
+    b = right.select(*keys, F.col("contractor_id").alias("b"), F.col("n").alias("_nb"))
+    return a.join(b, keys).select("a", "b", (F.col("_na") * F.col("_nb")).alias("product"))
+
+
 def contractor_profiles(contractors: DataFrame, jobs: DataFrame, properties: DataFrame) -> DataFrame:
     """Job types, boroughs and ZIP codes of a contractor; all three are short code lists."""
     spread = (

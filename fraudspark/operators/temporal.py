@@ -7,6 +7,7 @@ are too large for one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,23 +64,27 @@ def top_per_type(scores: DataFrame, kind: str, score: str, tie: str, k: int) ->
     return scores.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def monthly_windows(end, count: int = 12, days: int = 30):
-    """SQL array of (window_no, start, end), oldest first, each ending where the next begins."""
-    return F.expr(f"""
-        transform(sequence({count} - 1, 0, -1), i -> named_struct(
-            'window_no', {count} - 1 - i,
-            'window_start', date_sub(date '{end}', (i + 1) * {days}),
-            'window_end', date_sub(date '{end}', i * {days})))""")
+def monthly_windows(end: str, count: int = 12, days: int = 30) -> list[tuple[int, date, date]]:
+    """(window_no, start, end), oldest first, each ending where the next begins."""
+    last = date.fromisoformat(end)
+    back = lambda n: last - timedelta(days=n * days)
+    return [(count - 1 - i, back(i + 1), back(i)) for i in reversed(range(count))]
 
 
-def in_windows(df: DataFrame, date: str, end, *, count: int = 12, days: int = 30) -> DataFrame:
+def in_windows(df: DataFrame, day: str, end: str, *, count: int = 12, days: int = 30) -> DataFrame:
     """Rows with every window that holds them; a date on a border is in both windows.
 
-    The windows are a short constant array, so each row finds its own without a join.
+    The windows are a short constant array, so each row finds its own without a join, and their
+    outer limits reach the scan as a filter.
     """
     windows = monthly_windows(end, count, days)
-    inside = F.filter(windows, lambda w: F.col(date).between(w["window_start"], w["window_end"]))
-    return df.select("*", F.inline(inside))
+    constant = F.array(*[
+        F.struct(F.lit(n).alias("window_no"), F.lit(a).alias("window_start"), F.lit(b).alias("window_end"))
+        for n, a, b in windows
+    ])
+    inside = F.filter(constant, lambda w: F.col(day).between(w["window_start"], w["window_end"]))
+    placed = df.filter(F.col(day).between(F.lit(windows[0][1]), F.lit(windows[-1][2])))
+    return placed.select("*", F.inline(inside))
 
 
 def rolling_filings(

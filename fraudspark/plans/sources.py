@@ -101,8 +101,9 @@ def snk02(r: Roles):
                                 CASE WHEN penalty_raw = 'n/a' THEN 'penalty_imposed' END) AS bad FROM raw_ecb)
     SELECT isn AS violation_id, bad AS bad_columns FROM m""")
 def snk04(r: Roles):
-    present = [c for c in schemas.ECB_VIOLATIONS if c[0] in raw_ecb(r).columns]
-    good, bad = schemas.split_bad_rows(raw_ecb(r), present)
+    raw = raw_ecb(r)
+    present = [c for c in schemas.ECB_VIOLATIONS if c[0] in raw.columns]
+    good, bad = schemas.split_bad_rows(raw, present)
     return good.select("violation_id", F.lit("").alias("bad_columns")).unionByName(
         bad.select(F.col("ISN_DOB_BIS_EXTRACT").alias("violation_id"), F.array_join("bad_columns", ",").alias("bad_columns"))
     )
