@@ -45,7 +45,7 @@ def shared_key_pairs(
 
 
 def similar_strings(
-    df: DataFrame, column: str, max_distance: int, *, bucket_limit: int = 1000
+    df: DataFrame, column: str, max_distance: int, *, bucket_limit: int = 256
 ) -> DataFrame:
     """Pairs of distinct strings within an edit distance of 1..max_distance: (a, b, distance).
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fraudspark.plans.roles import Roles, with_roles
+from fraudspark.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -18,7 +19,7 @@ def query(name: str, sql: str | None = None):
     def add(build: Callable[[Roles], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} exists")
-        QUERIES[name] = lambda spark, folder: build(Roles(spark, folder))
+        QUERIES[name] = lambda spark, folder: build(Roles(prepare(spark), folder))
         if sql is not None:
             CHECKS[name] = with_roles(sql)
         return build
