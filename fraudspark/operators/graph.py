@@ -17,16 +17,17 @@ from fraudspark.session import cut_lineage, drop_scratch, scratch_paths_of
 
 
 class _Round:
-    """Keeps the newest of a series of stored tables and deletes the ones before."""
+    """Keeps the newest of a series of stored tables and deletes the one before."""
 
-    def __init__(self, df: DataFrame, label: str):
-        self.label = label
-        self.df = cut_lineage(df, label)
-        self._paths = scratch_paths_of(self.df)
+    def __init__(self, label: str, first: DataFrame | None = None):
+        self.label, self.df, self._paths = label, None, []
+        if first is not None:
+            self.replace(first)
 
     def replace(self, df: DataFrame) -> DataFrame:
         stored = cut_lineage(df, self.label)
-        drop_scratch(stored.sparkSession, self._paths)
+        if self._paths:
+            drop_scratch(stored.sparkSession, self._paths)
         self.df, self._paths = stored, scratch_paths_of(stored)
         return stored
 
@@ -104,10 +105,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, ma
     stars. Only minimums are aggregated, so a hub is never gathered.
     """
     start = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    stored = _Round(start.filter("u <> v").distinct(), "components")
+    stored = _Round("components", start.filter("u <> v").distinct())
+    lowest = _Round("lowest")
     mark = None
     for _ in range(max_rounds):
-        stars = _small_star(_large_star(stored.df))
+        stars = _small_star(_large_star(stored.df, lowest))
         current = stored.replace(stars)
         seen = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark:
@@ -125,10 +127,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, ma
     return out
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, lowest: _Round) -> DataFrame:
     around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    larger = around.filter("v > u").join(lowest, "u")
+    # Stored, so that the join can split the links of a hub at run time.
+    minimum = lowest.replace(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+    larger = around.filter("v > u").join(minimum, "u")
     return larger.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
@@ -167,7 +170,7 @@ def label_propagation(
         both_ways(edges.select(*by, "src", "dst", F.col(weight).cast("double").alias("weight"))), "links"
     )
     start = links.select(*by, F.col("src").alias("node")).distinct()
-    stored = _Round(start.withColumn("label", F.col("node")).withColumn("changed", F.lit(True)), "labels")
+    stored = _Round("labels", start.withColumn("label", F.col("node")).withColumn("changed", F.lit(True)))
     for _ in range(rounds):
         neighbours = stored.df.select(*by, F.col("node").alias("dst"), "label")
         votes = links.join(neighbours, [*by, "dst"]).groupBy(*by, "src", "label").agg(
@@ -232,9 +235,9 @@ def modularity_communities(
     resolutions = resolutions or {"1.0": 1.0}
     gamma = F.create_map(*[F.lit(x) for item in resolutions.items() for x in item])
     runs = F.explode(F.array(*[F.lit(r) for r in resolutions])).alias("run")
-    level = _Round(edges.select(runs, "src", "dst", "weight"), "level")
+    level = _Round("level", edges.select(runs, "src", "dst", "weight"))
     first = both_ways(level.df).select("run", F.col("src").alias("node")).distinct()
-    placed = _Round(first.withColumn("label", F.col("node")), "placed")
+    placed = _Round("placed", first.withColumn("label", F.col("node")))
     for _ in range(levels):
         moved = _local_moves(level.df, gamma, rounds)
         placed.replace(
@@ -259,9 +262,11 @@ def _local_moves(edges: DataFrame, gamma: Column, rounds: int) -> DataFrame:
     own = links.select("run", F.col("src").alias("node"), F.col("weight").alias("k")).unionByName(loops)
     degree = cut_lineage(own.groupBy("run", "node").agg(F.sum("k").alias("k")), "degree")
     total = degree.groupBy("run").agg(F.sum("k").alias("m2"))
-    state = _Round(degree.select("run", "node", "k", F.col("node").alias("label")), "moves")
+    state = _Round("moves", degree.select("run", "node", "k", F.col("node").alias("label")))
+    totals = _Round("held")
     for i in range(rounds):
-        held = state.df.groupBy("run", "label").agg(F.sum("k").alias("tot"))
+        # Stored, so that the join below can split a large community at run time.
+        held = totals.replace(state.df.groupBy("run", "label").agg(F.sum("k").alias("tot")))
         near = state.df.select("run", F.col("node").alias("dst"), "label")
         towards = links.join(near, ["run", "dst"]).groupBy("run", F.col("src").alias("node"), "label").agg(
             F.sum("weight").alias("k_in")
@@ -409,7 +414,7 @@ def mean_betweenness(edges: DataFrame, labels: DataFrame, *, max_steps: int = 10
     inside = inner_edges(edges, labels).select("src", "dst")
     links = cut_lineage(both_ways(inside).distinct(), "inside")
     frontier = labels.select(F.col("node").alias("source"), "node")
-    reached = _Round(frontier.withColumn("d", F.lit(0)), "reached")
+    reached = _Round("reached", frontier.withColumn("d", F.lit(0)))
     for step in range(1, max_steps + 1):
         edge_of = reached.df.filter(F.col("d") == step - 1).select("source", F.col("node").alias("src"))
         seen = reached.df.select("source", "node")

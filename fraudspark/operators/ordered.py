@@ -177,7 +177,8 @@ def quantiles(
         .groupBy(*keys, "_v")
         .agg(F.count("*").alias("_n"))
     )
-    totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    # Stored, so that the join can split a hot key at run time.
+    totals = cut_lineage(counted.groupBy(*keys).agg(F.sum("_n").alias("_total")), "totals")
     ranked = running(counted, keys, ["_v"], sums={"_upto": F.col("_n")}, group_limit=group_limit).join(totals, keys)
     at = lambda q: (F.col("_total") - 1) * F.lit(q)
     found = ranked.groupBy(*keys).agg(

@@ -25,7 +25,9 @@ def group_members(df: DataFrame, key: str, member: str) -> DataFrame:
         .agg(F.count("*").alias("n_members"), F.min(member).alias("first_member"))
         .filter("n_members > 1")
     )
-    return named.join(sizes, key)
+    # Stored, so the join shuffles both sides itself and a hot key can be split at run time;
+    # joined straight from the aggregation it could not.
+    return named.join(cut_lineage(sizes, "sizes"), key)
 
 
 def shared_key_pairs(

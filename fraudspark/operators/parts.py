@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fraudspark.session import cut_lineage
+
 PART_SIZE = 10_000
 
 
@@ -25,6 +27,8 @@ def add_part(
         .filter(F.col("_n") > part_size)
         .select(*keys, F.ceil(F.col("_n") / part_size).cast("int").alias("_parts"))
     )
+    # Stored, so that the join can split a hot key at run time.
+    large = cut_lineage(large, "large")
     n_parts = F.coalesce(F.col("_parts"), F.lit(1))
     return (
         df.join(large, keys, "left")

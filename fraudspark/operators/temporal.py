@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fraudspark.functions.dates import MICROS_PER_DAY, micros
 from fraudspark.operators.ordered import GROUP_LIMIT, range_counts, running
+from fraudspark.session import cut_lineage
 
 
 def follow_ups(
@@ -111,7 +112,8 @@ def value_changes(
     changed = ordered.withColumn("_c", F.col("before").isNotNull() & (F.col("before") != F.col(value)))
     if days is None:
         return changed.groupBy(*keys).agg(F.count_if("_c").alias("changes"))
-    last = facts.groupBy(*keys).agg(F.max(date).alias("_last"))
+    # Stored, so that the join can split a hot key at run time.
+    last = cut_lineage(facts.groupBy(*keys).agg(F.max(date).alias("_last")), "last")
     lately = F.col("_c") & (F.col(date) >= F.date_sub("_last", days))
     return changed.join(last, keys).groupBy(*keys).agg(F.count_if(lately).alias("changes"))
 
