@@ -12,9 +12,9 @@ are first put into small groups that hold all their possible partners:
    binary search on prefix polynomial hashes and then verified on the bytes. Neighbours in that order share the
    longest extensions, so partners are looked up outward from each suffix and the walk ends where the extension is
    too short for any window; the extension to the left is found likewise.
-4. Anchors with more than GROUP classes are split by the bytes that all windows of a block of offsets share,
-   first for blocks of BLOCK offsets and then for single windows, which are simply counted. This is exact and no
-   group, however common, meets in one task.
+4. Anchors with more than GROUP classes are split by the bytes that all windows of a block of offsets share, for
+   ever smaller blocks (BLOCKS). Equal contexts are counted and go on as one, and groups that became small are
+   compared as in 3; single windows are only counted. This is exact, and no group, however common, meets in one task.
 
 Classes carry a second hash of their bytes (xxh3) besides the polynomial one of the anchor, so two
 different runs are not taken as equal unless both hashes collide.
@@ -38,7 +38,7 @@ from fraudspark.session import cut_lineage
 
 LENGTH, GRAM = 400, 200
 SPAN = LENGTH - GRAM + 1  # places of a gram in a window
-GROUP, BLOCK = 64, 25
+GROUP, BLOCKS = 64, (25, 5, 1)
 CHUNK = 1 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -252,23 +252,32 @@ def _split(contexts: DataFrame, width: int) -> DataFrame:
                 for low in range(near // width * width, far + 1, width):
                     a, b = min(far, low + width - 1), max(near, low)
                     top = low + width - 1  # the shared bytes start `low` before the anchor and end with the window `top` before it
-                    core = context[far - low:far - top + LENGTH] if far >= low and len(context) >= far - top + LENGTH else context
+                    core = context[far - low:far - top + LENGTH]
                     mark = xxhash.xxh3_64_intdigest(core, seed=(grp ^ low) & _MASK)
-                    out.append((mark - (1 << 64) if mark >> 63 else mark, kind, c, key, a, b, context[far - a:far - b + LENGTH]))
-            columns = list(zip(*out)) if out else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    own = context[far - a:far - b + LENGTH]
+                    whole = xxhash.xxh3_64_intdigest(own, seed=a << 8 | b)
+                    out.append((mark - (1 << 64) if mark >> 63 else mark, kind, c, key, a, b, own, whole - (1 << 64) if whole >> 63 else whole))
+            columns = list(zip(*out)) if out else [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)],
-                                              names=["grp", "class", "c", "key", "far", "near", "context"])
+                                              names=["grp", "class", "c", "key", "far", "near", "context", "whole"])
 
         return work
 
     return map_batches(contexts.select("grp", "class", "c", "key", "far", "near", "context"), make,
-                       "grp long, class long, c int, key long, far int, near int, context binary")
+                       "grp long, class long, c int, key long, far int, near int, context binary, whole long")
 
 
-def _sized(contexts: DataFrame) -> DataFrame:
-    sizes = contexts.groupBy("grp").agg(F.count("*").alias("m"), F.min("c").alias("least")).filter("m > 1 and least = 1").select("grp", "m")
-    return contexts.join(sizes, "grp")
+def _level(contexts: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Splits large groups; (marks of the contexts that occur twice as a whole, the others with their group's size m)."""
+    rows = cut_lineage(_split(contexts, width), "blocks")
+    same = cut_lineage(rows.groupBy("grp", "whole").agg(
+        F.count("*").alias("n"), F.max("c").alias("c"), F.min(F.struct("key", "class", "far", "near", "context")).alias("first")), "same")
+    done = rows.filter("c = 1").join(same.filter("n > 1").select("grp", "whole"), ["grp", "whole"]).select(
+        "key", "class", F.col("near").alias("low"), F.col("far").alias("high"))
+    left = same.select("grp", F.when(F.col("n") > 1, 2).otherwise(F.col("c")).alias("c"), "first.*")
+    sizes = cut_lineage(left.groupBy("grp").agg(F.count("*").alias("m"), F.min("c").alias("least")).filter("m > 1 and least = 1").select("grp", "m"), "sizes")
+    return done, left.join(sizes, "grp")
 
 
 def repeated(docs: DataFrame, *, id_column: str, text_column: str) -> DataFrame:
@@ -282,7 +291,9 @@ def repeated(docs: DataFrame, *, id_column: str, text_column: str) -> DataFrame:
     full = live.select("class", "key").join(classes.filter("c > 1").select("class"), "class").select(
         "key", "class", F.lit(-1).alias("low"), F.lit(-1).alias("high"))
 
-    groups = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.min("c").alias("least")).filter("m > 1 and least = 1").select("anchor", "m")
+    # Stored, so that the join can split the classes of a common anchor at run time.
+    groups = cut_lineage(classes.groupBy("anchor").agg(F.count("*").alias("m"), F.min("c").alias("least"))
+                         .filter("m > 1 and least = 1").select("anchor", "m"), "groups")
     unsure = classes.join(groups, "anchor").select(
         "first.key", F.struct(F.col("anchor").alias("grp"), "class", F.least("c", F.lit(2)).cast("int").alias("c"), "m",
                               "first.place", "first.far", "first.near").alias("run"))
@@ -306,11 +317,13 @@ def repeated(docs: DataFrame, *, id_column: str, text_column: str) -> DataFrame:
 
     contexts = cut_lineage(map_batches(texts, make, "grp long, class long, c int, key long, far int, near int, m long, context binary"), "contexts")
     marks = full.unionByName(_solve(contexts.filter(F.col("m") <= GROUP)))
-    blocks = cut_lineage(_sized(_split(contexts.filter(F.col("m") > GROUP).drop("m"), BLOCK)), "blocks")
-    marks = marks.unionByName(_solve(blocks.filter(F.col("m") <= GROUP)))
-    single = _split(blocks.filter(F.col("m") > GROUP).drop("m"), 1).drop("context")
-    counted = _sized(cut_lineage(single, "windows")).filter("c = 1")
-    return marks.unionByName(counted.select("key", "class", F.col("near").alias("low"), F.col("far").alias("high")))
+    for width in BLOCKS:
+        done, contexts = _level(contexts.filter(F.col("m") > GROUP), width)
+        marks = marks.unionByName(done)
+        if width > 1:
+            contexts = cut_lineage(contexts, "contexts")
+            marks = marks.unionByName(_solve(contexts.filter(F.col("m") <= GROUP)))
+    return marks
 
 
 def remove_repeated(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
