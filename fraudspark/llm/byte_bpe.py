@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fraudspark.llm.common import map_batches
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 KEPT_LENGTH = 48
 #: A space before something that is no white space always starts a match, so a text may be cut there.
 CUT = re.compile(r" (?=\S)")
@@ -266,11 +266,20 @@ class Vocabulary:
             _CODERS[key] = TextEncoder(read_ranks(self.content.value), self.pattern)
         return _CODERS[key]
 
+    def token_bytes(self) -> dict[int, bytes]:
+        """All a decoder needs."""
+        key = hash(self.content.value)
+        if key not in _TOKENS:
+            _TOKENS.clear()
+            _TOKENS[key] = {rank: token for token, rank in read_ranks(self.content.value).items()}
+        return _TOKENS[key]
+
     def __getstate__(self):
         return {"content": self.content, "pattern": self.pattern}
 
 
 _CODERS: dict[tuple, TextEncoder] = {}
+_TOKENS: dict[int, dict[int, bytes]] = {}
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -297,12 +306,12 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, *, id_column: str = "doc_
     kind = encoded.schema[id_column].dataType.simpleString()
 
     def make():
-        coder = vocabulary.coder()
+        token = vocabulary.token_bytes().__getitem__
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             ids = part.column(1)
             values, offsets = ids.values.to_numpy().tolist(), ids.offsets.to_numpy().tolist()
-            made = [coder.decode(values[a:b]) for a, b in zip(offsets, offsets[1:])]
+            made = [b"".join(map(token, values[a:b])) for a, b in zip(offsets, offsets[1:])]
             return pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(made, pa.binary())], names=[id_column, "ids", "decoded"])
 
         return work
