@@ -20,7 +20,7 @@ from fraudspark.llm.common import GAPS
 
 BUCKETS = 8192
 WINDOW = 8
-THRESHOLD = -0.35
+THRESHOLD = -0.05
 
 
 def words(text: Column) -> Column:
@@ -44,12 +44,16 @@ def repeated_words(own: Column) -> Column:
     return F.when(count > WINDOW, windows)
 
 
+def _let(value: Column, use) -> Column:
+    """`use` of `value`, which is computed once: a lambda's variable holds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _covered(windows: Column) -> Column:
     """Words covered by the windows that are equal to another one."""
     placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    last = F.size(placed) - 1
-    twice = F.filter(placed, lambda x, k: (
-        (k > 0) & (F.get(placed, k - 1)["h"] == x["h"])) | ((k < last) & (F.get(placed, k + 1)["h"] == x["h"])))
+    twice = _let(placed, lambda p: F.filter(p, lambda x, k: (
+        (k > 0) & (F.get(p, k - 1)["h"] == x["h"])) | F.coalesce(F.get(p, k + 1)["h"] == x["h"], F.lit(False))))
     starts = F.array_sort(F.transform(twice, lambda x: x["i"]))
     return F.aggregate(
         starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("end")),
