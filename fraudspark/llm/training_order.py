@@ -20,6 +20,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +118,8 @@ def materialise(docs: DataFrame, path: str, *, key: int = 7, length: int = 512,
 
     def assign(batches):
         number = int(bases[TaskContext.get().partitionId()]) if len(counts) else 0
+        # Sequences meet strangers in the shuffle, so each is packed by itself.
+        pack = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=False, write_dict_id=False).compress
         for batch in batches:
             for part in slices(batch):
                 owner, place, size, data = [], [], [], []
@@ -126,7 +129,7 @@ def materialise(docs: DataFrame, path: str, *, key: int = 7, length: int = 512,
                         owner.append(k)
                         place.append(p)
                         size.append(min(length, len(ids) - at))
-                        data.append(ids[at:at + length].tobytes())
+                        data.append(pack(ids[at:at + length].tobytes()))
                 slots = order.slots(np.arange(number, number + len(owner)))
                 number += len(owner)
                 yield pa.RecordBatch.from_arrays([
@@ -140,6 +143,7 @@ def materialise(docs: DataFrame, path: str, *, key: int = 7, length: int = 512,
 
     def write(batches):
         task, shard, file = TaskContext.get().taskAttemptId(), None, None
+        unpack = zstandard.ZstdDecompressor().decompress
         name = lambda: os.path.join(folder, f"shard-{shard:08d}.bin")
 
         def close():
@@ -154,7 +158,7 @@ def materialise(docs: DataFrame, path: str, *, key: int = 7, length: int = 512,
                     close()
                     shard = slot // per_shard
                     file = open(f"{name()}.{task}", "wb")
-                file.write(size.to_bytes(4, "little") + data.as_buffer().to_pybytes().ljust(stride - 4, b"\0"))
+                file.write(size.to_bytes(4, "little") + unpack(data.as_buffer(), max_output_size=stride).ljust(stride - 4, b"\0"))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), batch.column(2), batch.column(3),
                 pa.array(slots // per_shard), pa.array(slots % per_shard * stride),
