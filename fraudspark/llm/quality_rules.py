@@ -68,7 +68,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, *, id_column: str = "doc_id", te
     """
     marked = trusted.select(F.col(id_column).alias("_id")).filter("_id is not null").distinct().withColumn("_good", F.lit(1))
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_t"))
-    grams = rows.join(marked, "_id", "left").select("_good", F.explode(n_grams(words(F.col("_t")), buckets)).alias("b"))
+    # Always by shuffle: ids of labels grow with the corpus.
+    grams = rows.join(marked.hint("merge"), "_id", "left").select("_good", F.explode(n_grams(words(F.col("_t")), buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("_good").alias("good")).collect()
     raw_n, good_n = {r["b"]: r["raw"] for r in counts}, {r["b"]: r["good"] for r in counts if r["good"]}
     if not good_n:
