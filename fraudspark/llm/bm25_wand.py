@@ -6,8 +6,8 @@ the item's score for its own text, is at least `least_score`. A hit counts when
 item's question and its answer is found in the passage as word triples. An item's question ends at
 its first question mark, or else with two thirds of its words.
 
-Before WAND, a passage is skipped when the largest impacts of its rarer words, plus the most that
-an item's common words can give, stay under the threshold; no hit is lost by that.
+Before WAND, the impacts of a passage's rarer words are added up by item; a passage is skipped when, for every item,
+they and all of the item's common words together stay under the threshold. No hit is lost by that.
 
 Items are indexed in blocks of at most `block_bytes` of text, each an index of its own that is sent to
 all executors. Items longer than `ITEM_WORDS` words are indexed in parts. Nulls and empty texts have no
@@ -74,13 +74,17 @@ class ItemIndex:
                 postings[t].append((i, x))
             by_df = np.argsort(df[at], kind="stable")
             rest = 1 - np.cumsum(impact[by_df])
-            rare[at[by_df[:int(np.argmax(rest <= least_score / 2)) + 1]]] = True
+            rare[at[by_df[:int(np.argmax(rest <= least_score / 5)) + 1]]] = True
         for i, (at, impact) in enumerate(impacts):
             common[i] = impact[~rare[at]].sum()
         self.postings = [(np.array([i for i, _ in p], np.int32), np.array([x for _, x in p])) for p in postings]
         self.most = np.array([x.max() for _, x in self.postings]) if postings else np.zeros(0)
-        self.rare_most = np.where(rare, self.most, 0.0)
-        self.needed = least_score - common.max(initial=0.0) - 1e-9
+        #: What an item needs from its rarer words, and their postings one after another; common words have none.
+        self.needed = least_score - common - 1e-9
+        own = [self.postings[t] if rare[t] else (np.empty(0, np.int32), np.empty(0)) for t in range(len(postings))]
+        self.rare_ends = np.append(0, np.cumsum([len(i) for i, _ in own])).astype(np.int64)
+        self.rare_parts = np.concatenate([np.empty(0, np.int32), *(i for i, _ in own)]).astype(np.int64)
+        self.rare_impacts = np.concatenate([np.empty(0), *(x for _, x in own)])
         self.block_most = [np.maximum.reduceat(x, np.arange(0, len(x), POSTING_BLOCK)) for _, x in self.postings]
         self.block_last = [i[np.append(np.arange(POSTING_BLOCK, len(i), POSTING_BLOCK) - 1, len(i) - 1)] for i, _ in self.postings]
 
@@ -135,13 +139,24 @@ class ItemIndex:
             return
         at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
         hit = self.terms[at] == words
-        if not hit.any():
+        places = np.flatnonzero(hit)
+        times = self.rare_ends[at[places] + 1] - self.rare_ends[at[places]]
+        places, times = places[times > 0], times[times > 0]
+        if not len(places):
             return
-        total = np.append(0.0, np.cumsum(np.where(hit, self.rare_most[at], 0.0)))
-        starts = np.arange(0, max(1, len(words) - self.window + STEP), STEP)
-        ends = np.minimum(starts + self.window, len(words))
-        for k in np.flatnonzero(total[ends] - total[starts] >= self.needed).tolist():
-            a, b = int(starts[k]), int(ends[k])
+        entry = np.repeat(self.rare_ends[at[places]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        place, part, impact = np.repeat(places, times), self.rare_parts[entry], self.rare_impacts[entry]
+        count = len(range(0, max(1, len(words) - self.window + STEP), STEP))
+        keys, sums = [], []
+        for back in range(-(-self.window // STEP)):
+            passage = place // STEP - back
+            inside = (passage >= 0) & (passage < count) & (passage * STEP + self.window > place)
+            keys.append(passage[inside] * len(self.parts) + part[inside])
+            sums.append(impact[inside])
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(where, np.concatenate(sums), len(key))
+        for k in np.unique(key[total >= self.needed[key % len(self.parts)]] // len(self.parts)).tolist():
+            a, b = k * STEP, min(k * STEP + self.window, len(words))
             yield a, b, np.unique(at[a:b][hit[a:b]])
 
     def matches(self, text: str | None, least_overlap: float) -> dict:
