@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from fraudspark.llm import bm25_wand, byte_bpe, quality_model, secrets, tensor_minhash
 from fraudspark.llm.common import held_out
-from fraudspark.llm.queries import PREDICTED_FROM, QUERIES, table, vocabulary
-from fraudspark.session import cut_lineage, prepare
+from fraudspark.llm.queries import PREDICTED_FROM, QUERIES, ready, table, vocabulary
+from fraudspark.session import cut_lineage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier does not reject; it learns from the labels that op4 learns from."""
-    weights = quality_model.train(docs, table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5, 0)))
+    weights = quality_model.train(docs, table(ready(spark), sf_dir, "labels").filter(~held_out("doc_id", 5, 0)))
     return quality_model.keep(docs, weights, PREDICTED_FROM)
 
 
@@ -42,7 +42,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of every row."""
-    return byte_bpe.encode(docs, vocabulary(spark))
+    return byte_bpe.encode(docs, vocabulary(ready(spark)))
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(prepare(spark), sf_dir, "documents")
+    docs = table(ready(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

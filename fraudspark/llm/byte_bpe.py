@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fraudspark.llm.common import map_batches
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 150_000
 KEPT_LENGTH = 48
 #: A space before something that is no white space always starts a match, so a text may be cut there.
 CUT = re.compile(r" (?=\S)")
@@ -86,7 +86,7 @@ class PrefixEncoder:
                 limit, left = left, left_half
             else:
                 limit, right = right + 1, right_half
-        if len(self._apart) > 4 * CACHE_ENTRIES:
+        if len(self._apart) > 2 * CACHE_ENTRIES:
             self._apart.clear()
         self._apart[key] = apart
         return apart
@@ -149,13 +149,13 @@ class Piece:
 class _Cached(dict):
     """Ids by text, forgotten when there are too many."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = CACHE_ENTRIES):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, text: str) -> list[int]:
         ids = self.make(text)
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.most:
             self.clear()
         if len(text) <= KEPT_LENGTH:
             self[text] = ids
@@ -170,7 +170,7 @@ class TextEncoder:
         # White space as Unicode has it, which differs from Python's own class.
         spelled = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pattern = regex.compile(spelled)
-        self.pieces = _Cached(lambda piece: self.encoder.encode(piece.encode("utf-8", "surrogatepass")))
+        self.pieces = _Cached(lambda piece: self.encoder.encode(piece.encode("utf-8", "surrogatepass")), CACHE_ENTRIES // 4)
         self.spaced = _Cached(lambda part: self._matches(" " + part))
 
     def _matches(self, text: str) -> list[int]:

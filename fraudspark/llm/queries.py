@@ -21,9 +21,15 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PREDICTED_FROM = 0.3
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Texts may be long, so fewer rows at once go to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return prepare(spark)
+
+
 def query(name: str, sql: str | None = None):
     def add(build: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, folder: build(prepare(spark), folder)
+        QUERIES[name] = lambda spark, folder: build(ready(spark), folder)
         if sql is not None:
             CHECKS[name] = sql
         return build
