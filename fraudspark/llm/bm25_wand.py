@@ -74,7 +74,7 @@ class ItemIndex:
                 postings[t].append((i, x))
             by_df = np.argsort(df[at], kind="stable")
             rest = 1 - np.cumsum(impact[by_df])
-            rare[at[by_df[:int(np.argmax(rest <= least_score / 5)) + 1]]] = True
+            rare[at[by_df[:int(np.argmax(rest <= least_score / 4)) + 1]]] = True
         for i, (at, impact) in enumerate(impacts):
             common[i] = impact[~rare[at]].sum()
         self.postings = [(np.array([i for i, _ in p], np.int32), np.array([x for _, x in p])) for p in postings]
@@ -139,22 +139,20 @@ class ItemIndex:
             return
         at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
         hit = self.terms[at] == words
-        places = np.flatnonzero(hit)
-        times = self.rare_ends[at[places] + 1] - self.rare_ends[at[places]]
-        places, times = places[times > 0], times[times > 0]
+        places = np.flatnonzero(hit & (self.rare_ends[at + 1] > self.rare_ends[at]))
         if not len(places):
             return
-        entry = np.repeat(self.rare_ends[at[places]] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        place, part, impact = np.repeat(places, times), self.rare_parts[entry], self.rare_impacts[entry]
-        count = len(range(0, max(1, len(words) - self.window + STEP), STEP))
-        keys, sums = [], []
+        count, size = len(range(0, max(1, len(words) - self.window + STEP), STEP)), len(self.terms)
+        pairs = []  # of passage and term
         for back in range(-(-self.window // STEP)):
-            passage = place // STEP - back
-            inside = (passage >= 0) & (passage < count) & (passage * STEP + self.window > place)
-            keys.append(passage[inside] * len(self.parts) + part[inside])
-            sums.append(impact[inside])
-        key, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, np.concatenate(sums), len(key))
+            passage = places // STEP - back
+            inside = (passage >= 0) & (passage < count) & (passage * STEP + self.window > places)
+            pairs.append(passage[inside] * size + at[places[inside]])
+        pairs = np.unique(np.concatenate(pairs))
+        first, times = self.rare_ends[pairs % size], self.rare_ends[pairs % size + 1] - self.rare_ends[pairs % size]
+        entry = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        key, where = np.unique(np.repeat(pairs // size, times) * len(self.parts) + self.rare_parts[entry], return_inverse=True)
+        total = np.bincount(where, self.rare_impacts[entry], len(key))
         for k in np.unique(key[total >= self.needed[key % len(self.parts)]] // len(self.parts)).tolist():
             a, b = k * STEP, min(k * STEP + self.window, len(words))
             yield a, b, np.unique(at[a:b][hit[a:b]])
