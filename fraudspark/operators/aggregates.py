@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraudspark.functions.numbers import ratio
-from fraudspark.operators.ordered import quantiles
+from fraudspark.operators.ordered import join_null_safe, quantiles
 
 
 def value_counts(df: DataFrame, column: str, *, top: int | None = None) -> DataFrame:
@@ -69,7 +69,8 @@ def box_statistics(df: DataFrame, column: str, keys: Sequence[str] = (), *, accu
         return box.select(*keys, "low", *[F.col("_q")[i].alias(n) for i, n in enumerate(cuts)], "high")
     rows = df if keys else df.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
-    box = rows.groupBy(*by).agg(*ends).join(quantiles(rows, by, column, cuts), by)
+    box = rows.groupBy(*by).agg(*ends)
+    box = join_null_safe(box, quantiles(rows, by, column, cuts), by)
     return box.select(*keys, "low", *cuts, "high")
 
 
@@ -83,7 +84,7 @@ def series(df: DataFrame, ts: str, value: str, unit: str = "day") -> DataFrame:
 
 
 def alert_report(alerts: DataFrame, patterns: Sequence[str], *, high_above: float = 0.8) -> DataFrame:
-    """Per pattern: alerts, mean risk, high-risk alerts; patterns without alerts give zeros."""
+    """Per pattern: alerts, mean risk, high-risk alerts; listed patterns without alerts give zeros, others are reported too."""
     spark = alerts.sparkSession
     names = spark.createDataFrame([(p,) for p in patterns], "pattern string")
     found = alerts.groupBy("pattern").agg(
@@ -91,7 +92,7 @@ def alert_report(alerts: DataFrame, patterns: Sequence[str], *, high_above: floa
         F.avg("risk_score").alias("mean_risk"),
         F.count_if(F.col("risk_score") > high_above).alias("high_risk"),
     )
-    return names.join(found, "pattern", "left").fillna(0)
+    return names.join(found, "pattern", "full_outer").fillna(0, ["n_alerts", "mean_risk", "high_risk"])
 
 
 def monitoring_history(alerts: DataFrame, start, end, *, high_above: float = 60) -> DataFrame:

@@ -108,7 +108,7 @@ def investigation(
     """Rows where any name field holds `name`, the BIN is listed, and the date is recent."""
     if name:
         df = df.filter(reduce(lambda a, b: a | b, [F.col(f).contains(name) for f in name_fields]))
-    if bins:
+    if bins is not None:
         df = df.filter(F.col(bin_field).isin(list(bins)))
     if since is not None:
         df = df.filter(F.col(date_field) >= F.lit(since))

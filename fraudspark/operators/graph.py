@@ -106,10 +106,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, ma
     """
     start = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     stored = _Round("components", start.filter("u <> v").distinct())
-    lowest = _Round("lowest")
+    lowest, smaller = _Round("lowest"), _Round("smaller")
     mark = None
     for _ in range(max_rounds):
-        stars = _small_star(_large_star(stored.df, lowest))
+        stars = _small_star(_large_star(stored.df, lowest), smaller)
         current = stored.replace(stars)
         seen = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark:
@@ -135,9 +135,10 @@ def _large_star(links: DataFrame, lowest: _Round) -> DataFrame:
     return larger.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, smaller: _Round) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = down.groupBy("u").agg(F.min("v").alias("m"))
+    # Stored, for the same reason.
+    lowest = smaller.replace(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     kept = lowest.select("u", F.col("m").alias("v"))
     return moved.unionByName(kept).filter("u <> v").distinct()

@@ -161,6 +161,13 @@ def range_counts(
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join by `keys` in which NULL keys meet each other; the keys come once."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def quantiles(
     df: DataFrame, keys: Sequence[str], column: str, cuts: dict[str, float], *, group_limit: int = GROUP_LIMIT
 ) -> DataFrame:
@@ -179,7 +186,8 @@ def quantiles(
     )
     # Stored, so that the join can split a hot key at run time.
     totals = cut_lineage(counted.groupBy(*keys).agg(F.sum("_n").alias("_total")), "totals")
-    ranked = running(counted, keys, ["_v"], sums={"_upto": F.col("_n")}, group_limit=group_limit).join(totals, keys)
+    ranked = running(counted, keys, ["_v"], sums={"_upto": F.col("_n")}, group_limit=group_limit)
+    ranked = join_null_safe(ranked, totals, keys)
     at = lambda q: (F.col("_total") - 1) * F.lit(q)
     found = ranked.groupBy(*keys).agg(
         F.first("_total").alias("_total"),

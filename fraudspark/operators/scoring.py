@@ -135,6 +135,23 @@ def risk_level(score: Column) -> Column:
     return ladder.otherwise("LOW")
 
 
+#: Columns that the rules read; an absent one counts as 0 or false.
+FEATURES = {
+    "person": {"license_status": "string", "violation_count": "long", "recent_job_count": "long", "address_inconsistencies": "long",
+               "payment_issues": "boolean"},
+    "property": {"permit_count_6months": "long", "violations_per_sqft": "double", "ownership_changes_2years": "long",
+                 "zoning_violations": "long", "emergency_orders": "long"},
+    "job": {"estimated_cost": "double", "actual_cost": "double", "timeline_violations": "long", "failed_inspections": "long",
+            "unlicensed_work_indicators": "long", "rapid_permit_cycling": "boolean"},
+    "violation": {"severity_score": "long", "repeat_violation_count": "long", "non_compliance_days": "long",
+                  "fine_evasion_indicators": "boolean", "safety_violations": "long"},
+    "inspection": {"inspection_failure_rate": "double", "inspection_avoidance_indicators": "long", "document_fraud_indicators": "boolean",
+                   "inspector_red_flags": "long", "compliance_gaming_score": "long"},
+    "financial": {"payment_irregularities": "long", "unpaid_fees_amount": "double", "financial_document_fraud": "boolean",
+                  "money_laundering_score": "long", "tax_evasion_indicators": "long"},
+}
+
+
 def confidence(factors: Column, weight: float) -> Column:
     return F.round(F.least(F.size(factors) * F.lit(weight), F.lit(1.0)), 4)
 
@@ -142,7 +159,10 @@ def confidence(factors: Column, weight: float) -> Column:
 def score(features: DataFrame, entity_type: str, entity_id: str = "id") -> DataFrame:
     """Scores of one entity type; an unknown type scores 0 and LOW."""
     scorer = SCORERS.get(entity_type)
-    who = F.coalesce(F.col(entity_id).cast("string"), F.lit("unknown"))
+    named = [F.col(c).cast("string") for c in dict.fromkeys((entity_id, "entity_id")) if c in features.columns]
+    who = F.coalesce(*named, F.lit("unknown"))
+    features = features.withColumns({
+        name: F.lit(None).cast(kind) for name, kind in FEATURES.get(entity_type, {}).items() if name not in features.columns})
     base = [F.lit(entity_type).alias("entity_type"), who.alias("entity_id")]
     if scorer is None:
         return features.select(

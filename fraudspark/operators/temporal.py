@@ -155,7 +155,7 @@ def within_days(
     Time is cut into blocks of `days`; a row of `second` can only match its own block and the
     one before, so both sides meet on (key, block) and a hot key spreads over its blocks.
     """
-    block = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days)
+    block = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / max(days, 1))
     left = first.withColumn("_block", block(F.col(first_date)))
     own = block(F.col(second_date))
     right = second.withColumn("_block", F.explode(F.array(own, own - 1)))

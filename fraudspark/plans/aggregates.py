@@ -73,12 +73,12 @@ def ag08(r: Roles):
 
 
 @query("ag09_alert_report", ALERTS_SQL + """
-    , names AS (SELECT unnest(['pass_through', 'control_fraud', 'single_customer', 'shell_company', 'timing_pattern', 'network_cluster']) AS pattern)
+    , names AS (SELECT unnest(['pass_through', 'control_fraud', 'single_customer', 'shell_company', 'suspicious_timing', 'network_cluster']) AS pattern)
     SELECT pattern, count(company_id) AS n_alerts, round(coalesce(avg(risk_score), 0), 6) AS mean_risk,
            count(*) FILTER (risk_score > 0.8) AS high_risk
-    FROM names LEFT JOIN alerts USING (pattern) GROUP BY 1""")
+    FROM names FULL JOIN alerts USING (pattern) GROUP BY 1""")
 def ag09(r: Roles):
-    patterns = ["pass_through", "control_fraud", "single_customer", "shell_company", "timing_pattern", "network_cluster"]
+    patterns = ["pass_through", "control_fraud", "single_customer", "shell_company", "suspicious_timing", "network_cluster"]
     return op.alert_report(all_alerts(r), patterns).withColumn("mean_risk", F.round("mean_risk", 6))
 
 

@@ -78,6 +78,11 @@ def scratch_paths_of(df: DataFrame) -> list[str]:
     return sorted({file.rsplit("/", 1)[0] for file in df.inputFiles()})
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
     """Delete superseded intermediate tables, and nothing outside the scratch folder."""
     root = scratch_root(spark)

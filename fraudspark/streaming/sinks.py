@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudspark.operators.temporal import latest_version
-from fraudspark.session import cut_lineage, scratch_path
+from fraudspark.session import cut_lineage, path_exists, scratch_path
 
 
 def _start(writer, trigger: str | None):
@@ -52,7 +52,8 @@ def upsert_rows(
         arrived = cut_lineage(batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "arrived")
         touched = arrived.select("bucket").distinct()
         merged = arrived
-        if epoch > 0:
+        # A new checkpoint starts at epoch 0 again, also over a table that has rows.
+        if path_exists(spark, path):
             current = spark.read.schema(arrived.schema).parquet(path)
             # At most `buckets` rows.
             merged = current.join(F.broadcast(touched), "bucket", "left_semi").unionByName(arrived)
