@@ -163,8 +163,13 @@ def _postings(docs: DataFrame, chain: Chain, kind: str) -> DataFrame:
                 pairs, counts = np.unique(place * len(lengths) + owner, return_counts=True)
                 word, doc = pairs // max(1, len(lengths)), pairs % max(1, len(lengths))
                 learned = np.bincount(word, counts * ~out[doc], len(words)).astype(np.int64)
-                packed = np.stack([doc, counts], axis=1).astype(np.uint32)
-                ends = np.append(0, np.cumsum(np.bincount(word, minlength=len(words)))) * 8
+                # Two bytes each for place and count; a larger count takes several entries.
+                times = -(-counts // 65535)
+                last = np.cumsum(times) - 1
+                word, doc = np.repeat(word, times), np.repeat(doc, times)
+                packed = np.stack([doc, np.full(len(doc), 65535)], axis=1).astype(np.uint16)
+                packed[last, 1] = counts - 65535 * (times - 1)
+                ends = np.append(0, np.cumsum(np.bincount(word, minlength=len(words)))) * 4
                 n, key = len(words), task << 32 | number
                 number += 1
                 posts = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(packed)])
@@ -217,8 +222,8 @@ def score(docs: DataFrame, held: Column, chain: Chain, *, id_column: str = "doc_
         if words.num_rows:
             posts = words["posts"].chunk(0)
             ends = np.frombuffer(posts.buffers()[1], np.int32)[posts.offset:posts.offset + len(posts) + 1]
-            pairs = np.frombuffer(posts.buffers()[2], np.uint32)[ends[0] // 4:ends[-1] // 4].reshape(-1, 2)
-            times = np.diff(ends) // 8
+            pairs = np.frombuffer(posts.buffers()[2], np.uint16)[ends[0] // 2:ends[-1] // 2].reshape(-1, 2)
+            times = np.diff(ends) // 4
             doc, tf = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.float64)
             c = words["c"].to_numpy()
             classes = (words["h"].to_numpy().astype(np.int64).view(np.uint64) % np.uint64(CLASSES)).astype(np.int64)
