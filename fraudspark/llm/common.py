@@ -26,6 +26,20 @@ def slices(batch: pa.RecordBatch, limit: int = BATCH_BYTES) -> Iterator[pa.Recor
         yield batch.slice(start, each)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in parts of about `limit` bytes and at most `rows` rows; a longer row is a part of its own."""
+    held, size, count = [], 0, 0
+    for batch in batches:
+        for part in slices(batch, limit):
+            if held and (size + part.nbytes > limit or count + part.num_rows > rows):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size, count = [], 0, 0
+            held.append(part)
+            size, count = size + part.nbytes, count + part.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch]],
                 schema: str) -> DataFrame:
     """Run `make()` once per task and its result on every part of the task's rows."""
