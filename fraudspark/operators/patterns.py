@@ -457,55 +457,35 @@ def fraud_rings(
 
 # --- contractors ------------------------------------------------------------------------------
 
-def collaborations(
-    jobs: DataFrame, *, at_least: int = 2, crowd_limit: int = PAIR_LIMIT
-) -> DataFrame:
-    """Contractor pairs working on the same properties: (form, a, b, bin, times, n_properties).
+def collaborations(jobs: DataFrame, *, at_least: int = 2, block_size: int = 64) -> DataFrame:
+    """Contractor pairs working on the same properties: (a, b, times, n_properties) with a < b.
 
-    A pair's count is the sum over shared properties of the product of their job counts. Pairs
-    are listed from properties with up to `crowd_limit` contractors, and their counts include
-    crowded properties. Pairs that meet on crowded properties only are given by the members of
-    those properties (form 'crowd': a contractor, the property and its jobs there).
+    A pair's count is the sum over shared properties of the product of their job counts. The
+    contractors of a property are dealt into blocks of about `block_size` by a hash, and block
+    meets block, so a crowded property is joined by many tasks. The result does not depend on it.
     """
-    # Read by up to six branches below.
-    works = cut_lineage(jobs.groupBy("bin", "contractor_id").agg(F.count("*").alias("n")), "works")
-    crowded = count_per(works, ["bin"], "_k").filter(F.col("_k") > crowd_limit).select("bin")
-    crowded = cut_lineage(crowded, "crowded")
-    any_crowded = not crowded.isEmpty()
-    small = works.join(crowded, "bin", "left_anti") if any_crowded else works
-    met = _met(small, small, ["bin"]).filter("a < b").groupBy("a", "b").agg(
-        F.sum("product").alias("times"), F.count("*").alias("n_properties")
-    )
-    large = works.join(crowded, "bin", "left_semi")
-    if any_crowded:
-        met = cut_lineage(met, "met")
-        side = lambda s: large.select("bin", F.col("contractor_id").alias(s), F.col("n").alias(f"n_{s}"))
-        in_crowds = (
-            met.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "bin"]).groupBy("a", "b").agg(
-                F.sum(F.col("n_a") * F.col("n_b")).alias("times"), F.count("*").alias("n_properties")
-            )
-        )
-        met = met.unionByName(in_crowds).groupBy("a", "b").agg(
-            F.sum("times").alias("times"), F.sum("n_properties").alias("n_properties")
-        )
-    pairs = met.filter(F.col("times") >= at_least).select(
-        F.lit("pair").alias("form"), "a", "b", F.lit(None).cast("bigint").alias("bin"), "times", "n_properties"
-    )
-    if not any_crowded:
-        return pairs
-    crowds = large.select(
-        F.lit("crowd").alias("form"), F.col("contractor_id").alias("a"),
-        F.lit(None).cast("bigint").alias("b"), F.col("bin").cast("bigint").alias("bin"),
-        F.col("n").alias("times"), F.lit(1).cast("bigint").alias("n_properties"),
+    # Read by the block counts and by both sides of the join.
+    known = jobs.na.drop(subset=["bin", "contractor_id"])
+    works = cut_lineage(known.groupBy("bin", "contractor_id").agg(F.count("*").alias("n")), "works")
+    blocks = works.groupBy("bin").agg(F.ceil(F.count("*") / block_size).cast("int").alias("_blocks"))
+    # Stored, so that the join can split a hot property at run time.
+    placed = works.join(cut_lineage(blocks, "blocks"), "bin").withColumn(
+        "_block", F.pmod(F.xxhash64("contractor_id"), F.col("_blocks")).cast("int")
+    )
+    left = placed.select(
+        "bin", F.col("_block").alias("_i"), F.explode(F.sequence("_block", F.col("_blocks") - 1)).alias("_j"),
+        F.col("contractor_id").alias("_x"), F.col("n").alias("_nx"),
+    )
+    right = placed.select(
+        "bin", F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("_i"), F.col("_block").alias("_j"),
+        F.col("contractor_id").alias("_y"), F.col("n").alias("_ny"),
+    )
+    met = left.join(right, ["bin", "_i", "_j"]).filter("_i < _j OR _x < _y")
+    return (
+        met.groupBy(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+        .agg(F.sum(F.col("_nx") * F.col("_ny")).alias("times"), F.count("*").alias("n_properties"))
+        .filter(F.col("times") >= at_least)
     )
-    return pairs.unionByName(crowds)
-
-
-def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Contractors with jobs on one property, and the product of their job counts."""
-    a = left.select(*keys, F.col("contractor_id").alias("a"), F.col("n").alias("_na"))
-    b = right.select(*keys, F.col("contractor_id").alias("b"), F.col("n").alias("_nb"))
-    return a.join(b, keys).select("a", "b", (F.col("_na") * F.col("_nb")).alias("product"))
 
 
 def contractor_profiles(contractors: DataFrame, jobs: DataFrame, properties: DataFrame) -> DataFrame:

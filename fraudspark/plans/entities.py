@@ -156,8 +156,7 @@ def ent11(r: Roles):
     SELECT x.contractor_id AS a, y.contractor_id AS b, CAST(sum(x.n * y.n) AS BIGINT) AS job_count, count(*) AS property_count
     FROM w x JOIN w y ON x.bin = y.bin AND x.contractor_id < y.contractor_id GROUP BY 1, 2 HAVING sum(x.n * y.n) >= 2""")
 def ent12(r: Roles):
-    met = collaborations(r.jobs()).filter("form = 'pair'")
-    return met.select("a", "b", F.col("times").alias("job_count"), F.col("n_properties").alias("property_count"))
+    return collaborations(r.jobs()).select("a", "b", F.col("times").alias("job_count"), F.col("n_properties").alias("property_count"))
 
 
 GRAPH_SQL = """

@@ -136,10 +136,9 @@ def gp05(r: Roles):
 
 @query("gp06_contractor_collaboration", """
     WITH w AS (SELECT bin, contractor_id, count(*) AS n FROM jobs GROUP BY 1, 2)
-    SELECT 'pair' AS form, x.contractor_id AS a, y.contractor_id AS b, CAST(NULL AS BIGINT) AS bin,
-           CAST(sum(x.n * y.n) AS BIGINT) AS times, count(*) AS n_properties
+    SELECT x.contractor_id AS a, y.contractor_id AS b, CAST(sum(x.n * y.n) AS BIGINT) AS times, count(*) AS n_properties
     FROM w x JOIN w y ON x.bin = y.bin AND x.contractor_id < y.contractor_id
-    GROUP BY 2, 3 HAVING sum(x.n * y.n) >= 2""")
+    GROUP BY 1, 2 HAVING sum(x.n * y.n) >= 2""")
 def gp06(r: Roles):
     return op.collaborations(r.jobs())
 

@@ -104,16 +104,22 @@ def test_parts_hold_everything(hot):
     assert sorted(i for r in sizes for i in r.ids) == sorted(r[0] for r in hot.select("event_id").collect())
 
 
-def test_crowded_properties(spark):
-    """Pairs from small properties count crowded ones too; other pairs are in the crowd rows."""
-    rows = [(1, c) for c in (1, 2, 2)] + [(9, c) for c in range(1, 11)]
+@pytest.mark.parametrize("block_size", [2, 64])
+def test_crowded_properties(spark, block_size):
+    """Pairs that meet on a crowded property only are listed like all others, at any block size."""
+    rows = [(1, c) for c in (1, 2, 2)] + [(9, c) for c in range(1, 41)] + [(9, 3), (9, None), (None, 4)]
     jobs = spark.createDataFrame(rows, "bin bigint, contractor_id bigint")
-    got = patterns.collaborations(jobs, crowd_limit=5).collect()
-    pairs = {(r.a, r.b): (r.times, r.n_properties) for r in got if r.form == "pair"}
-    assert pairs == {(1, 2): (3, 2)}
-    assert sorted(r.a for r in got if r.form == "crowd") == list(range(1, 11))
-    plain = {(r.a, r.b): r.times for r in patterns.collaborations(jobs, at_least=1).collect()}
-    assert plain[(1, 2)] == 3 and len(plain) == 45
+    want = {}
+    works = {k: rows.count(k) for k in rows if None not in k}
+    for (bin_x, x), n in works.items():
+        for (bin_y, y), m in works.items():
+            if bin_x == bin_y and x < y:
+                times, shared = want.get((x, y), (0, 0))
+                want[x, y] = times + n * m, shared + 1
+    got = patterns.collaborations(jobs, at_least=1, block_size=block_size).collect()
+    assert {(r.a, r.b): (r.times, r.n_properties) for r in got} == want and len(got) == len(want)
+    often = patterns.collaborations(jobs, block_size=block_size).collect()
+    assert {(r.a, r.b): (r.times, r.n_properties) for r in often} == {k: v for k, v in want.items() if v[0] >= 2}
 
 
 def test_project_parts(hot):
