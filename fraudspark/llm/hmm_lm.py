@@ -169,7 +169,7 @@ def _postings(docs: DataFrame, chain: Chain, kind: str) -> DataFrame:
             packed = np.stack([doc, np.full(len(doc), 65535)], axis=1).astype(np.uint16)
             packed[last, 1] = counts - 65535 * (times - 1)
             ends = np.append(0, np.cumsum(np.bincount(word, minlength=len(words)))) * 4
-            n, key = len(words), task << 32 | number
+            n, key = len(words), task << 20 | number
             number += 1
             posts = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(packed)])
             empty = pa.nulls(n, pa.list_(part.column(0).type))
@@ -206,12 +206,14 @@ def score(docs: DataFrame, held: Column, chain: Chain, *, id_column: str = "doc_
         norms[r["class"]] = np.log10(r["c"] + r["v"] + 1)
     least = float(np.log10(total + distinct + 1))
 
-    joined = posts.filter("h is not null").join(counts, "h").select("batch", "h", "c", "posts", "ids").unionByName(
-        posts.filter("h is null").select("batch", "h", F.lit(0).cast("long").alias("c"), "posts", "ids"))
+    # Count and class in one number: the shuffle by batch needs no hashes, which do not compress.
+    known = (F.col("c") * (2 * CLASSES) + word_class).alias("known")
+    joined = posts.filter("h is not null").join(counts, "h").select("batch", known, "posts", "ids").unionByName(
+        posts.filter("h is null").select("batch", F.lit(None).cast("long").alias("known"), "posts", "ids"))
 
     def add_up(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        marks = table["h"].is_null().to_numpy(zero_copy_only=False)
+        marks = table["known"].is_null().to_numpy(zero_copy_only=False)
         head = int(np.flatnonzero(marks)[0])
         ids = table["ids"][head].values
         about = np.frombuffer(table["posts"][head].as_buffer(), np.int64).reshape(3, -1)
@@ -224,8 +226,7 @@ def score(docs: DataFrame, held: Column, chain: Chain, *, id_column: str = "doc_
             pairs = np.frombuffer(posts.buffers()[2], np.uint16)[ends[0] // 2:ends[-1] // 2].reshape(-1, 2)
             times = np.diff(ends) // 4
             doc, tf = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.float64)
-            c = words["c"].to_numpy()
-            classes = (words["h"].to_numpy().astype(np.int64).view(np.uint64) % np.uint64(CLASSES)).astype(np.int64)
+            c, classes = np.divmod(words["known"].to_numpy().astype(np.int64), 2 * CLASSES)
             one = np.log10(c + 1.0)
             logs = np.bincount(doc, tf * np.repeat(one, times), n)
             inner = np.bincount(doc, tf * np.repeat(one - norms[classes], times), n)
