@@ -6,8 +6,8 @@ and class emissions are trained by Baum-Welch: each task sums expected counts ov
 are added up by Spark, and only the model (fixed in size) reaches the driver. Training sequences are
 texts cut every `CUT` tokens; the score of a text is the scaled forward recursion over the whole text.
 
-Word counts are taken over all training texts and joined back by word, as postings per batch of
-texts, so no vocabulary is held in one place.
+Word counts are taken over all training texts and joined back by word, once for each batch of
+texts, so no vocabulary is held in one place. The places of the words stay in one row per batch.
 
 Nulls and empty texts have the one end token. Repeated rows are scored one by one and count each.
 Without training texts all counts are 0 and the states keep their starting values. An empty table gives an
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,7 +150,7 @@ def train(docs: DataFrame, held: Column, *, text_column: str = "text", rounds: i
 
 
 def _postings(docs: DataFrame, chain: Chain, kind: str) -> DataFrame:
-    """Per batch of texts: a row for each word with its places, and one row that lists the texts."""
+    """Per batch of texts: a row for each word with its number `at`, and one row with the texts and the places of all words."""
 
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
@@ -168,21 +169,23 @@ def _postings(docs: DataFrame, chain: Chain, kind: str) -> DataFrame:
             word, doc = np.repeat(word, times), np.repeat(doc, times)
             packed = np.stack([doc, np.full(len(doc), 65535)], axis=1).astype(np.uint16)
             packed[last, 1] = counts - 65535 * (times - 1)
-            ends = np.append(0, np.cumsum(np.bincount(word, minlength=len(words)))) * 4
+            each = np.bincount(word, minlength=len(words)).astype(np.uint32)
             n, key = len(words), task << 20 | number
             number += 1
-            posts = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(packed)])
-            empty = pa.nulls(n, pa.list_(part.column(0).type))
+            none = pa.nulls(n, pa.binary())
             yield pa.RecordBatch.from_arrays([
-                pa.array(signed(words)), pa.array(np.full(n, key)), pa.array(learned), posts, empty,
-            ], names=["h", "batch", "n", "posts", "ids"])
-            about = np.stack([lengths + 1, out.astype(np.int64), chances.view(np.int64)]).tobytes()
+                pa.array(signed(words)), pa.array(np.full(n, key)), pa.array(np.arange(n, dtype=np.int32)), pa.array(learned),
+                none, none, none, pa.nulls(n, pa.list_(part.column(0).type)),
+            ], names=names)
+            about = np.stack([lengths + 1, out.astype(np.int64), chances.view(np.int64)])
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(1, pa.int64()), pa.array([key]), pa.array([int((~out).sum())]), pa.array([about], pa.binary()),
+                pa.nulls(1, pa.int64()), pa.array([key]), pa.nulls(1, pa.int32()), pa.array([int((~out).sum())]),
+                *[pa.array([x.tobytes()], pa.binary()) for x in (about, each, packed)],
                 pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), part.column(0)),
-            ], names=["h", "batch", "n", "posts", "ids"])
+            ], names=names)
 
-    return docs.mapInArrow(run, f"h long, batch long, n long, posts binary, ids array<{kind}>")
+    names = ["h", "batch", "at", "n", "about", "each", "posts", "ids"]
+    return docs.mapInArrow(run, f"h long, batch long, at int, n long, about binary, each binary, posts binary, ids array<{kind}>")
 
 
 def score(docs: DataFrame, held: Column, chain: Chain, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -208,25 +211,24 @@ def score(docs: DataFrame, held: Column, chain: Chain, *, id_column: str = "doc_
 
     # Count and class in one number: the shuffle by batch needs no hashes, which do not compress.
     known = (F.col("c") * (2 * CLASSES) + word_class).alias("known")
-    joined = posts.filter("h is not null").join(counts, "h").select("batch", known, "posts", "ids").unionByName(
-        posts.filter("h is null").select("batch", F.lit(None).cast("long").alias("known"), "posts", "ids"))
+    joined = posts.filter("h is not null").join(counts, "h").select("batch", "at", known).unionByName(
+        posts.filter("h is null").drop("h", "n"), allowMissingColumns=True)
 
     def add_up(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        marks = table["known"].is_null().to_numpy(zero_copy_only=False)
-        head = int(np.flatnonzero(marks)[0])
-        ids = table["ids"][head].values
-        about = np.frombuffer(table["posts"][head].as_buffer(), np.int64).reshape(3, -1)
+        marks = table["at"].is_null().combine_chunks()
+        head = table.filter(marks).slice(0, 1)
+        ids = head["ids"][0].values
+        about, times, pairs = (np.frombuffer(head[k][0].as_buffer(), kind) for k, kind in (
+            ("about", np.int64), ("each", np.uint32), ("posts", np.uint16)))
+        about, pairs = about.reshape(3, -1), pairs.reshape(-1, 2)
         n = about.shape[1]
-        words = table.filter(pa.array(~marks)).combine_chunks()
+        words = table.select(["at", "known"]).filter(pc.invert(marks))
         known, logs, inner = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         if words.num_rows:
-            posts = words["posts"].chunk(0)
-            ends = np.frombuffer(posts.buffers()[1], np.int32)[posts.offset:posts.offset + len(posts) + 1]
-            pairs = np.frombuffer(posts.buffers()[2], np.uint16)[ends[0] // 2:ends[-1] // 2].reshape(-1, 2)
-            times = np.diff(ends) // 4
             doc, tf = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.float64)
-            c, classes = np.divmod(words["known"].to_numpy().astype(np.int64), 2 * CLASSES)
+            met = np.empty(len(times), np.int64)
+            met[words["at"].to_numpy()] = words["known"].to_numpy()
+            c, classes = np.divmod(met, 2 * CLASSES)
             one = np.log10(c + 1.0)
             logs = np.bincount(doc, tf * np.repeat(one, times), n)
             inner = np.bincount(doc, tf * np.repeat(one - norms[classes], times), n)
