@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from fraudspark.functions.numbers import distance_similarity
 from fraudspark.functions.text import blank_to_null, owner_name
-from fraudspark.operators.pairs import PAIR_LIMIT
-from fraudspark.operators.patterns import shared_address_pairs, similar_addresses
+from fraudspark.operators.patterns import shared_address_owners, similar_addresses
+from fraudspark.session import cut_lineage
 from fraudspark.operators.temporal import first_version
 
 
@@ -114,15 +114,32 @@ def relationship_graph(permits: DataFrame, violations: DataFrame, complaints: Da
     return union
 
 
-def same_address_edges(owners: DataFrame, owns: DataFrame, existing: DataFrame | None = None, *, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """SHARES_ADDRESS between owners at one address, unless linked already."""
-    pairs = shared_address_pairs(owners, owns, pair_limit=pair_limit)
+# Properties of both owners together, and the confidence from there on.
+SHELL_STEPS = [(10, 0.9), (5, 0.7)]
+SHELL_LEAST = 0.5
+
+
+def same_address_edges(owners: DataFrame, owns: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """SHARES_ADDRESS between owners at one address: one row per owner, linked to the others of its group.
+
+    `n_new` counts the owners of the address that `existing` (a, b) does not tie to this one; an owner
+    with none left has no row.
+    """
+    members = shared_address_owners(owners, owns).withColumn("n_new", F.col("n_members") - 1)
     if existing is not None:
-        known = existing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(known, ["a", "b"], "left_anti")
-    return pairs.select(
-        "a", "b", "form", F.lit(1.0).alias("similarity"), F.lit("exact_address").alias("match_type"),
-        "total_properties",
+        both = existing.select("a", "b").unionByName(existing.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        place = members.select("owner_id", "address_key")
+        known = (
+            both.filter("a <> b").distinct()
+            .join(place.withColumnsRenamed({"owner_id": "a"}), "a")
+            .join(place.withColumnsRenamed({"owner_id": "b"}), ["b", "address_key"])
+            .groupBy("address_key", F.col("a").alias("owner_id")).agg(F.count("*").alias("n_known"))
+        )
+        members = members.join(known, ["address_key", "owner_id"], "left")
+        members = members.withColumn("n_new", F.col("n_new") - F.coalesce("n_known", F.lit(0))).filter("n_new > 0")
+    return members.select(
+        "address_key", "owner_id", "first_member", "n_members", "n_new", F.lit(1.0).alias("similarity"),
+        F.lit("exact_address").alias("match_type"), "property_count", "total_properties",
     )
 
 
@@ -136,12 +153,31 @@ def near_address_edges(owners: DataFrame, owns: DataFrame, *, max_distance: int
     )
 
 
-def potential_shells(links: DataFrame, *, at_least: int = 3) -> DataFrame:
-    """POTENTIAL_SHELL: linked owners with enough properties together, and a confidence."""
-    total = F.col("total_properties")
-    confidence = F.when(total >= 10, 0.9).when(total >= 5, 0.7).otherwise(0.5)
-    return links.filter(total >= at_least).select(
-        "a", "b", confidence.alias("confidence"), total.alias("property_count")
+def potential_shells(members: DataFrame, *, at_least: int = 3) -> DataFrame:
+    """POTENTIAL_SHELL: owners whose address holds others with enough properties together.
+
+    members(address_key, owner_id, property_count). One row per owner and confidence, with the number
+    of other owners at the address (`n_links`) whose properties and its own reach that confidence.
+    From the highest step on the exact number no longer matters, so owners of an address fall into at
+    most `SHELL_STEPS[0][0]` classes, and classes are compared instead of owners.
+    """
+    most = SHELL_STEPS[0][0]
+    size = F.least("property_count", F.lit(most))
+    sized = members.filter("address_key IS NOT NULL").withColumn("size", size)
+    classes = cut_lineage(sized.groupBy("address_key", "size").agg(F.count("*").alias("n")), "classes")
+    other = classes.withColumnsRenamed({"size": "other_size", "n": "other_n"})
+    total = F.col("size") + F.col("other_size")
+    confidence = F.lit(None).cast("double")
+    for low, value in reversed(SHELL_STEPS):
+        confidence = F.when(total >= low, value).otherwise(confidence)
+    own = (F.col("size") == F.col("other_size")).cast("long")
+    links = (
+        classes.join(other, "address_key").filter(total >= at_least)
+        .groupBy("address_key", "size", F.coalesce(confidence, F.lit(SHELL_LEAST)).alias("confidence"))
+        .agg(F.sum(F.col("other_n") - own).alias("n_links")).filter("n_links > 0")
+    )
+    return sized.join(cut_lineage(links, "links"), ["address_key", "size"]).select(
+        "address_key", "owner_id", "property_count", "confidence", "n_links"
     )
 
 

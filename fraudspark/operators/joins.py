@@ -9,34 +9,29 @@ from pyspark.sql import functions as F
 
 from fraudspark.functions.numbers import ratio
 from fraudspark.functions.text import match_key, normalize_name
-from fraudspark.operators.pairs import PAIR_LIMIT, shared_key_pairs, similar_strings
+from fraudspark.operators.pairs import group_members, similar_strings
 
 
-def shared_addresses(
-    entities: DataFrame, entity: str = "name", address: str = "address", *, pair_limit: int = PAIR_LIMIT
-) -> DataFrame:
-    """Entities at one address, compared without case and outer blanks."""
+def shared_addresses(entities: DataFrame, entity: str = "name", address: str = "address") -> DataFrame:
+    """Entities at one address, compared without case and outer blanks: one row per address and entity."""
     keyed = entities.select(F.col(entity), match_key(F.col(address)).alias("address_key"))
-    return shared_key_pairs(keyed, "address_key", entity, pair_limit=pair_limit)
+    return group_members(keyed, "address_key", entity)
 
 
-def shared_officers(
-    companies: DataFrame, company: str = "name", officers: str = "officers", *, pair_limit: int = PAIR_LIMIT
-) -> DataFrame:
-    """Companies with a common officer."""
+def shared_officers(companies: DataFrame, company: str = "name", officers: str = "officers") -> DataFrame:
+    """Companies with a common officer: one row per officer and company."""
     named = companies.select(F.col(company), F.explode(officers).alias("_o"))
     keyed = named.select(company, match_key(F.col("_o")).alias("officer"))
-    return shared_key_pairs(keyed, "officer", company, pair_limit=pair_limit)
+    return group_members(keyed, "officer", company)
 
 
-def similar_or_colocated(
-    companies: DataFrame, *, max_distance: int = 2, pair_limit: int = PAIR_LIMIT
-) -> DataFrame:
+def similar_or_colocated(companies: DataFrame, *, max_distance: int = 2) -> DataFrame:
     """Companies with nearly equal names, or at the same address.
 
-    companies(id, name, address_key). Rows are (kind, a, b, name_distance, n_a, n_b): for
-    'similar_name', a and b are the first holders of two near names with n_a and n_b holders;
-    'same_name' and 'same_address' list members of one key.
+    companies(id, name, address_key). Rows are (kind, a, b, name_distance, n_a, n_b). For
+    'similar_name', a and b are the first holders of two near names with n_a and n_b holders.
+    For 'same_name' and 'same_address' each member b of a group of n_b has a row, under the group's
+    first member a; companies at one address differ in name, so no distance is given.
     """
     named = companies.withColumn("name_key", normalize_name(F.col("name"))).filter("name_key <> ''")
     holders = named.groupBy("name_key").agg(F.min("id").alias("first"), F.count("*").alias("n"))
@@ -50,17 +45,11 @@ def similar_or_colocated(
         F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
         F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"),
     )
-    one = F.lit(1).cast("bigint")
-    same = shared_key_pairs(named, "name_key", "id", pair_limit=pair_limit).select(
-        F.lit("same_name").alias("kind"), "a", "b", F.lit(0).alias("name_distance"), one.alias("n_a"), one.alias("n_b")
+    members = lambda key, kind, distance: group_members(named, key, "id").select(
+        F.lit(kind).alias("kind"), F.col("first_member").alias("a"), F.col("id").alias("b"),
+        F.lit(distance).cast("int").alias("name_distance"), F.col("n_members").alias("n_a"), F.col("n_members").alias("n_b"),
     )
-    name_of = lambda s: named.select(F.col("id").alias(s), F.col("name_key").alias(f"k{s}"))
-    placed = shared_key_pairs(named, "address_key", "id", pair_limit=pair_limit)
-    placed = placed.join(name_of("a"), "a").join(name_of("b"), "b").select(
-        F.lit("same_address").alias("kind"), "a", "b", F.levenshtein("ka", "kb").alias("name_distance"),
-        one.alias("n_a"), one.alias("n_b"),
-    )
-    return near.unionByName(same).unionByName(placed)
+    return near.unionByName(members("name_key", "same_name", 0)).unionByName(members("address_key", "same_address", None))
 
 
 def activity_by_dataset(datasets: dict[str, DataFrame], key: str) -> DataFrame:

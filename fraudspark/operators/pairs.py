@@ -1,28 +1,31 @@
-"""Pairs of records that share a key or hold nearly equal strings.
+"""Records that share a key, and pairs of nearly equal strings.
 
-Listing every pair of a key grows with the square of its size. Keys with up to `pair_limit`
-members are listed pair by pair; a larger key is given as a star, one row from its first member
-to every other, with the size of the key. Both forms hold the whole group, connect the same
-records and cost at most `pair_limit` rows per member.
+Listing every pair of a key grows with the square of its size. Here a shared key gives one row per
+member, with the size of its group: any two members are a pair. This is one form at every size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudspark.session import cut_lineage
 
-# Largest key whose pairs are listed one by one.
-PAIR_LIMIT = 64
 
+def group_members(df: DataFrame, key: str, member: str, values: Sequence[str] = ()) -> DataFrame:
+    """Members of keys held by two or more: (key, member, values, n_members, first_member, totals).
 
-def group_members(df: DataFrame, key: str, member: str) -> DataFrame:
-    """Members of keys held by two or more: (key, member, n_members, first_member)."""
-    named = df.select(key, member).na.drop().distinct()
+    `values` are numbers of the member; each is carried along and summed over the group as `total_<name>`.
+    """
+    named = df.select(key, member, *values).na.drop(subset=[key, member]).dropDuplicates([key, member])
     sizes = (
         named.groupBy(key)
-        .agg(F.count("*").alias("n_members"), F.min(member).alias("first_member"))
+        .agg(
+            F.count("*").alias("n_members"), F.min(member).alias("first_member"),
+            *[F.sum(v).alias(f"total_{v}") for v in values],
+        )
         .filter("n_members > 1")
     )
     # Stored, so the join shuffles both sides itself and a hot key can be split at run time;
@@ -30,22 +33,6 @@ def group_members(df: DataFrame, key: str, member: str) -> DataFrame:
     return named.join(cut_lineage(sizes, "sizes"), key)
 
 
-def shared_key_pairs(
-    df: DataFrame, key: str, member: str, *, pair_limit: int = PAIR_LIMIT
-) -> DataFrame:
-    """(key, a, b, n_members, form) with a < b; `form` is 'pair' or 'star'."""
-    members = group_members(df, key, member)
-    small = members.filter(F.col("n_members") <= pair_limit)
-    left = small.select(key, F.col(member).alias("a"), "n_members")
-    right = small.select(key, F.col(member).alias("b"))
-    pairs = left.join(right, key).filter("a < b").withColumn("form", F.lit("pair"))
-    stars = members.filter((F.col("n_members") > pair_limit) & (F.col(member) > F.col("first_member")))
-    stars = stars.select(
-        key, F.col("first_member").alias("a"), F.col(member).alias("b"), "n_members"
-    ).withColumn("form", F.lit("star"))
-    return pairs.select(key, "a", "b", "n_members", "form").unionByName(stars)
-
-
 def similar_strings(
     df: DataFrame, column: str, max_distance: int, *, bucket_limit: int = 256
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fraudspark.functions.numbers import ratio
 from fraudspark.functions.text import normalize_address
 from fraudspark.operators.enrich import count_per, with_branches
-from fraudspark.operators.pairs import PAIR_LIMIT, group_members, shared_key_pairs, similar_strings
+from fraudspark.operators.pairs import group_members, similar_strings
 from fraudspark.operators.parts import PART_SIZE, collect_parts
 from fraudspark.session import cut_lineage
 
@@ -266,20 +266,20 @@ def with_address_key(owners: DataFrame) -> DataFrame:
     )
 
 
-def shared_address_pairs(
-    owners: DataFrame, owns: DataFrame, *, pair_limit: int = PAIR_LIMIT
-) -> DataFrame:
-    """Owners at one address, with the number of properties of each side and in total."""
-    counts = property_counts(owns)
-    holding = with_address_key(owners).join(counts, "owner_id", "left_semi")
-    pairs = shared_key_pairs(holding, "address_key", "owner_id", pair_limit=pair_limit)
-    first = counts.select(F.col("owner_id").alias("a"), F.col("property_count").alias("properties_a"))
-    second = counts.select(F.col("owner_id").alias("b"), F.col("property_count").alias("properties_b"))
-    return (
-        pairs.join(first, "a")
-        .join(second, "b")
-        .withColumn("total_properties", F.col("properties_a") + F.col("properties_b"))
-    )
+def shared_address_owners(owners: DataFrame, owns: DataFrame) -> DataFrame:
+    """Owners that share an address: (address_key, owner_id, property_count, n_members, first_member, total_properties).
+
+    Any two owners of an address are a pair; `total_properties` is that of the whole group.
+    """
+    holding = with_address_key(owners).join(property_counts(owns), "owner_id")
+    members = group_members(holding, "address_key", "owner_id", ["property_count"])
+    return members.withColumnRenamed("total_property_count", "total_properties")
+
+
+def shared_address_properties(owners: DataFrame, owns: DataFrame) -> DataFrame:
+    """(address_key, owner_id, bin): the properties behind `shared_address_owners`."""
+    places = shared_address_owners(owners, owns).select("address_key", "owner_id")
+    return owns.distinct().join(places, "owner_id").select("address_key", "owner_id", "bin")
 
 
 def address_totals(owners: DataFrame, owns: DataFrame) -> DataFrame:
@@ -371,43 +371,12 @@ def work_over_related_owners(
     return with_branches(sums, ["a", "b"], [work])
 
 
-def contractors_of_shell_owners(
-    owners: DataFrame, owns: DataFrame, jobs: DataFrame, *, pair_limit: int = PAIR_LIMIT
-) -> DataFrame:
-    """Contractors, properties and jobs over pairs of owners at one address.
-
-    Addresses with more than `pair_limit` owners give one row for the whole address
-    (`form` = 'group', no second owner).
-    """
-    counts = property_counts(owns)
-    holding = with_address_key(owners).join(counts, "owner_id", "left_semi")
-    members = group_members(holding, "address_key", "owner_id")
-    pairs = shared_key_pairs(holding, "address_key", "owner_id", pair_limit=pair_limit)
-    pair_ends = pairs.filter("form = 'pair'").select(
-        "address_key", F.col("a").alias("owner1"), F.col("b").alias("owner2"), "form",
-        F.explode(F.array("a", "b")).alias("owner_id"),
-    )
-    crowd_ends = members.filter(F.col("n_members") > pair_limit).select(
-        "address_key", F.col("first_member").alias("owner1"),
-        F.lit(None).cast("bigint").alias("owner2"), F.lit("group").alias("form"), "owner_id",
-    )
-    ends = pair_ends.unionByName(crowd_ends)
-    keys = ["address_key", "owner1", "owner2", "form"]
-    held = ends.join(counts, "owner_id").groupBy(*keys).agg(
-        F.sum("property_count").alias("n_properties")
-    )
-    work = (
-        ends.join(owner_contractors(owns, jobs), "owner_id")
-        .groupBy(*keys, "contractor_id")
-        .agg(F.sum("n_jobs").alias("n_jobs"))
-        .groupBy(*keys)
-        .agg(F.count("*").alias("n_contractors"), F.sum("n_jobs").alias("total_jobs"))
+def contractors_of_shell_owners(owners: DataFrame, owns: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Contractors, properties and jobs over the owners at one address: one row per shared address."""
+    work = _address_contractors(owners, owns, jobs).groupBy("address_key").agg(
+        F.count("*").alias("n_contractors"), F.sum("n_jobs").alias("total_jobs")
     )
-    same = F.lit(True)
-    left, right = held.alias("h"), work.alias("w")
-    for k in keys:
-        same = same & F.col(f"h.{k}").eqNullSafe(F.col(f"w.{k}"))
-    return left.join(right, same).select("h.*", "w.n_contractors", "w.total_jobs")
+    return address_totals(owners, owns).filter("n_owners > 1").join(work, "address_key")
 
 
 def owner_fraud_scores(

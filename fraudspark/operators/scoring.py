@@ -237,12 +237,8 @@ RECOMMENDATIONS = [
 ]
 
 
-# More high-risk ids than this are counted in the text; `high_risk` lists them all.
-LISTED_IDS = 100
-
-
 def recommendations(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Composite scores with what to do about them, naming the high-risk entities."""
+    """Composite scores with what to do about them; `focus_entities` names the high-risk entities."""
     keys = keys or []
     composites = composite(scores, keys)
     ladder = None
@@ -250,19 +246,13 @@ def recommendations(scores: DataFrame, keys: list[str] | None = None) -> DataFra
         hit, value = F.col("composite_score") > low, F.array(*[F.lit(t) for t in texts])
         ladder = F.when(hit, value) if ladder is None else ladder.when(hit, value)
     general = ladder.otherwise(F.array().cast("array<string>"))
-    case = [F.col(k) for k in keys] or [F.lit(0)]
-    risky = high_risk(scores).withColumn("_case", F.struct(*case))
-    cases = composites.withColumn("_case", F.struct(*case))
-    few = cases.filter(F.col("high_risk_entities") <= LISTED_IDS).select("_case")
-    ids = risky.join(few, "_case", "left_semi").groupBy("_case").agg(
-        F.array_join(F.array_sort(F.collect_list("entity_id")), ", ").alias("_ids")
-    )
-    focus = F.when(F.col("high_risk_entities") > 0, F.coalesce(
-        F.concat(F.lit("Focus investigation on high-risk entities: "), F.col("_ids")),
-        F.format_string("Focus investigation on %d high-risk entities", "high_risk_entities"),
-    ))
-    texts = F.array_compact(F.concat(general, F.array(focus)))
-    return cases.join(ids, "_case", "left").withColumn("recommendations", texts).drop("_case", "_ids")
+    focus = F.when(F.col("high_risk_entities") > 0, "Focus investigation on high-risk entities")
+    return composites.withColumn("recommendations", F.array_compact(F.concat(general, F.array(focus))))
+
+
+def focus_entities(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, entity_type, entity_id, risk_score): the high-risk entities behind each case of `recommendations`."""
+    return high_risk(scores).select(*(keys or []), "entity_type", "entity_id", "risk_score")
 
 
 def high_risk(scores: DataFrame, *, above: float = 60) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fraudspark.operators import entities as op
-from fraudspark.operators.pairs import PAIR_LIMIT
 from fraudspark.operators.patterns import collaborations
 from fraudspark.plans.patterns import branches
 from fraudspark.plans.raw import RAW_ECB_SQL, RAW_JOBS_SQL, raw_ecb, raw_jobs
@@ -105,22 +104,20 @@ def ent08(r: Roles):
     )
 
 
-PAIRS_SQL = f"""
-    , pairs AS (SELECT x.address_key, x.owner_id AS a, y.owner_id AS b, 'pair' AS form, c.n_members
-                FROM holding x JOIN holding y ON x.address_key = y.address_key AND x.owner_id < y.owner_id
-                JOIN crowd c ON c.address_key = x.address_key AND c.n_members <= {PAIR_LIMIT}
-                UNION ALL
-                SELECT address_key, first_member, owner_id, 'star', n_members FROM holding JOIN crowd USING (address_key)
-                WHERE n_members > {PAIR_LIMIT} AND owner_id > first_member),
-      linked AS (SELECT pairs.*, p.property_count AS properties_a, q.property_count AS properties_b,
-                        p.property_count + q.property_count AS total_properties
-                 FROM pairs JOIN held p ON p.owner_id = a JOIN held q ON q.owner_id = b)
+MEMBERS_SQL = """
+    , members AS (SELECT address_key, owner_id, property_count, n_members, first_member,
+                         CAST(sum(property_count) OVER (PARTITION BY address_key) AS BIGINT) AS total_properties
+                  FROM holding JOIN crowd USING (address_key))
 """
 
 
-@query("ent09_same_address_edges", branches(PAIRS_SQL + """
-    SELECT a, b, form, 1.0::DOUBLE AS similarity, 'exact_address' AS match_type, total_properties
-    FROM linked WHERE NOT (a % 5 = 0 AND b = a + 25)"""))
+@query("ent09_same_address_edges", branches(MEMBERS_SQL + """
+    , known AS (SELECT x.address_key, unnest([x.owner_id, y.owner_id]) AS owner_id FROM members x JOIN members y
+                ON x.address_key = y.address_key AND x.owner_id % 5 = 0 AND y.owner_id = x.owner_id + 25),
+      k AS (SELECT address_key, owner_id, count(*) AS n_known FROM known GROUP BY ALL)
+    SELECT address_key, owner_id, first_member, n_members, n_members - 1 - coalesce(n_known, 0) AS n_new, 1.0::DOUBLE AS similarity,
+           'exact_address' AS match_type, property_count, total_properties
+    FROM members LEFT JOIN k USING (address_key, owner_id) WHERE n_members - 1 > coalesce(n_known, 0)"""))
 def ent09(r: Roles):
     # Existing links: every fifth owner is known to be tied to the one 25 places on.
     known = r.owners().filter("owner_id % 5 = 0").select(
@@ -144,9 +141,11 @@ def ent10(r: Roles):
     return op.near_address_edges(r.owners(), r.owns())
 
 
-@query("ent11_potential_shells", branches(PAIRS_SQL + """
-    SELECT a, b, CASE WHEN total_properties >= 10 THEN 0.9 WHEN total_properties >= 5 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence,
-           total_properties AS property_count FROM linked WHERE total_properties >= 3"""))
+@query("ent11_potential_shells", branches(MEMBERS_SQL + """
+    SELECT x.address_key, x.owner_id, x.property_count,
+           CASE WHEN x.property_count + y.property_count >= 10 THEN 0.9 WHEN x.property_count + y.property_count >= 5 THEN 0.7 ELSE 0.5 END::DOUBLE AS confidence,
+           count(*) AS n_links FROM members x JOIN members y ON x.address_key = y.address_key AND x.owner_id <> y.owner_id
+    WHERE x.property_count + y.property_count >= 3 GROUP BY ALL"""))
 def ent11(r: Roles):
     return op.potential_shells(op.same_address_edges(r.owners(), r.owns()))
 

@@ -10,7 +10,7 @@ from fraudspark.operators import scoring
 from fraudspark.operators.joins import shared_addresses, shared_officers
 from fraudspark.operators.temporal import in_windows
 from fraudspark.plans.entities import GRAPH_SQL, relationship_graph
-from fraudspark.plans.joins import group_pairs_sql
+from fraudspark.plans.joins import group_members_sql
 from fraudspark.plans.registry import query
 from fraudspark.plans.roles import Roles
 from fraudspark.plans.scoring import LINKED_SQL, entity_links, linked_scores
@@ -287,8 +287,8 @@ def gr21(r: Roles):
 
 CLUSTER_SQL = f"""
     WITH RECURSIVE o AS (SELECT p_partkey, unnest([lower(p_name || ' ' || p_brand), lower(p_type || ' ' || p_size)]) AS officer FROM part),
-    {group_pairs_sql("o", "officer", "p_partkey")},
-    deg AS (SELECT a AS n FROM grouped UNION SELECT b FROM grouped)
+    {group_members_sql("o", "officer", "p_partkey")},
+    deg AS (SELECT DISTINCT p_partkey FROM grouped)
     SELECT count(*) AS n_companies FROM deg"""
 
 
@@ -298,7 +298,8 @@ def gp22(r: Roles):
         F.col("p_partkey").alias("name"),
         F.array(F.concat_ws(" ", "p_name", "p_brand"), F.concat_ws(" ", "p_type", "p_size")).alias("officers"),
     )
-    links = shared_officers(companies).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    # The first company of each officer stands for the group: the others are linked to it.
+    links = shared_officers(companies).filter("name <> first_member").select(F.col("first_member").alias("src"), F.col("name").alias("dst"))
     return op.clusters(links, at_least=2).agg(F.count("*").alias("n_companies"))
 
 
@@ -307,7 +308,7 @@ def gp22(r: Roles):
     SELECT CAST(split_part(dst, ':', 2) AS BIGINT) AS node, component, n AS size FROM edges JOIN s USING (src) WHERE n >= 5""")
 def gp22_addresses(r: Roles):
     named = r.owners().select(F.col("owner_id").alias("name"), F.col("owner_address").alias("address"))
-    links = shared_addresses(named).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = shared_addresses(named).filter("name <> first_member").select(F.col("first_member").alias("src"), F.col("name").alias("dst"))
     return op.clusters(links, at_least=5).select("node", "component", "size")
 
 

@@ -8,17 +8,21 @@ from fraudspark.operators import joins as op
 from fraudspark.operators import patterns as pt
 from fraudspark.operators.aggregates import top_or_other
 from fraudspark.operators.enrich import count_per, with_branches
-from fraudspark.operators.pairs import PAIR_LIMIT, related_pairs_missing
-from fraudspark.plans.entities import FUZZY_SQL, PAIRS_SQL
+from fraudspark.operators.pairs import related_pairs_missing
+from fraudspark.plans.entities import FUZZY_SQL, MEMBERS_SQL
 from fraudspark.plans.patterns import branches
 from fraudspark.plans.registry import query
 from fraudspark.plans.roles import Roles
 
 
-@query("jn01_shared_address_pairs", branches(PAIRS_SQL + """
-    SELECT address_key, a, b, n_members, form, properties_a, properties_b, total_properties FROM linked"""))
+@query("jn01_shared_address_pairs", branches(MEMBERS_SQL + "SELECT * FROM members"))
 def jn01(r: Roles):
-    return pt.shared_address_pairs(r.owners(), r.owns())
+    return pt.shared_address_owners(r.owners(), r.owns())
+
+
+@query("jn01_shared_address_properties", branches(MEMBERS_SQL + "SELECT DISTINCT address_key, owner_id, bin FROM members JOIN owns USING (owner_id)"))
+def jn01_properties(r: Roles):
+    return pt.shared_address_properties(r.owners(), r.owns())
 
 
 @query("jn02_similar_addresses", branches(FUZZY_SQL.format(k=3) + "SELECT * FROM fuzzy"))
@@ -26,15 +30,12 @@ def jn02(r: Roles):
     return pt.similar_addresses(r.owners(), r.owns())
 
 
-def group_pairs_sql(source: str, key: str, member: str) -> str:
-    """SQL for pairs or stars of a (key, member) table."""
+def group_members_sql(source: str, key: str, member: str) -> str:
+    """SQL for the members of keys that two or more hold."""
     return f"""
-    m AS (SELECT {key}, {member}, count(*) OVER (PARTITION BY {key}) AS n_members, min({member}) OVER (PARTITION BY {key}) AS first_member
-          FROM (SELECT DISTINCT {key}, {member} FROM {source})),
-    grouped AS (SELECT x.{key}, x.{member} AS a, y.{member} AS b, x.n_members, 'pair' AS form FROM m x JOIN m y
-                  ON x.{key} = y.{key} AND x.{member} < y.{member} WHERE x.n_members <= {PAIR_LIMIT}
-                UNION ALL SELECT {key}, first_member, {member}, n_members, 'star' FROM m
-                WHERE n_members > {PAIR_LIMIT} AND {member} > first_member)"""
+    grouped AS (SELECT * FROM (SELECT {key}, {member}, count(*) OVER (PARTITION BY {key}) AS n_members,
+                                      min({member}) OVER (PARTITION BY {key}) AS first_member
+                               FROM (SELECT DISTINCT {key}, {member} FROM {source})) WHERE n_members > 1)"""
 
 
 COMPANY_SQL = """
@@ -43,12 +44,11 @@ COMPANY_SQL = """
 
 
 @query("jn03_similar_name_or_same_address", f"""
-    WITH {COMPANY_SQL}, {group_pairs_sql("c", "address_key", "id")}
+    WITH {COMPANY_SQL}, {group_members_sql("c", "address_key", "id")}
     SELECT 'similar_name' AS kind, least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, CAST(levenshtein(x.name_key, y.name_key) AS INTEGER) AS name_distance,
            CAST(1 AS BIGINT) AS n_a, CAST(1 AS BIGINT) AS n_b
     FROM c x JOIN c y ON x.name_key < y.name_key WHERE levenshtein(x.name_key, y.name_key) <= 2
-    UNION ALL SELECT 'same_address', a, b, CAST(levenshtein(x.name_key, y.name_key) AS INTEGER), 1, 1
-    FROM grouped JOIN c x ON x.id = a JOIN c y ON y.id = b""")
+    UNION ALL SELECT 'same_address', first_member, id, NULL, n_members, n_members FROM grouped""")
 def jn03(r: Roles):
     companies = r.table("supplier").join(r.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("n_name").alias("address_key")
@@ -58,14 +58,14 @@ def jn03(r: Roles):
 
 @query("jn04_shared_addresses", f"""
     WITH e AS (SELECT c_name AS name, lower(trim(n_name || ' ' || c_mktsegment)) AS address_key FROM customer JOIN nation ON c_nationkey = n_nationkey),
-    {group_pairs_sql("e", "address_key", "name")} SELECT * FROM grouped""")
+    {group_members_sql("e", "address_key", "name")} SELECT * FROM grouped""")
 def jn04(r: Roles):
     return op.shared_addresses(r.owners().withColumnRenamed("owner_name", "name"), "name", "owner_address")
 
 
 @query("jn05_shared_officers", f"""
     WITH o AS (SELECT p_partkey, unnest([lower(p_name || ' ' || p_brand), lower(p_type || ' ' || p_size)]) AS officer FROM part),
-    {group_pairs_sql("o", "officer", "p_partkey")} SELECT * FROM grouped""")
+    {group_members_sql("o", "officer", "p_partkey")} SELECT * FROM grouped""")
 def jn05(r: Roles):
     companies = r.table("part").select(
         "p_partkey",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fraudspark.operators import patterns as op
-from fraudspark.operators.pairs import PAIR_LIMIT
 from fraudspark.plans.registry import query
 from fraudspark.plans.roles import Roles
 
@@ -97,22 +96,9 @@ def gp03(r: Roles):
     )
 
 
-@query("gp04_shell_owner_contractors", branches(f"""
-    , ends AS (SELECT x.address_key, x.owner_id AS owner1, y.owner_id AS owner2, 'pair' AS form,
-                      unnest([x.owner_id, y.owner_id]) AS owner_id
-               FROM holding x JOIN holding y ON x.address_key = y.address_key AND x.owner_id < y.owner_id
-               JOIN crowd c ON c.address_key = x.address_key AND n_members <= {PAIR_LIMIT}
-               UNION ALL
-               SELECT address_key, first_member, NULL, 'group', owner_id
-               FROM holding JOIN crowd USING (address_key) WHERE n_members > {PAIR_LIMIT}),
-      h AS (SELECT address_key, owner1, owner2, form, CAST(sum(property_count) AS BIGINT) AS n_properties
-            FROM ends JOIN held USING (owner_id) GROUP BY 1, 2, 3, 4),
-      w AS (SELECT address_key, owner1, owner2, form, count(DISTINCT contractor_id) AS n_contractors,
-                   CAST(sum(n_jobs) AS BIGINT) AS total_jobs
-            FROM ends JOIN wk USING (owner_id) GROUP BY 1, 2, 3, 4)
-    SELECT h.*, n_contractors, total_jobs FROM h JOIN w
-      ON h.address_key = w.address_key AND h.owner1 = w.owner1 AND h.form = w.form
-         AND h.owner2 IS NOT DISTINCT FROM w.owner2"""))
+@query("gp04_shell_owner_contractors", branches("""
+    SELECT address_key, totals.n_owners, totals.n_properties, count(DISTINCT contractor_id) AS n_contractors, CAST(sum(wk.n_jobs) AS BIGINT) AS total_jobs
+    FROM totals JOIN holding USING (address_key) JOIN wk USING (owner_id) WHERE totals.n_owners > 1 GROUP BY 1, 2, 3"""))
 def gp04(r: Roles):
     return op.contractors_of_shell_owners(r.owners(), r.owns(), r.jobs())
 

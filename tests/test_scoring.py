@@ -42,7 +42,9 @@ def test_composite_of_all_high(spark):
     high = scoring.score_all({k: table(spark, k).limit(1) for k in CASES})
     row = scoring.recommendations(high).first()
     assert row.composite_score == 100 and row.composite_level == "CRITICAL" and row.high_risk_entities == 6
-    assert row.recommendations[0].startswith("IMMEDIATE ACTION") and "person_001" in row.recommendations[-1]
+    assert row.recommendations[0].startswith("IMMEDIATE ACTION") and "high-risk entities" in row.recommendations[-1]
+    named = {(r.entity_type, r.entity_id) for r in scoring.focus_entities(high).collect()}
+    assert len(named) == 6 and ("person", "person_001") in named
 
 
 def test_levels(spark):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fraudspark.operators import patterns, temporal
 from fraudspark.operators.documents import project_documents
 from fraudspark.operators.ordered import quantiles, range_counts, running
-from fraudspark.operators.pairs import shared_key_pairs, similar_strings
+from fraudspark.operators.entities import potential_shells
+from fraudspark.operators.pairs import group_members, similar_strings
 from fraudspark.operators.parts import collect_parts
 from fraudspark.session import cut_lineage
 
@@ -67,13 +68,28 @@ def test_value_changes_and_repeats(hot):
         assert same(fn(hot, ["user_id"], "ts", "event_id", *more), fn(hot, ["user_id"], "ts", "event_id", *more, group_limit=5))
 
 
-def test_pairs_and_stars(spark):
-    rows = [("small", i) for i in range(4)] + [("big", i) for i in range(20)] + [("one", 1), ("", 3), ("", 4), (None, 5)]
-    df = spark.createDataFrame(rows, "k string, id int").filter("k <> ''")
-    got = shared_key_pairs(df, "k", "id", pair_limit=5).collect()
-    assert sorted((r.a, r.b) for r in got if r.k == "small") == [(a, b) for a in range(4) for b in range(a + 1, 4)]
-    assert sorted((r.a, r.b) for r in got if r.k == "big") == [(0, b) for b in range(1, 20)]
-    assert {r.n_members for r in got if r.form == "star"} == {20} and {r.k for r in got} == {"small", "big"}
+def test_group_members(spark):
+    """One form at every size: a key that holds most rows has one row per member, like all others."""
+    rows = [("small", i) for i in range(4)] + [("big", i) for i in range(500)] + [("big", 7), ("one", 1), (None, 5), ("small", None)]
+    df = spark.createDataFrame(rows, "k string, id int").withColumn("worth", F.col("id") + 1)
+    got = group_members(df, "k", "id", ["worth"]).collect()
+    assert sorted((r.k, r.id, r.worth) for r in got) == sorted((k, i, i + 1) for k, i in set(rows) if k in ("small", "big") and i is not None)
+    assert {(r.k, r.n_members, r.first_member, r.total_worth) for r in got} == {("small", 4, 0, 10), ("big", 500, 0, 125250)}
+
+
+def test_shells_by_classes(spark):
+    """Links of each confidence, compared with all pairs, on an address of 300 owners."""
+    rng = random.Random(3)
+    rows = [("hot", i, rng.randint(1, 14)) for i in range(300)] + [("two", 900, 1), ("two", 901, 1), ("far", 950, 40), ("far", 951, 1), (None, 1, 9)]
+    members = spark.createDataFrame(rows, "address_key string, owner_id long, property_count long")
+    want = {}
+    for k, i, p in rows:
+        for m, j, q in rows:
+            if k and k == m and i != j and p + q >= 3:
+                at = (k, i, 0.9 if p + q >= 10 else 0.7 if p + q >= 5 else 0.5)
+                want[at] = want.get(at, 0) + 1
+    got = potential_shells(members).collect()
+    assert {(r.address_key, r.owner_id, r.confidence): r.n_links for r in got} == want and len(got) == len(want)
 
 
 def distance(a, b):
