@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fraudspark.llm.common import map_batches
 
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES, APART_ENTRIES = 240_000, 300_000
 KEPT_LENGTH = 48
 #: A space before something that is no white space always starts a match, so a text may be cut there.
 CUT = re.compile(r" (?=\S)")
@@ -86,7 +86,7 @@ class PrefixEncoder:
                 limit, left = left, left_half
             else:
                 limit, right = right + 1, right_half
-        if len(self._apart) > 2 * CACHE_ENTRIES:
+        if len(self._apart) > APART_ENTRIES:
             self._apart.clear()
         self._apart[key] = apart
         return apart
@@ -147,15 +147,18 @@ class Piece:
 
 
 class _Cached(dict):
-    """Ids by text, forgotten when there are too many."""
+    """Ids by text. Beyond half of `most` entries they turn old, and old ones not asked for again are forgotten."""
 
     def __init__(self, make, most: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, text: str) -> list[int]:
-        ids = self.make(text)
-        if len(self) >= self.most:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.make(text)
+        if 2 * len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         if len(text) <= KEPT_LENGTH:
             self[text] = ids
@@ -177,9 +180,10 @@ class TextEncoder:
         if text[:1] == " " and text[1:].isalpha():
             return self.encoder.encode(text.encode("utf-8"))
         out: list[int] = []
-        pieces = self.pieces
+        pieces, spaced = self.pieces, self.spaced
         for piece in self.pattern.findall(text):
-            out += pieces[piece]
+            # A word after a space is kept once, whatever follows it.
+            out += spaced[piece[1:]] if piece[0] == " " and piece[1:].isalpha() else pieces[piece]
         return out
 
     def encode(self, text: str) -> list[int]:
