@@ -3,8 +3,9 @@
 Every passage (a window of words, overlapping so that no item falls between two) is looked up in an
 inverted index of the items with block-max WAND, which returns all items whose score, as a share of
 the item's score for its own text, is at least `least_score`. A hit counts when enough of both the
-item's question and its answer is found in the passage as word triples. An item's question ends at
-its first question mark, or else with two thirds of its words.
+item's question and its answer is found in the passage as word triples. A side of one or two words has no
+triples; it must stand as a whole next to where the other side is found, in the item's order. An item's
+question ends at its first question mark, or else with two thirds of its words.
 
 Before WAND, the impacts of a passage's rarer words are added up by item; a passage is skipped when, for every item,
 they and all of the item's common words together stay under the threshold. No hit is lost by that.
@@ -27,6 +28,8 @@ from fraudspark.llm.common import as_bytes, hash_words, map_batches
 ITEM_WORDS, STEP = 192, 64
 POSTING_BLOCK = 64
 K1, B = 1.2, 0.75
+#: Words by which a side of one or two words may be off the place that the other side gives it ("the answer is").
+NEAR = 4
 #: Marks count as gaps, so that punctuation does not hide a match.
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -35,9 +38,31 @@ def words_of(text: str | None) -> np.ndarray:
     return hash_words(as_bytes(text).lower().translate(_PLAIN).split())
 
 
-def _triples(words: np.ndarray) -> set[int]:
-    n = min(3, len(words))
-    return {hash(tuple(x)) for x in zip(*(words[k:len(words) - n + 1 + k].tolist() for k in range(n)))} if n else set()
+def _runs(words: np.ndarray, n: int) -> list[int]:
+    """Hashes of all runs of `n` words, by position."""
+    count = max(0, len(words) - n + 1)
+    return [hash(x) for x in zip(*(words[k:count + k].tolist() for k in range(n)))]
+
+
+def _beside(text: np.ndarray, side: np.ndarray, other: np.ndarray, ahead: bool) -> bool:
+    """Whether `side`, of one or two words, stands in `text` after (`ahead`: before) `other`, near the place that a run of `other` gives it."""
+    size, n = len(side), min(3, len(other))
+    count = max(0, len(text) - size + 1)
+    spots = np.flatnonzero(np.all([text[k:count + k] == side[k] for k in range(size)], axis=0))
+    if not n or not len(spots):
+        return bool(len(spots))
+    at: dict[int, list[int]] = {}
+    for place, run in enumerate(_runs(other, n)):
+        at.setdefault(run, []).append(place)
+    for place, run in enumerate(_runs(text, n)):
+        for own in at.get(run, ()):
+            begin = place - own  # of the other side, as this run has it
+            due = begin - size if ahead else begin + len(other)
+            for spot in spots[(spots >= due - NEAR) & (spots <= due + NEAR)].tolist():
+                apart = spot + size <= place if ahead else spot >= place + n
+                if apart and not any(0 <= k - begin < len(other) and text[k] == other[k - begin] for k in range(spot, spot + size)):
+                    return True
+    return False
 
 
 class ItemIndex:
@@ -164,15 +189,26 @@ class ItemIndex:
         for start, end, terms in self.passages(words):
             there = None
             for part, score in self.search(terms):
-                there = _triples(words[start:end]) if there is None else there
+                there = set(_runs(words[start:end], 3)) if there is None else there
                 border, own = self.answers[part], self.parts[part]
-                shares = [len(t & there) / len(t) if (t := _triples(side)) else 1.0 for side in (own[:border], own[border:])]
-                hit = (score, *shares, start, end)
-                if min(shares) >= least_overlap and hit > best.get(self.items[part], (0,)):
+                hit = (score, *_shares(own[:border], own[border:], words[start:end], there), start, end)
+                if min(hit[1:3]) >= least_overlap and hit > best.get(self.items[part], (0,)):
                     best[self.items[part]] = hit
         return best
 
 
+def _shares(question: np.ndarray, answer: np.ndarray, text: np.ndarray, there: set[int]) -> list[float]:
+    """How much of question and answer is in `text`, whose triples are `there`; an empty side has all."""
+    out = []
+    for side, other, ahead in ((question, answer, True), (answer, question, False)):
+        if len(side) in (1, 2):
+            out.append(float(_beside(text, side, other, ahead)))
+        else:
+            own = set(_runs(side, 3))
+            out.append(len(own & there) / len(own) if own else 1.0)
+    return out
+
+
 def contaminated(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
                  item_column: str = "item_id", item_text_column: str = "text", least_score: float = 0.5,
                  least_overlap: float = 0.6, block_bytes: int = 8 << 20) -> DataFrame:

@@ -317,6 +317,28 @@ def test_decontamination(spark, docs, rows):
         assert len(pairs) == len(set(pairs)) and all(r["score"] >= 0.5 and r["question_overlap"] >= 0.6 for r in got)
 
 
+def test_decontamination_of_short_sides():
+    texts = {
+        1: "What is the capital of the old country of Fredonia? Paris", 2: "Who wrote? the long book about the whale and the sea", 3: "Name? Ishmael",
+        4: "alpha", 5: "beta gamma", 6: "delta eps zeta", 7: "one2 two2 three2 four2", 8: "aa bb cc dd ee ff gg hh", 9: "Where does the grey bear sleep in winter? deep cave",
+    }
+    index = bm25_wand.ItemIndex(list(texts.items()), 0.5)
+    filler = lambda tag, n=90: " ".join(f"{tag}{k}" for k in range(n))
+    hits = lambda text: set(index.matches(text, 0.6))
+    for item, text in texts.items():
+        assert hits(filler("x") + " " + text + " " + filler("y")) == {item}
+        assert hits(text) == {item}
+    assert hits("Q: " + texts[1].replace("?", "? The answer is:")) == {1}
+    # The other side alone, or with the short side elsewhere, is no hit.
+    question = texts[1].split("?")[0]
+    assert hits(filler("x", 20) + " Paris " + question + " " + filler("y", 20) + " Paris") == set()
+    assert hits("the long book about the whale and the sea who wrote") == set()
+    assert hits("where does the grey bear sleep in winter? cave deep") == set()
+    # A word of the question does not stand for the answer.
+    own = bm25_wand.ItemIndex([(1, "Which of these rivers runs through Paris today? Paris")], 0.5)
+    assert not own.matches("which of these rivers runs through Paris today", 0.6) and own.matches("which of these rivers runs through paris today paris", 0.6)
+
+
 # --- empty tables ------------------------------------------------------------------------------
 
 def test_empty_tables(spark, none, tmp_path):
