@@ -10,8 +10,11 @@ question ends at its first question mark, or else with two thirds of its words.
 Before WAND, the impacts of a passage's rarer words are added up by item; a passage is skipped when, for every item,
 they and all of the item's common words together stay under the threshold. No hit is lost by that.
 
-Items are indexed in blocks of at most `block_bytes` of text, each an index of its own that is sent to
-all executors. Items longer than `ITEM_WORDS` words are indexed in parts. Nulls and empty texts have no
+Items are indexed in blocks of about `block_bytes` of text, each an index of its own that is sent to
+all executors; word counts, mean length and passages are those of all items, so blocks do not change a hit.
+Items longer than `ITEM_WORDS` words are indexed in parts of about equal length. Parts only find such an item: where
+they are found, the stretches of the document that can hold the whole item are put together, and score, question and
+answer are those of the whole item on them. Nulls and empty texts have no
 passages and match nothing; items without words, or without an id, are left out. Repeated documents
 and items are matched one by one, and a pair is reported once. Columns other than id and text are not read.
 """
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudspark.llm.common import as_bytes, hash_words, map_batches
+from fraudspark.llm.common import as_bytes, hash_words, map_batches, signed
 
 ITEM_WORDS, STEP = 192, 64
 POSTING_BLOCK = 64
@@ -65,34 +68,63 @@ def _beside(text: np.ndarray, side: np.ndarray, other: np.ndarray, ahead: bool)
     return False
 
 
+def _cut(words: np.ndarray) -> list[np.ndarray]:
+    """Parts of about equal length, of at most `ITEM_WORDS` words; none without words."""
+    return np.array_split(words, -(-len(words) // ITEM_WORDS)) if len(words) else []
+
+
+class Counts:
+    """Of all parts of all items: how many, their words, the longest, and in how many each word is."""
+
+    def __init__(self, parts: int, words: int, longest: int, terms: np.ndarray, df: np.ndarray):
+        self.parts, self.words, self.longest, self.terms, self.df = parts, words, longest, terms, df
+
+    @classmethod
+    def of(cls, parts: list[np.ndarray]) -> Counts:
+        lengths = [len(p) for p in parts]
+        terms, df = np.unique(np.concatenate([np.empty(0, np.uint64), *map(np.unique, parts)]), return_counts=True)
+        return cls(len(parts), sum(lengths), max(lengths, default=0), terms, df)
+
+
 class ItemIndex:
-    """Inverted index of items with impacts as shares of each item's own score."""
+    """Inverted index of items with impacts as shares of each part's own score; `counts` when there are other items besides."""
 
-    def __init__(self, items: list[tuple], least_score: float):
+    def __init__(self, items: list[tuple], least_score: float, counts: Counts | None = None):
         self.least_score = least_score
-        self.items, self.parts, self.answers = [], [], []
+        self.items, self.words, self.borders = [], [], []
+        self.owners, self.starts, parts = [], [], []
         for item, text in items:
             words = words_of(text)
             mark = (text or "").find("?")
-            border = len(words_of(text[:mark + 1])) if mark >= 0 else (2 * len(words) + 2) // 3
-            for at in range(0, len(words), ITEM_WORDS):
-                self.items.append(item)
-                self.parts.append(words[at:at + ITEM_WORDS])
-                self.answers.append(min(max(border - at, 0), len(self.parts[-1])))
-        n = len(self.parts)
-        self.window = max(map(len, self.parts), default=0) + STEP
-        counted = [np.unique(p, return_counts=True) for p in self.parts]
-        pairs = np.concatenate([np.empty(0, np.uint64), *(t for t, _ in counted)])
-        self.terms, df = np.unique(pairs, return_counts=True)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(p) for p in self.parts]) if n else 1.0
+            at = 0
+            for part in _cut(words):
+                self.owners.append(len(self.items))
+                self.starts.append(at)
+                at += len(part)
+                parts.append(part)
+            self.items.append(item)
+            self.words.append(words)
+            self.borders.append(len(words_of(text[:mark + 1])) if mark >= 0 else (2 * len(words) + 2) // 3)
+        n, self.lengths = len(parts), [len(p) for p in parts]
+        counts = Counts.of(parts) if counts is None else counts
+        self.window = counts.longest + STEP
+        counted = [np.unique(p, return_counts=True) for p in parts]
+        self.terms = np.unique(np.concatenate([np.empty(0, np.uint64), *(t for t, _ in counted)]))
+        df = counts.df[np.searchsorted(counts.terms, self.terms)]
+        idf = np.log(1 + (counts.parts - df + 0.5) / (df + 0.5))
+        mean = counts.words / counts.parts if counts.parts else 1.0
+        #: Of items in parts: words and their impacts as shares of the whole item's score.
+        self.whole: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        raw: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         common = np.zeros(n)
         rare = np.zeros(len(self.terms), bool)
         impacts = []
         for i, (terms, tf) in enumerate(counted):
             at = np.searchsorted(self.terms, terms)
-            impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(self.parts[i]) / mean))
+            impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.lengths[i] / mean))
+            if len(self.words[self.owners[i]]) > ITEM_WORDS:
+                raw.setdefault(self.owners[i], []).append((terms, impact))
             impact = impact / impact.sum()
             impacts.append((at, impact))
             for t, x in zip(at.tolist(), impact.tolist()):
@@ -102,6 +134,10 @@ class ItemIndex:
             rare[at[by_df[:int(np.argmax(rest <= least_score / 4)) + 1]]] = True
         for i, (at, impact) in enumerate(impacts):
             common[i] = impact[~rare[at]].sum()
+        for owner, found in raw.items():
+            terms, where = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
+            impact = np.bincount(where, np.concatenate([x for _, x in found]))
+            self.whole[owner] = terms, impact / impact.sum()
         self.postings = [(np.array([i for i, _ in p], np.int32), np.array([x for _, x in p])) for p in postings]
         self.most = np.array([x.max() for _, x in self.postings]) if postings else np.zeros(0)
         #: What an item needs from its rarer words, and their postings one after another; common words have none.
@@ -176,33 +212,55 @@ class ItemIndex:
         pairs = np.unique(np.concatenate(pairs))
         first, times = self.rare_ends[pairs % size], self.rare_ends[pairs % size + 1] - self.rare_ends[pairs % size]
         entry = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
-        key, where = np.unique(np.repeat(pairs // size, times) * len(self.parts) + self.rare_parts[entry], return_inverse=True)
+        key, where = np.unique(np.repeat(pairs // size, times) * len(self.lengths) + self.rare_parts[entry], return_inverse=True)
         total = np.bincount(where, self.rare_impacts[entry], len(key))
-        for k in np.unique(key[total >= self.needed[key % len(self.parts)]] // len(self.parts)).tolist():
+        for k in np.unique(key[total >= self.needed[key % len(self.lengths)]] // len(self.lengths)).tolist():
             a, b = k * STEP, min(k * STEP + self.window, len(words))
             yield a, b, np.unique(at[a:b][hit[a:b]])
 
     def matches(self, text: str | None, least_overlap: float) -> dict:
         """Best hit by item: (score, question overlap, answer overlap, first word, end word of the passage)."""
         best: dict = {}
+        stretches: dict[int, list[tuple[int, int]]] = {}
         words = words_of(text)
+
+        def judge(owner: int, score: float, runs: list[tuple[int, int]], there: set[int]) -> None:
+            own, border = self.words[owner], self.borders[owner]
+            shares = _shares(own[:border], own[border:], [words[a:b] for a, b in runs], there)
+            hit = (score, *shares, runs[0][0], runs[-1][1])
+            if min(shares) >= least_overlap and hit > best.get(self.items[owner], (0,)):
+                best[self.items[owner]] = hit
+
         for start, end, terms in self.passages(words):
             there = None
             for part, score in self.search(terms):
-                there = set(_runs(words[start:end], 3)) if there is None else there
-                border, own = self.answers[part], self.parts[part]
-                hit = (score, *_shares(own[:border], own[border:], words[start:end], there), start, end)
-                if min(hit[1:3]) >= least_overlap and hit > best.get(self.items[part], (0,)):
-                    best[self.items[part]] = hit
+                owner, at = self.owners[part], self.starts[part]
+                if owner in self.whole:
+                    last = end - at - self.lengths[part] + len(self.words[owner])
+                    stretches.setdefault(owner, []).append((max(0, start - at), min(len(words), last)))
+                else:
+                    there = set(_runs(words[start:end], 3)) if there is None else there
+                    judge(owner, score, [(start, end)], there)
+        for owner, found in stretches.items():
+            runs: list[tuple[int, int]] = []
+            for a, b in sorted(found):
+                if runs and a <= runs[-1][1]:
+                    runs[-1] = runs[-1][0], max(b, runs[-1][1])
+                else:
+                    runs.append((a, b))
+            terms, impact = self.whole[owner]
+            score = float(impact[np.isin(terms, np.concatenate([words[a:b] for a, b in runs]))].sum())
+            if score >= self.least_score - 1e-9:
+                judge(owner, score, runs, {x for a, b in runs for x in _runs(words[a:b], 3)})
         return best
 
 
-def _shares(question: np.ndarray, answer: np.ndarray, text: np.ndarray, there: set[int]) -> list[float]:
-    """How much of question and answer is in `text`, whose triples are `there`; an empty side has all."""
+def _shares(question: np.ndarray, answer: np.ndarray, texts: list[np.ndarray], there: set[int]) -> list[float]:
+    """How much of question and answer is in `texts`, whose triples are `there`; an empty side has all."""
     out = []
     for side, other, ahead in ((question, answer, True), (answer, question, False)):
         if len(side) in (1, 2):
-            out.append(float(_beside(text, side, other, ahead)))
+            out.append(float(any(_beside(text, side, other, ahead) for text in texts)))
         else:
             own = set(_runs(side, 3))
             out.append(len(own & there) / len(own) if own else 1.0)
@@ -220,10 +278,10 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id"
     blocks = max(1, -(-size // block_bytes))
     schema = (f"`{id_column}` {kind}, `{item_column}` {item_kind}, score double, question_overlap double, answer_overlap double, "
               "first_word long, end_word long")
-    found = None
+    found, counts = None, _counts(items) if blocks > 1 else None
     for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(ItemIndex(sorted(map(tuple, own.collect()), key=str), least_score))
+        own = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
+        index = spark.sparkContext.broadcast(ItemIndex(sorted(map(tuple, own.collect()), key=str), least_score, counts))
 
         def make(index=index):
             def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -243,5 +301,25 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_column: str = "doc_id"
     return found
 
 
+def _counts(items: DataFrame) -> Counts:
+    def make():
+        def work(part: pa.RecordBatch) -> pa.RecordBatch:
+            own = Counts.of([p for text in part.column(0).to_pylist() for p in _cut(words_of(text))])
+            return pa.RecordBatch.from_arrays([
+                pa.array([None, *signed(own.terms).tolist()], pa.int64()), pa.array([own.parts, *own.df.tolist()], pa.int64()),
+                pa.array([own.words] + [0] * len(own.df), pa.int64()), pa.array([own.longest] + [0] * len(own.df), pa.int64()),
+            ], names=["term", "parts", "words", "longest"])
+
+        return work
+
+    made = map_batches(items.select("text"), make, "term long, parts long, words long, longest long").groupBy("term").agg(
+        F.sum("parts").alias("parts"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+    whole = made.filter("term is null").first()
+    each = made.filter("term is not null").select("term", "parts").toArrow()
+    terms, df = each["term"].to_numpy().astype(np.int64).view(np.uint64), each["parts"].to_numpy().astype(np.int64)
+    order = np.argsort(terms)
+    return Counts(whole["parts"], whole["words"], whole["longest"], terms[order], df[order])
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

@@ -339,6 +339,34 @@ def test_decontamination_of_short_sides():
     assert not own.matches("which of these rivers runs through Paris today", 0.6) and own.matches("which of these rivers runs through paris today paris", 0.6)
 
 
+def test_decontamination_of_long_items(spark):
+    run = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    texts = {n: run(f"a{n}x", n) for n in (193, 194, 195, 600)} | {1: run("q", 300) + "? " + run("z", 190) + " to the end", 2: run("p", 250) + "? yes"}
+    index = bm25_wand.ItemIndex(list(texts.items()), 0.5)
+    hits = lambda text: set(index.matches(text, 0.6))
+    for item, text in texts.items():
+        assert hits(run("x", 90) + " " + text + " " + run("y", 90)) == {item}
+    question, answer = texts[1].split("?")
+    assert hits(question) == hits(answer) == hits(run("x", 40) + " to the end " + run("y", 40)) == set()
+    assert hits(" ".join(texts[195].split()[-3:]) + " " + run("x", 40)) == hits(" ".join(texts[600].split()[:200])) == set()
+    assert hits(question + " " + run("x", 500) + " " + answer) == {1}
+    assert hits(texts[2][:-4]) == set()
+
+
+def test_decontamination_in_blocks(spark):
+    draw = np.random.default_rng(8)
+    some = lambda n: " ".join(f"w{x}" for x in draw.zipf(1.3, n) % 300)
+    texts = [(i % 55, some(int(n))) for i, n in enumerate(draw.integers(4, 260, 60))]
+    own = []
+    for i, (_, text) in enumerate(texts * 2):
+        split = text.split()
+        own.append((i, some(80) + " " + " ".join(w if draw.random() < 0.85 else "other" for w in split) + " " + some(90)))
+    items, docs = spark.createDataFrame(texts, "item_id long, text string"), spark.createDataFrame(own, "doc_id long, text string")
+    found = [sorted((r["doc_id"], r["item_id"], round(r["score"], 9), *r[3:]) for r in bm25_wand.contaminated(docs, items, block_bytes=n).collect())
+             for n in (8 << 20, 4000)]
+    assert found[0] and found[0] == found[1]
+
+
 # --- empty tables ------------------------------------------------------------------------------
 
 def test_empty_tables(spark, none, tmp_path):
