@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: that of the smallest id."""
-    dropped = tensor_minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    """One row of each group of near-duplicates, of five-word shingles in common at 80 % or more: that of the smallest id."""
+    dropped = tensor_minhash.near_duplicates(docs, percent=80).filter("not kept").select("doc_id").distinct()
     return _without(docs, dropped)
 
 

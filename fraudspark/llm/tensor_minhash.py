@@ -1,10 +1,10 @@
 """Near-duplicate documents by MinHash with tensored banding, confirmed on full shingle sets.
 
-Two collections of `BANDS` small bands are computed per set; a table is a pair of bands, one from
-each, so `BANDS`² tables need only 2 x BANDS x ROWS minhashes. Two sets with similarity s share a
-table unless all bands of one collection differ: (1 - s^ROWS)^BANDS per collection, under 1 in
-60 000 at s = 0.85 with the defaults. Bands that only one set has are dropped before pairs of bands
-are formed, so documents without relatives cost 2 x BANDS rows.
+Two collections of small bands are computed per set; a table is a pair of bands, one from each, so
+n² tables need only 2 x n x ROWS minhashes. Two sets with similarity s share a table unless all bands
+of one collection differ: (1 - s^ROWS)^n per collection. As many bands are taken as leave a pair at
+the threshold unseen with a chance of at most `MISSED`: 16 at 85 %, 23 at 80 %. Bands that only one set
+has are dropped before pairs of bands are formed, so documents without relatives cost 2 x n rows.
 
 Equal sets are one vertex. Vertices that share a table form candidate clusters; within a cluster
 all pairs are confirmed on the full sets, block by block, in tasks of bounded size, and a task returns
@@ -19,6 +19,9 @@ and the text are not read.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,12 +32,23 @@ from fraudspark.llm.common import as_bytes, hash_words, map_batches, mix, signed
 from fraudspark.operators.graph import connected_components
 from fraudspark.session import cut_lineage
 
-BANDS, ROWS = 16, 4
+ROWS, MISSED = 4, 1 / 60_000
 WORDS = 5
 BLOCK = 256
-_RANDOM = np.random.default_rng(20240229)
-_FACTORS = (_RANDOM.integers(1, 1 << 32, 2 * BANDS * ROWS, np.uint64).astype(np.uint32) | np.uint32(1))
-_OFFSETS = _RANDOM.integers(0, 1 << 32, 2 * BANDS * ROWS, np.uint64).astype(np.uint32)
+
+
+def n_bands(percent: int) -> int:
+    """Bands of one collection; above 99 %, as for 99 %."""
+    unseen = 1 - (min(max(percent, 1), 99) / 100) ** ROWS
+    return math.ceil(math.log(MISSED / 2) / math.log(unseen))
+
+
+@functools.cache
+def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and offsets of the minhashes of 2 x `n` bands."""
+    draw = np.random.default_rng(20240229)
+    factors = draw.integers(1, 1 << 32, 2 * n * ROWS, np.uint64).astype(np.uint32) | np.uint32(1)
+    return factors, draw.integers(0, 1 << 32, 2 * n * ROWS, np.uint64).astype(np.uint32)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -48,28 +62,29 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(word_grams(hashed, WORDS))
 
 
-def minhashes(grams: np.ndarray) -> np.ndarray:
+def minhashes(grams: np.ndarray, n: int) -> np.ndarray:
+    factors, offsets = _family(n)
     high = (grams >> np.uint64(32)).astype(np.uint32)
-    low = np.full(len(_FACTORS), np.iinfo(np.uint32).max, np.uint32)
+    low = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
         for at in range(0, len(high), 1024):
-            np.minimum(low, (high[at:at + 1024, None] * _FACTORS + _OFFSETS).min(axis=0), out=low)
+            np.minimum(low, (high[at:at + 1024, None] * factors + offsets).min(axis=0), out=low)
     return low
 
 
-def bands(grams: np.ndarray) -> np.ndarray:
-    """Keys of the bands of both collections; no two bands share a key but by chance."""
-    rows = minhashes(grams).astype(np.uint64).reshape(2 * BANDS, ROWS)
-    keys = np.arange(1, 2 * BANDS + 1, dtype=np.uint64)
+def bands(grams: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the `n` bands of each of both collections; no two bands share a key but by chance."""
+    rows = minhashes(grams, n).astype(np.uint64).reshape(2 * n, ROWS)
+    keys = np.arange(1, 2 * n + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(ROWS):
             keys = mix(keys) + rows[:, k]
     return mix(keys)
 
 
-def signatures(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", percent: int = 85) -> DataFrame:
     """(id, n_shingles, digest, bands) of every row; digest and bands are null for empty sets."""
-    kind = docs.schema[id_column].dataType.simpleString()
+    kind, n = docs.schema[id_column].dataType.simpleString(), n_bands(percent)
 
     def make():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -78,7 +93,7 @@ def signatures(docs: DataFrame, *, id_column: str = "doc_id", text_column: str =
                 grams = shingles(text)
                 sizes.append(len(grams))
                 digests.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
-                keys.append(signed(bands(grams)) if len(grams) else None)
+                keys.append(signed(bands(grams, n)) if len(grams) else None)
             return pa.RecordBatch.from_arrays([
                 part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
             ], names=["id", "n_shingles", "digest", "bands"])
@@ -90,11 +105,11 @@ def signatures(docs: DataFrame, *, id_column: str = "doc_id", text_column: str =
 
 def candidate_links(classes: DataFrame) -> DataFrame:
     """(src, dst): every class that shares a table with others, to the smallest class of the table."""
-    single = classes.select("rep", F.posexplode("bands").alias("pos", "key"))
+    single = classes.select("rep", (F.size("bands") / 2).alias("half"), F.posexplode("bands").alias("pos", "key"))
     shared = single.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     kept = single.join(shared, "key").groupBy("rep").agg(
-        F.collect_list(F.when(F.col("pos") < BANDS, F.col("key"))).alias("left"),
-        F.collect_list(F.when(F.col("pos") >= BANDS, F.col("key"))).alias("right"),
+        F.collect_list(F.when(F.col("pos") < F.col("half"), F.col("key"))).alias("left"),
+        F.collect_list(F.when(F.col("pos") >= F.col("half"), F.col("key"))).alias("right"),
     )
     tables = kept.select("rep", F.explode("left").alias("l"), "right").select("rep", "l", F.explode("right").alias("r"))
     tables = cut_lineage(tables.select("rep", F.xxhash64("l", "r").alias("key")), "tables")
@@ -176,7 +191,7 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, *, id_column: str, tex
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; links need `percent` of the union in common."""
-    rows = cut_lineage(signatures(docs, id_column=id_column, text_column=text_column), "signatures")
+    rows = cut_lineage(signatures(docs, id_column=id_column, text_column=text_column, percent=percent), "signatures")
     classes = cut_lineage(
         rows.filter("digest is not null and id is not null").groupBy("digest")
         .agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")

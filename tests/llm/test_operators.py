@@ -245,6 +245,26 @@ def test_near_duplicates(docs, rows, block, monkeypatch):
     assert sorted((r[0] if r[0] is not None else -1, r[1], r[2] if r[2] is not None else -1, r[3]) for r in got) == want
 
 
+def test_near_duplicates_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    assert (tensor_minhash.n_bands(85), tensor_minhash.n_bands(80)) == (16, 23)
+    draw = np.random.default_rng(6)
+    texts = []
+    for k in range(150):
+        own = [f"v{x}" for x in draw.integers(0, 10**6, 100 + k)]
+        texts.append(" ".join(own))
+        # A run of changed words of such a length that 78 to 87 % of the shingles stay in common.
+        wide = max(1, round(len(own) * (0.07 + 0.06 * draw.random())) - 4)
+        texts.append(" ".join(own[:40] + [f"u{x}" for x in draw.integers(0, 10**6, wide)] + own[40 + wide:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(0.8 <= x < 0.85 for x in alike) > 40 and min(alike) < 0.8
+    want = {2 * k for k in range(150)} | {2 * k + 1 for k, x in enumerate(alike) if x < 0.8}
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+
+
 # --- 8 training order --------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
