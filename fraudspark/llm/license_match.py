@@ -3,7 +3,8 @@
 Templates are cut into words; hashes of `GRAM` words are winnowed over windows of `WINDOW`, so any
 `GRAM + WINDOW - 1` words that a text shares with a template hit at least one fingerprint. Hits of one
 template on neighbouring diagonals are a candidate, whose words are aligned with the template within a
-band around that diagonal. A match covers at least `least_coverage` of the template's words.
+band around that diagonal: the best alignment, then the best of the words left, and so on, so copies close
+to each other are all found. A match covers at least `least_coverage` of the template's words.
 
 Nulls and empty texts match nothing. Repeated rows are scanned one by one. Empty tables give empty
 tables. Columns other than the id and the text are not read. Of matches that overlap in a text, the
@@ -13,6 +14,7 @@ one with more matched words stays; on ties the one with the smaller template nam
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,16 +77,18 @@ def winnow(grams: np.ndarray) -> list[int]:
     return kept
 
 
-def align(text: list, template: list, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
+def align(text: list, template: list, diagonal: int, band: int = BAND, taken: frozenset | set = frozenset()) -> tuple[int, int, int]:
     """(matched words, first, end) of the best local alignment with |text place - template place - diagonal| <= band.
 
-    A match counts 2, a gap or a mismatch -1; the earliest best alignment is reported.
+    A match counts 2, a gap or a mismatch -1; the earliest best alignment is reported. None crosses a `taken` place.
     """
     best = (0, 0, 0, 0)
     row: dict[int, tuple[int, int, int]] = {}  # text place -> (score, matched, first)
     for i, word in enumerate(template):
         above, row = row, {}
         for j in range(max(0, i + diagonal - band), min(len(text), i + diagonal + band + 1)):
+            if j in taken:
+                continue
             score, matched, first = above.get(j - 1, (0, 0, j))
             if score <= 0:
                 score, matched, first = 0, 0, j
@@ -99,6 +103,22 @@ def align(text: list, template: list, diagonal: int, band: int = BAND) -> tuple[
     return best[1], best[2], best[3]
 
 
+def align_all(text: list, template: list, diagonal: int, least: float, band: int = BAND) -> Iterator[tuple[int, int, int]]:
+    """Alignments of the band that match at least `least` words, none over words of another, while free runs are long enough."""
+    taken: set[int] = set()
+    low, high = max(0, diagonal - band), min(len(text), len(template) + diagonal + band)
+    while True:
+        cuts = [low - 1, *sorted(taken), high]
+        if max(b - a - 1 for a, b in zip(cuts, cuts[1:])) < max(1, least):
+            return
+        matched, first, end = align(text, template, diagonal, band, taken)
+        if not matched:
+            return
+        taken.update(range(first, end))
+        if matched >= least:
+            yield matched, first, end
+
+
 class Templates:
     def __init__(self, templates: dict[str, str], least_coverage: float):
         self.least_coverage = least_coverage
@@ -128,8 +148,7 @@ class Templates:
             if last is not None and last[0] == t and diagonal - last[1] <= BAND // 2:
                 continue
             last = (t, diagonal)
-            matched, first, end = align(words, self.words[t], diagonal)
-            if matched and matched >= self.least_coverage * len(self.words[t]):
+            for matched, first, end in align_all(words, self.words[t], diagonal, self.least_coverage * len(self.words[t])):
                 found.add((-matched, self.names[t], first, end, t))
         kept: list[tuple] = []
         for hit in sorted(found):

@@ -130,6 +130,18 @@ def test_license_with_changed_words():
     assert known.matches("the software is good and the licence is not here") == [] and known.matches(None) == []
 
 
+@pytest.mark.parametrize("name", ["mit-notice", "cc-by-4.0-notice", "gpl-2.0-notice", "mpl-2.0"])
+def test_license_lines_close_to_each_other(name):
+    known, line = license_match.Templates(license_match.TEMPLATES, 0.8), license_match.TEMPLATES[name]
+    for between in range(15):
+        for copies in (2, 3, 20):
+            gap = " " + "".join(f"word{k} " for k in range(between))
+            text = "Some words. " + gap.join([line] * copies) + " End."
+            hits = known.matches(text)
+            assert [(h["license"], h["coverage"]) for h in hits] == [(name, 1.0)] * copies
+            assert all(text[h["start"]:].startswith(line) for h in hits)
+
+
 # --- 4 quality model ---------------------------------------------------------------------------
 
 def test_quality_on_held_out_rows(spark, folder):
