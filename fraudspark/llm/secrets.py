@@ -1,16 +1,16 @@
 """Secret scan: base patterns, and a linear-chain conditional random field that adds spans.
 
 Base kinds are fixed patterns. The field tags the pieces (runs of letters, runs of digits, single
-marks) of each word that holds a digit as begin, inside or outside of a secret, from shapes,
-neighbouring words and file features, and is decoded by Viterbi. Pieces of words without a digit
-are plain: their begin and inside scores are minus infinity, so the chain of a text falls into
-independent segments and only those with digits need decoding; the result is that of the whole chain.
+marks) of a whole text as begin, inside or outside of a secret, from shapes, neighbouring words and
+file features, and is decoded by Viterbi over all pieces of the text. Features that depend on a word
+alone are worked out once per word, and the texts of a batch are decoded side by side.
 
-The field learns from the base spans of a bounded sample of segments (`sample` segments of at most
-`longest` pieces, those of smallest hash, each different segment once). Scanning reads every text.
+The field learns from the base spans of texts cut into windows of at most `longest` pieces, not within a
+span that fits. Of windows with and of windows without a span, `sample` / 2 at most are used, those of
+smallest hash of text and tags, each different window once; a window weighs as many as it stands for. Scanning reads every text.
 
 Nulls are read as empty texts, which have no spans. Repeated rows are scanned one by one. An empty
-table, or one without any segment, gives a field that adds nothing. Other columns are not read.
+table, or one without any word, gives a field that adds nothing. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fraudspark.llm.common import map_batches
+from fraudspark.session import cut_lineage
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(
@@ -35,13 +36,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _HEX_MARKS = bytes(104 if chr(c) in "0123456789abcdef" else 46 for c in range(256))
 
-DIGIT = re.compile(r"[0-9]")
-WORD = re.compile(r"\S+")
+NOT_HEX = re.compile(r"[^\W_0-9a-f]")
 PIECE = re.compile(r"[A-Za-z]+|[0-9]+|[^\s]")
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 WIDTH = 1 << 12
 FEATURES = 16
 LEAST_ADDED = 8
+WIDE = 16
+GROUP = 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -63,22 +65,10 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 
 
 def segments(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Piece borders of each run of neighbouring words that hold a digit."""
-    at = 0
-    while True:
-        hit = DIGIT.search(text, at)
-        if hit is None:
-            return
-        start = hit.start()
-        while start > 0 and not text[start - 1].isspace():
-            start -= 1
-        end, here = start, start
-        for word in WORD.finditer(text, start):
-            if not DIGIT.search(word[0]):
-                break
-            end = word.end()
-        yield [m.span() for m in PIECE.finditer(text, here, end)]
-        at = max(end, hit.end())
+    """Piece borders of the one chain of a text; none without words."""
+    borders = [m.span() for m in PIECE.finditer(text)]
+    if borders:
+        yield borders
 
 
 def _shape(piece: str) -> str:
@@ -94,37 +84,92 @@ def _text_shape(text: str) -> tuple[str, str]:
     return words, str(int(np.log2(1 + 1000 * digits / max(1, len(text)))))
 
 
+def _name(name: str) -> int:
+    return xxhash.xxh32_intdigest(name) % WIDTH
+
+
+class Words:
+    """What a word alone gives: its pieces' features, and those it gives to its neighbours."""
+
+    KEPT, LONGEST = 1 << 17, 64
+    P, N, W, B, B2, A, F, D = 2, 3, 5, 10, 11, 12, 13, 14
+    #: By file features, and at the ends of a text.
+    START, END = [_name(x) for x in ("p^", "n$", "b^", "b2^", "a^")], [_name(x) for x in ("p^", "n$", "b$", "b2$", "a$")]
+
+    def __init__(self):
+        self.known: dict[str, tuple[np.ndarray, tuple]] = {}
+        self.shapes: dict[tuple, tuple[np.ndarray, int, int]] = {}
+
+    def of(self, word: str) -> tuple[np.ndarray, tuple]:
+        """(features of its pieces, names as (previous, next, left, left of left, right) of another word)."""
+        pieces, low = PIECE.findall(word), word.lower()
+        key = (min(len(word), 63) // 4, NOT_HEX.search(low) is None, *map(_shape, pieces))
+        rows, last, first = self.shapes.get(key) or self.of_shape(key)
+        rows = rows.copy()
+        rows[:, self.W] = [xxhash.xxh32_intdigest("w" + p.lower()[:8]) % WIDTH for p in pieces]
+        low = low[:12]
+        made = rows, (last, first, *(xxhash.xxh32_intdigest(x + low) % WIDTH for x in ("b", "b2", "a")))
+        if len(word) <= self.LONGEST:
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
+            self.known[word] = made
+        return made
+
+    def of_shape(self, key: tuple) -> tuple[np.ndarray, int, int]:
+        """What words of one size and shape have in common: features, and the names of the last and the first shape."""
+        size, is_hex, *shapes = key
+        last = len(shapes) - 1
+        about = [_name("k" + "".join(sorted({s[0] for s in shapes}))), _name(f"l{size}"), _name(f"c{min(last, 15)}"),
+                 _name(f"h{'x' if is_hex else 'n'}{size}")]
+        rows = [[
+            _name("bias"), _name("s" + shape), _name("p" + shapes[k - 1]) if k else 0, _name("n" + shapes[k + 1]) if k < last else 0,
+            _name(f"g{k > 0}{k < last}"), 0, *about, 0, 0, 0, 0, 0, _name(f"i{min(k, 8)}{k > 0}"),
+        ] for k, shape in enumerate(shapes)]
+        made = np.array(rows, np.int16), _name("p" + shapes[-1]), _name("n" + shapes[0])
+        if len(shapes) <= 8:
+            if len(self.shapes) >= self.KEPT // 8:
+                self.shapes.clear()
+            self.shapes[key] = made
+        return made
+
+    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(FEATURES hashed features of every piece of the texts one after another, pieces by text)."""
+        local: dict[str, int] = {}
+        split = [text.split() for text in texts]
+        ids = np.fromiter((local.setdefault(w, len(local)) for words in split for w in words), np.int64)
+        counts = np.array([len(words) for words in split], np.int64)
+        if not len(ids):
+            return np.empty((0, FEATURES), np.int16), counts
+        found = [self.known.get(w) or self.of(w) for w in local]
+        near = np.array([*(n for _, n in found), self.START, self.END], np.int16)
+        start, end = len(found), len(found) + 1
+        sizes = np.array([len(m) for m, _ in found], np.int64)
+        offsets = np.cumsum(sizes) - sizes
+        n = sizes[ids]
+        ends = np.cumsum(n)
+        out = np.concatenate([m for m, _ in found])[np.repeat(offsets[ids] - (ends - n), n) + np.arange(ends[-1])]
+        own = counts[counts > 0]
+        heads = np.cumsum(own) - own
+        left, right = np.append(start, ids[:-1]), np.append(ids[1:], end)
+        left[heads], right[heads + own - 1] = start, end
+        left2 = np.append(start, left[:-1])
+        left2[heads] = start
+        out[ends - n, self.P] = near[left, 0]
+        out[ends - 1, self.N] = near[right, 1]
+        for column, value in ((self.B, near[left, 2]), (self.B2, near[left2, 3]), (self.A, near[right, 4])):
+            out[:, column] = np.repeat(value, n)
+        text_ends = np.append(0, ends)[np.cumsum(counts)]
+        pieces = np.diff(text_ends, prepend=0)
+        files = np.array([[_name("f" + a), _name("d" + b)] for a, b in map(_text_shape, texts)], np.int16)
+        out[:, self.F:self.D + 1] = np.repeat(files, pieces, axis=0)
+        return out, pieces
+
+
 def features(text: str, borders: list[tuple[int, int]], file: tuple[str, str]) -> np.ndarray:
-    """FEATURES hashed features of every piece of a segment."""
-    pieces = [text[a:b] for a, b in borders]
-    shapes = [_shape(p) for p in pieces]
-    glued = [k > 0 and borders[k - 1][1] == a for k, (a, _) in enumerate(borders)] + [False]
-    before = text[max(0, borders[0][0] - 40):borders[0][0]].lower().split()[-2:] or ["^"]
-    after = (text[borders[-1][1]:borders[-1][1] + 20].lower().split() or ["$"])[0]
-    word_of, words = [], []
-    for k in range(len(pieces)):
-        if not glued[k]:
-            words.append([k, k])
-        words[-1][1] = k
-        word_of.append(len(words) - 1)
-    about = []
-    for first, last in words:
-        word = text[borders[first][0]:borders[last][1]]
-        kinds = "".join(sorted({s[0] for s in shapes[first:last + 1]}))
-        is_hex = all(c in "0123456789abcdef" for c in word.lower() if c.isalnum())
-        about.append((kinds, f"{min(len(word), 63) // 4}", f"{min(last - first, 15)}", "x" if is_hex else "n"))
-    out = np.empty((len(pieces), FEATURES), np.int32)
-    for k, piece in enumerate(pieces):
-        w = word_of[k]
-        kinds, size, parts, is_hex = about[w]
-        left = text[borders[words[w - 1][0]][0]:borders[words[w - 1][1]][1]].lower() if w else before[-1]
-        names = (
-            "bias", "s" + shapes[k], "p" + (shapes[k - 1] if k else "^"), "n" + (shapes[k + 1] if k + 1 < len(pieces) else "$"),
-            f"g{glued[k]}{glued[k + 1]}", "w" + piece.lower()[:8], "k" + kinds, "l" + size, "c" + parts, "h" + is_hex + size,
-            "b" + left[:12], "b2" + before[0][:12], "a" + after[:12], "f" + file[0], "d" + file[1], f"i{min(k - words[w][0], 8)}{glued[k]}",
-        )
-        out[k] = [xxhash.xxh32_intdigest(name) % WIDTH for name in names]
-    return out
+    """FEATURES hashed features of every piece of a chain."""
+    rows = Words().rows([text[borders[0][0]:borders[-1][1]]])[0]
+    rows[:, Words.F], rows[:, Words.D] = _name("f" + file[0]), _name("d" + file[1])
+    return rows
 
 
 def labels(borders: list[tuple[int, int]], spans: list[tuple[int, int, str]]) -> np.ndarray:
@@ -163,10 +208,63 @@ class Field:
             tags[t - 1] = back[t, tags[t]]
         return tags
 
-    def fit(self, chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, rate: float = 0.3, ridge: float = 1e-3) -> Field:
+    def decode_all(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """decode() of chains one after another: side by side while `WIDE` or more go on, then each by itself."""
+        score = np.zeros((len(rows), 3))
+        for k in range(FEATURES):
+            score += self.emit[rows[:, k]]
+        step = self.step[:3].copy()
+        step[OUTSIDE, INSIDE] = -np.inf
+        sizes = sizes.astype(np.int64)
+        first = (np.cumsum(sizes) - sizes)[sizes > 0]
+        sizes = sizes[sizes > 0]
+        order = np.argsort(-sizes, kind="stable")
+        first, sizes = first[order], sizes[order]
+        back, tags = np.zeros((len(rows), 3), np.int8), np.zeros(len(rows), np.int8)
+        if not len(first):
+            return tags
+        best = score[first] + self.step[3] + np.array([0.0, -np.inf, 0.0])
+        going = np.searchsorted(-sizes, -np.arange(sizes[0] + 1), side="left")  # chains of more than t pieces
+        t = 1
+        while t < sizes[0] and going[t] >= WIDE:
+            n = going[t]
+            paths = best[:n, :, None] + step
+            back[first[:n] + t] = paths.argmax(axis=1)
+            best[:n] = paths.max(axis=1) + score[first[:n] + t]
+            t += 1
+        (bb, bi, bo), (ib, ii, io), (ob, _, oo) = step.tolist()
+        for chain in range(going[t] if t < sizes[0] else 0):
+            b, i, o = best[chain].tolist()
+            at, kept = first[chain], []
+            for sb, si, so in score[at + t:at + sizes[chain]].tolist():
+                x, y, z = b + bb, i + ib, o + ob
+                kb, top_b = (0, x) if x >= y and x >= z else (1, y) if y >= z else (2, z)
+                x, y = b + bi, i + ii
+                ki, top_i = (0, x) if x >= y else (1, y)
+                x, y, z = b + bo, i + io, o + oo
+                ko, top_o = (0, x) if x >= y and x >= z else (1, y) if y >= z else (2, z)
+                b, i, o = top_b + sb, top_i + si, top_o + so
+                kept.append((kb, ki, ko))
+            best[chain] = b, i, o
+            tag = int(best[chain].argmax())
+            own = [tag]
+            for k in reversed(kept):
+                tag = k[tag]
+                own.append(tag)
+            tags[at + t - 1:at + sizes[chain]] = own[::-1]
+        lasts = sizes <= t
+        tags[(first + sizes - 1)[lasts]] = best[lasts].argmax(axis=1)
+        for k in range(t - 1, 0, -1):
+            at = first[:going[k]] + k
+            tags[at - 1] = back[at, tags[at]]
+        return tags
+
+    def fit(self, chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 80, rate: float = 0.3, ridge: float = 1e-3,
+            weights: np.ndarray | None = None) -> Field:
         """Likelihood ascent with per-weight step sizes; forward and backward sums over all chains at once."""
         if not chains:
             return self
+        weights = np.ones(len(chains)) if weights is None else weights
         n, longest = len(chains), max(len(tags) for _, tags in chains)
         idx = np.zeros((n, longest, FEATURES), np.int32)
         gold = np.full((n, longest), -1, np.int64)
@@ -176,7 +274,7 @@ class Field:
         truth = np.zeros((n, longest, 3))
         truth[real, gold[real]] = 1
         pairs = truth[:, :-1, :, None] * truth[:, 1:, None, :]
-        true_step = np.vstack([pairs.sum((0, 1)), truth[:, 0].sum(0)])
+        true_step = np.vstack([np.tensordot(weights, pairs.sum(1), 1), weights @ truth[:, 0]])
         seen_emit, seen_step = np.full(self.emit.shape, 1e-6), np.full(self.step.shape, 1e-6)
         flat = idx[real]
         for _ in range(rounds):
@@ -194,9 +292,9 @@ class Field:
             share = np.exp(forward + backward - total[:, :, None]) * real[:, :, None]
             both = np.exp(forward[:, :-1, :, None] + self.step[:3] + (score[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, :, None, None])
             both *= real[:, 1:, None, None]
-            gap = (truth - share)[real] / n
+            gap = ((truth - share) * weights[:, None, None])[real] / n
             grad = np.stack([np.bincount(flat.ravel(), np.repeat(gap[:, y], FEATURES), WIDTH) for y in range(3)], axis=1) - ridge * self.emit
-            grad_step = (true_step - np.vstack([both.sum((0, 1)), share[:, 0].sum(0)])) / n - ridge * self.step
+            grad_step = (true_step - np.vstack([np.tensordot(weights, both.sum(1), 1), weights @ share[:, 0]])) / n - ridge * self.step
             seen_emit += grad ** 2
             seen_step += grad_step ** 2
             self.emit = self.emit + rate * grad / np.sqrt(seen_emit)
@@ -209,52 +307,126 @@ def _log_sum(values: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(values - top).sum(axis=axis)) + np.squeeze(top, axis)
 
 
-def train(docs: DataFrame, *, text_column: str = "text", sample: int = 3000, longest: int = 48) -> Field:
-    """A field fitted to at most `sample` segments of `docs`."""
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Neighbouring texts of about GROUP characters together; a longer text is a group of its own."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > GROUP:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
+def _windows(tags: np.ndarray, longest: int) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at < len(tags):
+        end = min(len(tags), at + longest)
+        if end < len(tags) and tags[end] == INSIDE:
+            begin = end
+            while begin > at and tags[begin] == INSIDE:
+                begin -= 1
+            end = begin if begin > at else end
+        yield at, end
+        at = end
+
+
+def _within(words: Words, text: str, start: int, end: int) -> np.ndarray:
+    """Features of the pieces of text[start:end], as the whole text has them."""
+    low, high = start, end
+    for k in range(3):  # the word of `start` and two before it
+        while k and low > 0 and text[low - 1].isspace():
+            low -= 1
+        while low > 0 and not text[low - 1].isspace():
+            low -= 1
+    for k in range(2):
+        while k and high < len(text) and text[high].isspace():
+            high += 1
+        while high < len(text) and not text[high].isspace():
+            high += 1
+    rows, file = words.rows([text[low:high]])[0], _text_shape(text)
+    first = len(PIECE.findall(text, low, start))
+    rows = rows[first:first + len(PIECE.findall(text, start, end))]
+    rows[:, Words.F], rows[:, Words.D] = _name("f" + file[0]), _name("d" + file[1])
+    return rows
+
+
+def train(docs: DataFrame, *, text_column: str = "text", sample: int = 3000, longest: int = 64) -> Field:
+    """A field fitted to at most `sample` windows of `docs`, half of them with a span."""
+    half = max(1, sample // 2)
 
     def make():
+        words, limits = Words(), [1 << 63, 1 << 63]  # by label; no window of the task's later parts above them is needed
+
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            seen: dict[int, tuple[bytes, bytes]] = {}
+            seen: tuple[dict, dict] = {}, {}  # without and with a span
             for text in part.column(0).to_pylist():
-                if not text or not DIGIT.search(text):
+                borders = [m.span() for m in PIECE.finditer(text or "")]
+                if not borders:
                     continue
-                spans, file = base_spans(text), _text_shape(text)
-                for borders in segments(text):
-                    if len(borders) <= longest:
-                        rows, tags = features(text, borders, file).tobytes(), labels(borders, spans).tobytes()
-                        seen.setdefault(xxhash.xxh3_64_intdigest(rows + tags) >> 1, (rows, tags))
-            kept = sorted(seen)[:sample]
-            return pa.RecordBatch.from_arrays([
-                pa.array(kept, pa.int64()), pa.array([seen[m][0] for m in kept], pa.binary()), pa.array([seen[m][1] for m in kept], pa.binary()),
-            ], names=["mark", "rows", "tags"])
+                spans = base_spans(text)
+                tags = labels(borders, spans) if spans else np.full(len(borders), OUTSIDE, np.int8)
+                for a, b in _windows(tags, longest):
+                    own = text[borders[a][0]:borders[b - 1][1]].encode("utf-8", "surrogatepass") + b" " + tags[a:b].tobytes()
+                    mark, label = xxhash.xxh3_64_intdigest(own) >> 1, int(bool((tags[a:b] != OUTSIDE).any()))
+                    if mark < limits[label] and mark not in seen[label]:
+                        seen[label][mark] = text, borders[a][0], borders[b - 1][1], tags[a:b].tobytes()
+                        if len(seen[label]) > 2 * half:
+                            for old in sorted(seen[label])[half:]:
+                                del seen[label][old]
+                            limits[label] = max(seen[label])
+            kept = [(m, k, _within(words, *seen[k][m][:3]).tobytes(), seen[k][m][3]) for k in (0, 1) for m in sorted(seen[k])[:half]]
+            for k in (0, 1):
+                if len(seen[k]) >= half:
+                    limits[k] = sorted(seen[k])[half - 1]
+            columns = list(zip(*kept)) if kept else [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+                                              names=["mark", "label", "rows", "tags"])
 
         return work
 
-    found = map_batches(docs.select(text_column), make, "mark long, rows binary, tags binary")
-    # Each part has at most `sample` rows; only their marks are compared over the whole table.
-    limit = found.groupBy("mark").agg(F.first("rows").alias("rows"), F.first("tags").alias("tags")).orderBy("mark").limit(sample)
-    chains = [(np.frombuffer(r["rows"], np.int32).reshape(-1, FEATURES), np.frombuffer(r["tags"], np.int8)) for r in sorted(limit.collect())]
-    return Field().fit(chains)
+    found = cut_lineage(map_batches(docs.select(text_column), make, "mark long, label int, rows binary, tags binary"), "windows")
+    chains, weights = [], []
+    for label in (0, 1):
+        # Each part has at most `half` rows; only their marks are compared over the whole table.
+        limit = found.filter(F.col("label") == label).groupBy("mark").agg(F.first("rows").alias("rows"), F.first("tags").alias("tags"))
+        kept = sorted(limit.orderBy("mark").limit(half).collect())
+        # The share of all marks up to the largest one kept tells how many different windows there are.
+        total = len(kept) if len(kept) < half else max(len(kept), (half - 1) * 2.0 ** 63 / max(1, kept[-1]["mark"]))
+        chains += [(np.frombuffer(r["rows"], np.int16).reshape(-1, FEATURES), np.frombuffer(r["tags"], np.int8)) for r in kept]
+        weights += [total / len(kept)] * len(kept)
+    return Field().fit(chains, weights=np.array(weights) / np.mean(weights) if weights else None)
+
+
+def all_spans(texts: list[str | None], field: Field, words: Words) -> Iterator[list[tuple[int, int, str]]]:
+    """By text, base spans and spans of the field that touch none of them, by start and kind."""
+    for group in _groups([t or "" for t in texts]):
+        if not field.emit.any():
+            yield from map(base_spans, group)
+            continue
+        rows, pieces = words.rows(group)
+        tags = field.decode_all(rows, pieces)
+        for text, end, size in zip(group, np.cumsum(pieces).tolist(), pieces.tolist()):
+            yield _with_added(text, tags[end - size:end])
 
 
 def spans_of(text: str, field: Field) -> list[tuple[int, int, str]]:
-    """Base spans, and spans of the field that touch none of them, by start and kind."""
-    found = base_spans(text)
-    if not DIGIT.search(text) or not field.emit.any():
+    return next(all_spans([text], field, Words()))
+
+
+def _with_added(text: str, tags: np.ndarray) -> list[tuple[int, int, str]]:
+    found, begins = base_spans(text), np.flatnonzero(tags == BEGIN)
+    if not len(begins):
         return found
-    file, added = _text_shape(text), []
-    for borders in segments(text):
-        tags = field.decode(features(text, borders, file))
-        start = None
-        for k in range(len(tags) + 1):
-            tag = tags[k] if k < len(tags) else OUTSIDE
-            if start is not None and tag != INSIDE:
-                added.append((borders[start][0], borders[k - 1][1], "crf"))
-                start = None
-            if tag == BEGIN:
-                start = k
-    for span in added:
-        if span[1] - span[0] >= LEAST_ADDED and all(span[1] <= a or span[0] >= b for a, b, kind in found if kind != "crf"):
+    borders = [m.span() for m in PIECE.finditer(text)]
+    ends = np.append(np.flatnonzero(tags != INSIDE), len(tags))
+    stops = ends[np.searchsorted(ends, begins, side="right")]
+    base = list(found)
+    for first, stop in zip(begins.tolist(), stops.tolist()):
+        span = borders[first][0], borders[stop - 1][1], "crf"
+        if span[1] - span[0] >= LEAST_ADDED and all(span[1] <= a or span[0] >= b for a, b, _ in base):
             found.append(span)
     found.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return found
@@ -267,8 +439,10 @@ def scan(docs: DataFrame, field: Field, *, id_column: str = "doc_id", text_colum
     shape = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def make():
+        words = Words()
+
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            made = [[dict(zip(("start", "end", "kind"), s)) for s in spans_of(text or "", field)] for text in part.column(1).to_pylist()]
+            made = [[dict(zip(("start", "end", "kind"), s)) for s in spans] for spans in all_spans(part.column(1).to_pylist(), field, words)]
             return pa.RecordBatch.from_arrays([part.column(0), pa.array(made, shape)], names=[id_column, "spans"])
 
         return work
@@ -281,8 +455,7 @@ def redact(docs: DataFrame, field: Field, *, text_column: str = "text", by: str
     at = docs.columns.index(text_column)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    def hide(text: str | None) -> str | None:
-        spans = spans_of(text, field) if text else []
+    def hide(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
         out, done = [], 0
         for start, end, _ in spans:
             if start >= done:
@@ -291,8 +464,11 @@ def redact(docs: DataFrame, field: Field, *, text_column: str = "text", by: str
         return "".join(out) + text[done:] if spans else text
 
     def make():
+        words = Words()
+
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            hidden = pa.array([hide(t) for t in part.column(at).to_pylist()], pa.string())
+            texts = part.column(at).to_pylist()
+            hidden = pa.array(map(hide, texts, all_spans(texts, field, words)), pa.string())
             return pa.RecordBatch.from_arrays([hidden if k == at else c for k, c in enumerate(part.columns)], names=part.schema.names)
 
         return work

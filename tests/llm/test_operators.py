@@ -76,6 +76,30 @@ def test_redaction(docs):
     assert hidden.filter("text is null").count() == 1
 
 
+def test_secrets_without_digits(spark):
+    import random
+
+    draw = np.random.default_rng(4)
+    field = secrets.Field(draw.normal(size=(secrets.WIDTH, 3)), draw.normal(size=(4, 3)))
+    texts = ["", " ", "one", "plain words, no digit"] + [" ".join(["ab-c", "x1y", "Zed"][x] for x in draw.integers(0, 3, n)) for n in (1, 2, 5, 40, 300)] * 6
+    rows, sizes = secrets.Words().rows(texts)
+    tags, at = field.decode_all(rows, sizes), 0
+    for text, size in zip(texts, sizes):
+        for borders in secrets.segments(text):
+            own = secrets.features(text, borders, secrets._text_shape(text))
+            assert (own == rows[at:at + size]).all() and (field.decode(own) == tags[at:at + size]).all()
+            for a, b in ((0, len(own)), (len(own) // 3, len(own)), (len(own) // 2, len(own) // 2 + 1), (0, 1)):
+                assert (secrets._within(secrets.Words(), text, borders[a][0], borders[b - 1][1]) == own[a:b]).all()
+        at += size
+    # The base spans of letters only are learned from, and secrets of letters get spans.
+    pick = random.Random(1)
+    word = lambda n: "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = [(i, f"the user has {word(5)} and token: {word(16)} here" if i % 3 else f"the user has {word(5)} and {word(4)} here") for i in range(300)]
+    learned = secrets.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = "the user has things and tokens: qwertyuiopasdfgh here"
+    assert learned.emit.any() and [text[a:b] for a, b, k in secrets.spans_of(text, learned) if k == "crf" and "qwertyuiopasdfgh" in text[a:b]]
+
+
 # --- 2 byte-level BPE --------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
