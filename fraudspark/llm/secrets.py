@@ -5,12 +5,13 @@ marks) of a whole text as begin, inside or outside of a secret, from shapes, nei
 file features, and is decoded by Viterbi over all pieces of the text. Features that depend on a word
 alone are worked out once per word, and the texts of a batch are decoded side by side.
 
-The field learns from the base spans of texts cut into windows of at most `longest` pieces, not within a
-span that fits. Of windows with and of windows without a span, `sample` / 2 at most are used, those of
+The field learns from the base spans of a bounded sample: of texts with and of texts without a sign of a
+base span, `texts` different ones of smallest hash. They are cut into windows of at most `longest` pieces, not
+within a span that fits. Of windows with and of windows without a span, `sample` / 2 at most are used, those of
 smallest hash of text and tags, each different window once; a window weighs as many as it stands for. Scanning reads every text.
 
 Nulls are read as empty texts, which have no spans. Repeated rows are scanned one by one. An empty
-table, or one without any word, gives a field that adds nothing. Other columns are not read.
+table, one without any word, or one with or without spans in every window gives a field that adds nothing. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _HEX_MARKS = bytes(104 if chr(c) in "0123456789abcdef" else 46 for c in range(256))
 
+#: What every text with a base span contains.
+SIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{24}"
 NOT_HEX = re.compile(r"[^\W_0-9a-f]")
 PIECE = re.compile(r"[A-Za-z]+|[0-9]+|[^\s]")
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
@@ -353,51 +356,69 @@ def _within(words: Words, text: str, start: int, end: int) -> np.ndarray:
     return rows
 
 
-def train(docs: DataFrame, *, text_column: str = "text", sample: int = 3000, longest: int = 64) -> Field:
-    """A field fitted to at most `sample` windows of `docs`, half of them with a span."""
+def _texts_to_learn_from(docs: DataFrame, text_column: str, count: int) -> DataFrame:
+    """(_t, _share): of texts with and of texts without a sign of a base span, the `count` different ones of smallest hash.
+
+    `_share` is how many different texts of its kind one of them stands for. Only hashes are compared over
+    the whole table, in the executors; two numbers a kind reach the driver.
+    """
+    sign = F.col("_t").rlike(SIGN)
+    marked = docs.select(F.col(text_column).alias("_t")).filter("_t is not null").withColumn("_m", F.shiftrightunsigned(F.xxhash64("_t"), 1))
+    out = None
+    for kind in (marked.filter(sign), marked.filter(~sign)):
+        lowest = kind.select("_m").distinct().orderBy("_m").limit(count).agg(F.max("_m").alias("top"), F.count("*").alias("n")).first()
+        share = 1.0 if lowest["n"] < count else max(1.0, 2.0 ** 63 / (lowest["top"] + 1))
+        chosen = kind.filter(F.col("_m") <= F.lit(lowest["top"])).groupBy("_m").agg(F.first("_t").alias("_t"))
+        chosen = chosen.select("_t", F.lit(share).alias("_share"))
+        out = chosen if out is None else out.unionByName(chosen)
+    return out
+
+
+def train(docs: DataFrame, *, text_column: str = "text", sample: int = 3000, longest: int = 64, texts: int = 3000) -> Field:
+    """A field fitted to at most `sample` windows of 2 x `texts` texts at most, half of them with a span.
+
+    Without a window of either label there is nothing to tell apart, and the field adds nothing.
+    """
     half = max(1, sample // 2)
 
     def make():
-        words, limits = Words(), [1 << 63, 1 << 63]  # by label; no window of the task's later parts above them is needed
+        words = Words()
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            seen: tuple[dict, dict] = {}, {}  # without and with a span
-            for text in part.column(0).to_pylist():
-                borders = [m.span() for m in PIECE.finditer(text or "")]
+            made = []
+            for text, share in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                borders = [m.span() for m in PIECE.finditer(text)]
                 if not borders:
                     continue
                 spans = base_spans(text)
                 tags = labels(borders, spans) if spans else np.full(len(borders), OUTSIDE, np.int8)
                 for a, b in _windows(tags, longest):
                     own = text[borders[a][0]:borders[b - 1][1]].encode("utf-8", "surrogatepass") + b" " + tags[a:b].tobytes()
-                    mark, label = xxhash.xxh3_64_intdigest(own) >> 1, int(bool((tags[a:b] != OUTSIDE).any()))
-                    if mark < limits[label] and mark not in seen[label]:
-                        seen[label][mark] = text, borders[a][0], borders[b - 1][1], tags[a:b].tobytes()
-                        if len(seen[label]) > 2 * half:
-                            for old in sorted(seen[label])[half:]:
-                                del seen[label][old]
-                            limits[label] = max(seen[label])
-            kept = [(m, k, _within(words, *seen[k][m][:3]).tobytes(), seen[k][m][3]) for k in (0, 1) for m in sorted(seen[k])[:half]]
-            for k in (0, 1):
-                if len(seen[k]) >= half:
-                    limits[k] = sorted(seen[k])[half - 1]
-            columns = list(zip(*kept)) if kept else [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
-                                              names=["mark", "label", "rows", "tags"])
+                    made.append((xxhash.xxh3_64_intdigest(own) >> 1, int(bool((tags[a:b] != OUTSIDE).any())), share,
+                                 _within(words, text, borders[a][0], borders[b - 1][1]).tobytes(), tags[a:b].tobytes()))
+            columns = list(zip(*made)) if made else [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["mark", "label", "share", "rows", "tags"])
 
         return work
 
-    found = cut_lineage(map_batches(docs.select(text_column), make, "mark long, label int, rows binary, tags binary"), "windows")
+    chosen = _texts_to_learn_from(docs, text_column, texts)
+    found = cut_lineage(map_batches(chosen, make, "mark long, label int, share double, rows binary, tags binary"), "windows")
+    counted = found.groupBy("label", "mark").agg(F.max("share").alias("share"))
     chains, weights = [], []
     for label in (0, 1):
-        # Each part has at most `half` rows; only their marks are compared over the whole table.
-        limit = found.filter(F.col("label") == label).groupBy("mark").agg(F.first("rows").alias("rows"), F.first("tags").alias("tags"))
-        kept = sorted(limit.orderBy("mark").limit(half).collect())
-        # The share of all marks up to the largest one kept tells how many different windows there are.
-        total = len(kept) if len(kept) < half else max(len(kept), (half - 1) * 2.0 ** 63 / max(1, kept[-1]["mark"]))
+        own = counted.filter(F.col("label") == label)
+        total = own.agg(F.sum("share")).first()[0]
+        if total is None:
+            return Field()
+        limit = own.select("mark").orderBy("mark").limit(half).agg(F.max("mark")).first()[0]
+        kept = found.filter((F.col("label") == label) & (F.col("mark") <= limit)).groupBy("mark").agg(
+            F.max("share").alias("share"), F.first("rows").alias("rows"), F.first("tags").alias("tags"))
+        kept = sorted(kept.collect())
         chains += [(np.frombuffer(r["rows"], np.int16).reshape(-1, FEATURES), np.frombuffer(r["tags"], np.int8)) for r in kept]
-        weights += [total / len(kept)] * len(kept)
-    return Field().fit(chains, weights=np.array(weights) / np.mean(weights) if weights else None)
+        shares = np.array([r["share"] for r in kept])
+        weights += list(shares * (total / shares.sum()))
+    return Field().fit(chains, weights=np.array(weights) / np.mean(weights))
 
 
 def all_spans(texts: list[str | None], field: Field, words: Words) -> Iterator[list[tuple[int, int, str]]]:
