@@ -1,11 +1,12 @@
 """Source divergence audit: how the use of terms in each (lang, source) differs from other sources and from the lang.
 
-Terms carry their lang as a prefix, so one CountVectorizer builds the vocabulary of every lang at once: minDF
-counts documents of the lang, and the largest vocabulary is allowed. The exact sparse vector of each document is
-summed up by (lang, source), entry by entry with partial sums, never as dense vectors. Vocabularies live on the driver
-and in each executor while documents are counted, so terms are dealt by hash into slices of about `slice_terms`
-different terms, by an estimate of their number, and each slice has a vocabulary of its own: every term is in
-exactly one. A pair of sources is compared on dense cells of at most 64 sources and 8192 terms, block against block.
+A CountVectorizer with minDF and the largest possible vocabulary builds the exact sparse vector of every document.
+Its vocabulary holds what is frequent enough in all langs together, which no kept term of a lang can miss; vectors are
+summed up by (lang, source), entry by entry with partial sums of counts and documents, never as dense vectors,
+and each lang keeps the terms with enough documents of its own. A vocabulary reaches the driver as a job's result
+before it is broadcast, so it is no larger than spark.driver.maxResultSize; where Spark refuses it, terms
+are dealt by hash into twice as many slices, each with a vocabulary of its own, and every term is in exactly one.
+A pair of sources is compared on dense cells of at most 64 sources and 8192 terms, block against block.
 
 Null text, lang and source are read as ''. A group without kept terms keeps its row with a total of 0. Repeated rows
 count each. A lang without kept terms has pairs of value 0 and no terms. An empty table gives an empty result.
@@ -14,6 +15,8 @@ Columns are read by name; others are ignored. Ties of a value are ordered by the
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import IllegalArgumentException
@@ -27,14 +30,13 @@ from fraudspark.session import cut_lineage
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_DOCS, SMOOTH, SCALE, TOP = 30, 5, 10 ** 9, 50
-SLICE_TERMS = 2_000_000
 SOURCE_BLOCK, TERM_BLOCK = 64, 8192
-#: Stands between lang and term; no term holds it.
-MARK = "\x00"
 
 
 def terms(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), "")
+    """Runs of letters and of anything beyond ASCII; only A to Z are lower-cased, which lower() does for a text of ASCII."""
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def _plain(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
@@ -42,35 +44,41 @@ def _plain(docs: DataFrame, lang: str, source: str, text: str) -> DataFrame:
     return docs.select(read(lang, "lang"), read(source, "source"), read(text, "text"))
 
 
-def group_counts(docs: DataFrame, *, least_docs: int = LEAST_DOCS, slice_terms: int = SLICE_TERMS) -> DataFrame:
-    """(lang, source, term, n) of terms in at least `least_docs` documents of the lang, where n > 0. docs(lang, source, text)."""
-    keyed = docs.select("lang", "source", F.transform(terms(F.col("text")), lambda t: F.concat(F.col("lang"), F.lit(MARK), t)).alias("keys"))
-    different = keyed.select(F.explode("keys").alias("k")).agg(F.approx_count_distinct("k", 0.02)).first()[0]
-    slices, out = max(1, -(-different // slice_terms)), None
-    for part in range(slices):
-        own = keyed if slices == 1 else keyed.withColumn("keys", F.filter("keys", lambda k: F.pmod(F.xxhash64(k), F.lit(slices)) == part))
-        counted = _slice_counts(own, least_docs)
-        out = counted if out is None else out.unionByName(counted)
-    return out
-
+def group_counts(docs: DataFrame, *, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(lang, source, term, n, docs): occurrences and documents, at least of all terms in `least_docs` documents of a lang.
 
-def _slice_counts(keyed: DataFrame, least_docs: int) -> DataFrame:
-    spark = keyed.sparkSession
+    docs(lang, source, text).
+    """
+    split = docs.select("lang", "source", terms(F.col("text")).alias("terms"))
+    slices = 1
+    while True:
+        try:
+            return reduce(DataFrame.unionByName, [_slice_counts(split, least_docs, slices, part) for part in range(slices)])
+        except Exception as error:
+            if "maxResultSize" not in str(error):
+                raise
+            slices *= 2
+
+
+def _slice_counts(split: DataFrame, least_docs: int, slices: int, part: int) -> DataFrame:
+    spark = split.sparkSession
+    if slices > 1:
+        split = split.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(slices)) == part))
+    vectorizer = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(least_docs), vocabSize=2 ** 31 - 1)
     try:
-        model = CountVectorizer(inputCol="keys", outputCol="vector", minDF=float(least_docs), vocabSize=2 ** 31 - 1).fit(keyed)
+        model = vectorizer.fit(split)
     except IllegalArgumentException as error:
         if "vocabulary size" not in str(error):
             raise
-        return spark.createDataFrame([], "lang string, source string, term string, n long")  # no term is frequent enough
+        return spark.createDataFrame([], "lang string, source string, term string, n long, docs long")  # no term is frequent enough
     entries = F.unwrap_udt("vector")
-    sparse = model.transform(keyed).select("lang", "source", F.arrays_zip(entries["indices"], entries["values"]).alias("e"))
-    each = sparse.select("lang", "source", F.explode("e").alias("e"))
-    sums = each.groupBy("lang", "source", F.col("e.indices").alias("at")).agg(F.sum(F.col("e.values").cast("long")).alias("n"))
+    sparse = model.transform(split).select("lang", "source", F.explode(F.arrays_zip(entries["indices"], entries["values"])).alias("e"))
+    sums = sparse.groupBy("lang", "source", F.col("e.indices").alias("at")).agg(
+        F.sum(F.col("e.values").cast("long")).alias("n"), F.count("*").alias("docs"))
     sums = cut_lineage(sums, "group-sums")
     known = model.vocabulary
-    words = pa.table({"at": pa.array(range(len(known)), pa.int32()), "k": pa.array(known, pa.string())})
-    named = sums.join(spark.createDataFrame(words), "at")
-    return named.select("lang", "source", F.expr("substring(k, length(lang) + 2)").alias("term"), "n")
+    words = pa.table({"at": pa.array(range(len(known)), pa.int32()), "term": pa.array(known, pa.string())})
+    return sums.join(spark.createDataFrame(words), "at").select("lang", "source", "term", "n", "docs")
 
 
 def shares(counts: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
@@ -132,14 +140,16 @@ def pairs(lines: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def audit(docs: DataFrame, *, lang_column: str = "lang", source_column: str = "source", text_column: str = "text",
-          least_docs: int = LEAST_DOCS, top: int = TOP, slice_terms: int = SLICE_TERMS) -> DataFrame:
+          least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank): see `pairs` for part 'pair'.
 
     Part 'term' has the `top` kept terms of a source whose share exceeds the lang's by the most.
     """
     plain = _plain(docs, lang_column, source_column, text_column)
-    counts = cut_lineage(group_counts(plain, least_docs=least_docs, slice_terms=slice_terms), "term-counts")
-    by_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    known = cut_lineage(group_counts(plain, least_docs=least_docs), "term-counts")
+    by_lang = known.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_lang = cut_lineage(by_lang.filter(F.col("docs") >= least_docs).drop("docs"), "by-lang")
+    counts = cut_lineage(known.drop("docs").join(by_lang.select("lang", "term"), ["lang", "term"]), "kept-counts")
     in_lang = Window.partitionBy("lang")
     sized = by_lang.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     in_order = numbered(shares(by_lang, sized, ["lang"]), ["lang"], ["term"], label="terms")
