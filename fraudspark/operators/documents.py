@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from fraudspark.functions.dates import portal_date
 from fraudspark.functions.text import borough_name, first_present, join_words
-from fraudspark.operators.parts import PART_SIZE, add_part
+from fraudspark.operators.ordered import running
+from fraudspark.session import cut_lineage
 
 
 def _document(df: DataFrame, name: Column, description: Column, content: Column, date: Column) -> DataFrame:
@@ -97,29 +98,31 @@ def timeline_rows(permits: DataFrame, violations: DataFrame, complaints: DataFra
     return union
 
 
-def project_documents(
-    permits: DataFrame, violations: DataFrame, complaints: DataFrame, *, part_size: int = PART_SIZE
-) -> DataFrame:
-    """One document per building with permits and more than one permit or any other record.
+def project_records(permits: DataFrame, violations: DataFrame, complaints: DataFrame) -> DataFrame:
+    """Records of buildings with permits: one row per record with its `position` in time, undated ones first.
 
-    Buildings with more records than `part_size` give several parts of one document; summary and
-    counts are the same in each, and every record is in exactly one part.
+    One form at every size: the records of a building are never put in one row.
     """
     known = permits.select("bin").filter("bin IS NOT NULL").distinct()
-    rows = timeline_rows(permits, violations, complaints).join(known, "bin", "left_semi")
-    kinds = {k: F.col("kind") == k for k in EVENTS}
-    counts = rows.groupBy("bin").agg(*[F.count_if(hit).alias(f"n_{k}s") for k, hit in kinds.items()])
-    counts = counts.filter("n_permits > 1 OR n_violations > 0 OR n_complaints > 0")
-    spread = add_part(rows, ["bin"], F.concat("kind", "id"), part_size=part_size).repartition("bin", "part")
-    record = F.struct("date", "id", "category")
-    gathered = spread.groupBy("bin", "part", "n_parts").agg(
-        *[F.array_sort(F.collect_list(F.when(hit, record))).alias(f"{k}s") for k, hit in kinds.items()],
-        F.array_sort(F.collect_list(F.when(F.col("date").isNotNull(), F.struct("date", "event", "details")))).alias("activity_timeline"),
-    )
+    rows = cut_lineage(timeline_rows(permits, violations, complaints).join(known, "bin", "left_semi"), "records")
+    return running(rows, ["bin"], ["date", "event", "details", "id"], sums={"position": F.lit(1).cast("long")})
+
+
+def project_documents(permits: DataFrame, violations: DataFrame, complaints: DataFrame) -> DataFrame:
+    """One document head per building with permits and more than one permit or any other record.
+
+    Its permits, violations, complaints and activity timeline are the rows of `project_records`.
+    """
+    counts = None
+    for kind, df in (("permit", permits), ("violation", violations), ("complaint", complaints)):
+        own = df.filter("bin IS NOT NULL").groupBy("bin").agg(
+            F.count("*").alias(f"n_{kind}s"), F.min("date").alias(f"first_{kind}"), F.max("date").alias(f"last_{kind}"))
+        counts = own if counts is None else counts.join(own, "bin", "left")
+    counts = counts.fillna(0, [f"n_{k}s" for k in EVENTS]).filter("n_permits > 1 OR n_violations > 0 OR n_complaints > 0")
     summary = F.format_string(
         "Building %s with %d permits, %d violations, %d complaints", F.col("bin").cast("string"), "n_permits", "n_violations", "n_complaints"
     )
-    return gathered.join(counts, "bin").select(
-        F.concat(F.lit("Building_Project_"), F.col("bin").cast("string")).alias("name"), "bin", "part", "n_parts",
-        summary.alias("project_summary"), "permits", "violations", "complaints", "activity_timeline",
+    return counts.select(
+        F.concat(F.lit("Building_Project_"), F.col("bin").cast("string")).alias("name"), "bin", summary.alias("project_summary"),
+        *[f"n_{k}s" for k in EVENTS], F.least(*[f"first_{k}" for k in EVENTS]).alias("first_date"), F.greatest(*[f"last_{k}" for k in EVENTS]).alias("last_date"),
     )

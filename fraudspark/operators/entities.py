@@ -197,3 +197,19 @@ def event_table(sources: dict[str, DataFrame]) -> DataFrame:
         union = tagged if union is None else union.unionByName(tagged, allowMissingColumns=True)
     return union
 
+
+# The facts of a job application.
+JOB_FACTS = [
+    "job_number", "doc_number", "job_type", "job_status", "job_status_description", "building_type", "community_board", "cluster",
+    "landmarked", "adult_establishment", "loft_board", "city_owned", "little_e", "pc_filed", "efiling_filed", "job_description",
+    "initial_cost", "total_estimated_fee", "fee_status", "existing_zoning_sqft", "proposed_zoning_sqft", "existing_dwelling_units",
+    "proposed_dwelling_units", "existing_stories", "proposed_stories", "existing_height", "proposed_height", "zoning_district_1",
+    "zoning_district_2", "zoning_district_3", "special_district_1", "special_district_2", "building_class", "latitude", "longitude",
+    "council_district", "nta_name",
+]
+
+
+def job_facts(jobs: DataFrame) -> DataFrame:
+    """The facts of each filing with its property; numbers that are blank or cannot be read are NULL, so is a blank district."""
+    facts = [blank_to_null(F.col(c)).alias(c) if c == "council_district" else F.col(c) for c in JOB_FACTS]
+    return jobs.select("bin", *facts)

@@ -16,7 +16,7 @@ from fraudspark.functions.numbers import ratio
 from fraudspark.session import cut_lineage, drop_scratch, scratch_paths_of
 
 
-class _Round:
+class Round:
     """Keeps the newest of a series of stored tables and deletes the one before."""
 
     def __init__(self, label: str, first: DataFrame | None = None):
@@ -97,7 +97,7 @@ def graph_summary(edges: DataFrame) -> DataFrame:
 
 # --- connected components ---------------------------------------------------------------------
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): component is the smallest node id reachable.
 
     Alternating large-star and small-star (Kiveris et al., Connected Components in MapReduce and
@@ -105,18 +105,16 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, ma
     stars. Only minimums are aggregated, so a hub is never gathered.
     """
     start = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    stored = _Round("components", start.filter("u <> v").distinct())
-    lowest, smaller = _Round("lowest"), _Round("smaller")
+    stored = Round("components", start.filter("u <> v").distinct())
+    lowest, smaller = Round("lowest"), Round("smaller")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         stars = _small_star(_large_star(stored.df, lowest), smaller)
         current = stored.replace(stars)
         seen = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError(f"components still change after {max_rounds} rounds")
     stars = stored.df
     found = stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
@@ -127,7 +125,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, ma
     return out
 
 
-def _large_star(links: DataFrame, lowest: _Round) -> DataFrame:
+def _large_star(links: DataFrame, lowest: Round) -> DataFrame:
     around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # Stored, so that the join can split the links of a hub at run time.
     minimum = lowest.replace(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
@@ -135,7 +133,7 @@ def _large_star(links: DataFrame, lowest: _Round) -> DataFrame:
     return larger.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(links: DataFrame, smaller: _Round) -> DataFrame:
+def _small_star(links: DataFrame, smaller: Round) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     # Stored, for the same reason.
     lowest = smaller.replace(down.groupBy("u").agg(F.min("v").alias("m")))
@@ -156,38 +154,7 @@ def clusters(edges: DataFrame, *, at_least: int = 5) -> DataFrame:
     return members.join(sizes, "component")
 
 
-# --- label propagation ------------------------------------------------------------------------
-
-def label_propagation(
-    edges: DataFrame, *, rounds: int = 10, by: Sequence[str] = (), weight: str = "weight"
-) -> DataFrame:
-    """(by, node, label) after up to `rounds` synchronous rounds; stops when nothing changes.
-
-    A node takes the label with the largest weight among its neighbours, the smallest such label
-    on ties. Votes are summed per (node, label) before they meet, so hubs stay distributed.
-    """
-    by = list(by)
-    links = cut_lineage(
-        both_ways(edges.select(*by, "src", "dst", F.col(weight).cast("double").alias("weight"))), "links"
-    )
-    start = links.select(*by, F.col("src").alias("node")).distinct()
-    stored = _Round("labels", start.withColumn("label", F.col("node")).withColumn("changed", F.lit(True)))
-    for _ in range(rounds):
-        neighbours = stored.df.select(*by, F.col("node").alias("dst"), "label")
-        votes = links.join(neighbours, [*by, "dst"]).groupBy(*by, "src", "label").agg(
-            F.round(F.sum("weight"), 9).alias("w")
-        )
-        winner = votes.groupBy(*by, F.col("src").alias("node")).agg(
-            F.min_by("label", F.struct(-F.col("w"), "label")).alias("new")
-        )
-        moved = stored.df.drop("changed").join(winner, [*by, "node"])
-        current = stored.replace(
-            moved.select(*by, "node", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("changed"))
-        )
-        if current.filter("changed").isEmpty():
-            break
-    return stored.df.drop("changed")
-
+# --- weights over time ------------------------------------------------------------------------
 
 # Fixed value: share of an edge's weight that decays with age.
 TEMPORAL_WEIGHT = 0.3
@@ -224,84 +191,8 @@ def _community_weights(edges: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def modularity_communities(
-    edges: DataFrame, *, resolutions: dict[str, float] | None = None, rounds: int = 6, levels: int = 2
-) -> DataFrame:
-    """(run, node, label): communities of high modularity, one run per resolution.
-
-    Local moves as in Blondel et al. (2008), made in parallel: in each round half of the nodes
-    (alternating by hash) move to the neighbouring community with the largest gain. Then each
-    community becomes one node and the moves repeat. All resolutions run as one job.
-    """
-    resolutions = resolutions or {"1.0": 1.0}
-    gamma = F.create_map(*[F.lit(x) for item in resolutions.items() for x in item])
-    runs = F.explode(F.array(*[F.lit(r) for r in resolutions])).alias("run")
-    level = _Round("level", edges.select(runs, "src", "dst", "weight"))
-    first = both_ways(level.df).select("run", F.col("src").alias("node")).distinct()
-    placed = _Round("placed", first.withColumn("label", F.col("node")))
-    for _ in range(levels):
-        moved = _local_moves(level.df, gamma, rounds)
-        placed.replace(
-            placed.df.join(
-                moved.select("run", F.col("label").alias("next"), F.col("node").alias("label")), ["run", "label"]
-            ).select("run", "node", F.col("next").alias("label"))
-        )
-        at = lambda end: moved.select("run", F.col("node").alias(end), F.col("label").alias(f"{end}_l"))
-        merged = level.df.join(at("src"), ["run", "src"]).join(at("dst"), ["run", "dst"])
-        level.replace(
-            merged.groupBy("run", F.least("src_l", "dst_l").alias("src"), F.greatest("src_l", "dst_l").alias("dst")).agg(
-                F.sum("weight").alias("weight")
-            )
-        )
-    return placed.df
-
-
-def _local_moves(edges: DataFrame, gamma: Column, rounds: int) -> DataFrame:
-    """Edges may hold self-loops (src = dst), the inner weight of a merged community."""
-    links = cut_lineage(both_ways(edges.filter("src <> dst")), "links")
-    loops = edges.filter("src = dst").select("run", F.col("src").alias("node"), (2 * F.col("weight")).alias("k"))
-    own = links.select("run", F.col("src").alias("node"), F.col("weight").alias("k")).unionByName(loops)
-    degree = cut_lineage(own.groupBy("run", "node").agg(F.sum("k").alias("k")), "degree")
-    total = degree.groupBy("run").agg(F.sum("k").alias("m2"))
-    state = _Round("moves", degree.select("run", "node", "k", F.col("node").alias("label")))
-    totals = _Round("held")
-    for i in range(rounds):
-        # Stored, so that the join below can split a large community at run time.
-        held = totals.replace(state.df.groupBy("run", "label").agg(F.sum("k").alias("tot")))
-        near = state.df.select("run", F.col("node").alias("dst"), "label")
-        towards = links.join(near, ["run", "dst"]).groupBy("run", F.col("src").alias("node"), "label").agg(
-            F.sum("weight").alias("k_in")
-        )
-        mine = state.df.select("run", "node", "k", F.col("label").alias("now"))
-        # Staying is an option even without a neighbour in the own community.
-        options = towards.unionByName(state.df.select("run", "node", "label", F.lit(0.0).alias("k_in")))
-        options = options.groupBy("run", "node", "label").agg(F.sum("k_in").alias("k_in"))
-        scored = options.join(mine, ["run", "node"]).join(held, ["run", "label"]).join(total, "run")
-        others = F.col("tot") - F.when(F.col("label") == F.col("now"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("k_in") - gamma[F.col("run")] * F.col("k") * others / F.col("m2"), 9)
-        stays = (F.col("label") == F.col("now")).cast("int")
-        best = scored.groupBy("run", "node").agg(
-            F.min_by("label", F.struct(-gain, -stays, "label")).alias("best")
-        )
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
-        chosen = state.df.join(best, ["run", "node"])
-        state.replace(
-            chosen.select("run", "node", "k", F.when(turn, F.col("best")).otherwise(F.col("label")).alias("label"))
-        )
-    return state.df.select("run", "node", "label")
-
-
-# The resolutions tried together, and the agreement a consensus needs.
-RESOLUTION_RANGE, RESOLUTION_STEPS, CONSENSUS = (0.1, 2.0), 10, 0.8
-
-
-def resolution_steps(span: tuple[float, float] = RESOLUTION_RANGE, steps: int = RESOLUTION_STEPS) -> dict[str, float]:
-    low, high = span
-    return {f"{low + i * (high - low) / (steps - 1):.3f}": low + i * (high - low) / (steps - 1) for i in range(steps)}
-
-
-def multi_resolution(edges: DataFrame, *, rounds: int = 6, levels: int = 2) -> DataFrame:
-    return modularity_communities(edges, resolutions=resolution_steps(), rounds=rounds, levels=levels)
+# Fixed value: the agreement a consensus needs.
+CONSENSUS = 0.8
 
 
 def consensus(edges: DataFrame, runs: DataFrame, *, at_least: float = CONSENSUS) -> DataFrame:
@@ -404,35 +295,38 @@ def community_metrics(edges: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def mean_betweenness(edges: DataFrame, labels: DataFrame, *, max_steps: int = 100) -> DataFrame:
+def mean_betweenness(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, size, mean_betweenness) within each community, exact.
 
     A shortest path of length d has d - 1 inner nodes, so betweenness summed over the nodes of a
     community is the sum of (d - 1) over its ordered connected pairs: distances are enough, and no
-    paths are counted. Distances come from one breadth-first search for all sources of all
-    communities at once, a join per step. Work grows with nodes x edges of a community.
+    paths are counted. All nodes are sources of breadth-first searches that run side by side, 64 sources
+    in one word of bits per node reached. A node at distance d from a source has neighbours at d - 1, d and
+    d + 1 only, so the last two frontiers tell which bits are new and nothing else is kept.
     """
-    inside = inner_edges(edges, labels).select("src", "dst")
-    links = cut_lineage(both_ways(inside).distinct(), "inside")
-    frontier = labels.select(F.col("node").alias("source"), "node")
-    reached = _Round("reached", frontier.withColumn("d", F.lit(0)))
-    for step in range(1, max_steps + 1):
-        edge_of = reached.df.filter(F.col("d") == step - 1).select("source", F.col("node").alias("src"))
-        seen = reached.df.select("source", "node")
-        ahead = edge_of.join(links, "src").select("source", F.col("dst").alias("node")).distinct()
-        fresh = ahead.join(seen, ["source", "node"], "left_anti").withColumn("d", F.lit(step))
-        current = reached.replace(reached.df.unionByName(fresh))
-        if current.filter(F.col("d") == step).isEmpty():
+    links = cut_lineage(both_ways(inner_edges(edges, labels).select("src", "dst")).distinct(), "inside")
+    # Members of a community share words: they follow each other in the ranges, and ids count on within one.
+    ranged = cut_lineage(labels.select("label", "node"), "members").repartitionByRange("label", "node").sortWithinPartitions("label", "node")
+    placed = cut_lineage(ranged.withColumn("at", F.monotonically_increasing_id()), "sources")
+    own = placed.select("label", "node", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, CAST(at % 64 AS INT))").alias("bits"))
+    front, last, sums = Round("frontier", own), Round("frontier", own.filter("false")), None
+    d = 0
+    while True:
+        d += 1
+        ahead = front.df.join(links.withColumnRenamed("src", "node"), "node").select("label", F.col("dst").alias("node"), "word", "bits", F.lit(0).cast("long").alias("seen"))
+        seen = front.df.unionByName(last.df).select("label", "node", "word", F.lit(0).cast("long").alias("bits"), F.col("bits").alias("seen"))
+        reached = ahead.unionByName(seen).groupBy("label", "node", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("seen").alias("seen"))
+        fresh = reached.select("label", "node", "word", F.col("bits").bitwiseAND(F.bitwise_not("seen")).alias("bits")).filter("bits <> 0")
+        front, last = last, front
+        if front.replace(fresh).isEmpty():
             break
-    else:
-        raise RuntimeError(f"a community is wider than {max_steps} steps")
-    inner = reached.df.filter("d > 0").groupBy(F.col("source").alias("node")).agg(F.sum(F.col("d") - 1).alias("s"))
-    sums = labels.join(inner, "node", "left").groupBy("label").agg(
-        F.count("*").alias("size"), F.coalesce(F.sum("s"), F.lit(0)).alias("s")
-    )
+        step = cut_lineage(front.df.groupBy("label").agg((F.sum(F.bit_count("bits")) * (d - 1)).alias("s")), "step")
+        sums = step if sums is None else cut_lineage(sums.unionByName(step).groupBy("label").agg(F.sum("s").alias("s")), "sums")
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("s", F.lit(0).cast("long")) if sums is None else sizes.join(sums, "label", "left")
     n = F.col("size")
-    value = F.coalesce(ratio(F.col("s"), n * (n - 1) * (n - 2)), F.lit(0.0))
-    return sums.select("label", "size", F.round(value, 8).alias("mean_betweenness"))
+    value = F.coalesce(ratio(F.coalesce("s", F.lit(0)), n * (n - 1) * (n - 2)), F.lit(0.0))
+    return sizes.select("label", "size", F.round(value, 8).alias("mean_betweenness"))
 
 
 # --- change over time -------------------------------------------------------------------------
@@ -441,11 +335,6 @@ def mean_betweenness(edges: DataFrame, labels: DataFrame, *, max_steps: int = 10
 STABILITY = 0.7
 
 
-def windowed_communities(edges: DataFrame, *, rounds: int = 5, window: str = "window_no") -> DataFrame:
-    """(window, node, label): label propagation in every time window, as one job."""
-    return label_propagation(canonical(edges, by=[window]), rounds=rounds, by=[window])
-
-
 def community_changes(communities: DataFrame, *, window: str = "window_no", stability: float = STABILITY) -> DataFrame:
     """What became of communities from one window to the next.
 

@@ -168,31 +168,64 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     return left.join(other, same).drop(*[f"_right_{k}" for k in keys])
 
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], column: str, cuts: dict[str, float], *, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
-    """Exact interpolated quantiles per key: one output column per entry of `cuts`.
+# Digits of a number's image: sign, exponent and the first bits of the fraction, then three times 16 bits.
+DIGITS = ["_d0", "_d1", "_d2", "_d3"]
+
+
+def _image(value: Column) -> list[Column]:
+    """Digits of a double that compare as the double does; only equal numbers have all of them in common.
 
-    Built-in exact percentiles hold all distinct values of a key in one task. Here values are
-    counted, counts are summed in value order, and the value at each rank is a minimum.
+    The logarithm only picks a power of two near the number, in order of size; scaling by it is exact, with one bit
+    to spare where the logarithm was rounded to the next power. NaN is the largest value.
+    """
+    size = F.abs(value)
+    finite = ~F.isnan(value) & (size < float("inf"))
+    power = F.when(finite & (size > 0), F.floor(F.log2(size)))
+    bits = (size / F.pow(F.lit(2.0), power) * float(1 << 53)).cast("long") - (1 << 52)
+    head = F.when(finite, F.coalesce((power + 1080) * 64 + F.shiftright(bits, 48), F.lit(0))).when(F.isnan(value), 1 << 20).otherwise(1 << 19)
+    rest = [F.coalesce(F.when(finite, F.shiftright(bits, k).bitwiseAND(F.lit(65535))), F.lit(0)) for k in (32, 16, 0)]
+    below = value < 0
+    return [F.when(below, -head).otherwise(head), *[F.when(below, 65535 - d).otherwise(d) for d in rest]]
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], column: str, cuts: dict[str, float], *, ends: bool = False, stored: bool = False) -> DataFrame:
+    """Exact interpolated quantiles per key: one output column per entry of `cuts`; with `ends`, also n, low and high.
+
+    Selection by digits: values are counted by their leading digit, and by the next one only within the
+    buckets that hold a wanted rank, until each such bucket has one value. Nothing is sorted, no key is gathered, and
+    a narrow copy of the input (or the input itself, where it is `stored`) is read at most four times. NULL keys are
+    groups; NULL values are left out, and a key without values has no row.
     """
     keys = list(keys) or ["_all"]
     rows = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
-    counted = (
-        rows.select(*keys, F.col(column).cast("double").alias("_v"))
-        .filter("_v IS NOT NULL")
-        .groupBy(*keys, "_v")
-        .agg(F.count("*").alias("_n"))
-    )
-    # Stored, so that the join can split a hot key at run time.
-    totals = cut_lineage(counted.groupBy(*keys).agg(F.sum("_n").alias("_total")), "totals")
-    ranked = running(counted, keys, ["_v"], sums={"_upto": F.col("_n")}, group_limit=group_limit)
-    ranked = join_null_safe(ranked, totals, keys)
-    at = lambda q: (F.col("_total") - 1) * F.lit(q)
-    found = ranked.groupBy(*keys).agg(
-        F.first("_total").alias("_total"),
-        *[F.min(F.when(F.col("_upto") > F.floor(at(q)), F.col("_v"))).alias(f"_lo_{n}") for n, q in cuts.items()],
-        *[F.min(F.when(F.col("_upto") > F.ceil(at(q)), F.col("_v"))).alias(f"_hi_{n}") for n, q in cuts.items()],
-    )
-    between = lambda n, q: F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (at(q) - F.floor(at(q)))
-    return found.select(*[k for k in keys if k != "_all"], *[between(n, q).alias(n) for n, q in cuts.items()])
+    value = F.col("_v")
+    narrow = rows.select(*keys, F.col(column).cast("double").alias("_v")).filter(value.isNotNull())
+    digits = (narrow if stored else cut_lineage(narrow, "values")).select("*", *[d.alias(n) for n, d in zip(DIGITS, _image(value))])
+    wanted, totals = None, None
+    for k, digit in enumerate(DIGITS):
+        known = [*keys, *DIGITS[:k]]
+        inside = digits if k == 0 else join_null_safe(digits, wanted.select(*known).distinct(), known)
+        counted = cut_lineage(inside.groupBy(*known, digit).agg(
+            F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")), "digits")
+        if k == 0:
+            totals = cut_lineage(counted.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.min("_low").alias("low"), F.max("_high").alias("high")), "totals")
+            at = lambda q: (F.col("_total") - 1) * F.lit(q)
+            ranks = [F.struct(F.lit(f"{side}{n}").alias("name"), edge(at(q)).cast("long").alias("rank"))
+                     for n, q in cuts.items() for side, edge in (("lo_", F.floor), ("hi_", F.ceil))]
+            wanted = totals.select(*keys, F.explode(F.array(*ranks)).alias("w")).select(*keys, "w.*")
+        # One bucket has at most 65 536 digits, and the exponents that occur in the first turn.
+        before = F.sum("_n").over(Window.partitionBy(*known).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1))
+        placed = counted.withColumn("_before", F.coalesce(before, F.lit(0)))
+        held = join_null_safe(placed, wanted.select(*known, "name", "rank"), known)
+        held = held.filter((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n")))
+        wanted = cut_lineage(held.select(*known, digit, "name", (F.col("rank") - F.col("_before")).alias("rank"), "_low", "_high"), "ranks")
+        if wanted.filter("_low <> _high").isEmpty():
+            break
+    found = wanted.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("name") == f"{side}{n}", F.col("_low"))).alias(f"_{side}{n}") for n in cuts for side in ("lo_", "hi_")])
+    found = join_null_safe(found, totals, keys)
+    part = lambda q: at(q) - F.floor(at(q))
+    low, high = (lambda n: F.col(f"_lo_{n}")), (lambda n: F.col(f"_hi_{n}"))
+    between = lambda n, q: F.when((part(q) == 0) | (low(n) == high(n)), low(n)).otherwise(low(n) + (high(n) - low(n)) * part(q))
+    extra = [F.col("_total").alias("n"), "low", "high"] if ends else []
+    return found.select(*[k for k in keys if k != "_all"], *[between(n, q).alias(n) for n, q in cuts.items()], *extra)

@@ -7,6 +7,7 @@ member, with the size of its group: any two members are a pair. This is one form
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations, pairwise, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,37 +34,39 @@ def group_members(df: DataFrame, key: str, member: str, values: Sequence[str] =
     return named.join(cut_lineage(sizes, "sizes"), key)
 
 
+#: Segments in common that are asked for at last, however many strings have them.
+MOST_COMMON_PARTS = 4
+
+
 def similar_strings(
     df: DataFrame, column: str, max_distance: int, *, bucket_limit: int = 256
 ) -> DataFrame:
     """Pairs of distinct strings within an edit distance of 1..max_distance: (a, b, distance).
 
-    Candidates come from segment signatures (Li, Deng, Wang, Feng: Pass-Join, VLDB 2011): a
-    string cut into max_distance + 1 segments shares one with any string that near, at a bounded
-    shift. A segment common to more than `bucket_limit` strings would pair them all, so strings
-    under it are matched by deletion neighbourhoods instead (near strings become equal after
-    deleting up to max_distance characters), whose buckets hold near strings only.
-    No pair is lost: a pair either shares a rare segment or both strings carry a common one.
+    Candidates come from segment signatures, as in Pass-Join (Li, Deng, Wang, Feng, VLDB 2011), but of several
+    segments at once: of max_distance + 2 segments, near strings have two in common, as every edit touches at most
+    one; so a segment that all strings share pairs nobody. A signature of more than `bucket_limit` strings is put
+    aside, and its strings are matched on three of max_distance + 3 segments, then on four of max_distance + 4.
+    No pair is lost: a pair has a rare signature, or both strings carry the common one to the next turn, and
+    in the last turn none is put aside.
     """
-    # Read by up to six branches below, so stored once.
+    # Read by several branches below, so stored once.
     strings = cut_lineage(df.select(F.col(column).alias("s")).na.drop().distinct(), "strings")
-    indexed = strings.select("s", F.explode(_own_segments(max_distance)).alias("sig"))
-    probing = strings.select("s", F.explode(_probe_segments(max_distance)).alias("sig"))
-    common = indexed.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_limit)
-    common = cut_lineage(common.select("sig"), "segments")
-    any_common = not common.isEmpty()
-
-    left = indexed.withColumnRenamed("s", "a")
-    if any_common:
-        left = left.join(common, "sig", "left_anti")
-    right = probing.withColumnRenamed("s", "b")
-    found = left.join(right, "sig").filter("a <> b").select(*_in_order("a", "b"))
-
-    if any_common:
-        crowded = indexed.unionByName(probing).join(common, "sig", "left_semi")
-        variants = _deletions(crowded.select("s").distinct(), max_distance)
-        near = variants.withColumnRenamed("s", "a").join(variants.withColumnRenamed("s", "b"), "v")
-        found = found.unionByName(near.filter("a < b").select("a", "b"))
+    found = None
+    for common in range(2, MOST_COMMON_PARTS + 1):
+        indexed = cut_lineage(strings.select("s", F.explode(_own_parts(max_distance, common)).alias("sig")), "segments")
+        probing = strings.select("s", F.explode(_probe_parts(max_distance, common)).alias("sig"))
+        crowded = None
+        if common < MOST_COMMON_PARTS:
+            crowded = cut_lineage(indexed.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_limit).select("sig"), "crowded")
+            crowded = None if crowded.isEmpty() else crowded
+        left = indexed if crowded is None else indexed.join(crowded, "sig", "left_anti")
+        pairs = left.withColumnRenamed("s", "a").join(probing.withColumnRenamed("s", "b"), "sig").filter("a <> b").select(*_in_order("a", "b"))
+        found = pairs if found is None else found.unionByName(pairs)
+        if crowded is None:
+            break
+        both = indexed.unionByName(probing).join(crowded, "sig", "left_semi")
+        strings = cut_lineage(both.select("s").distinct(), "strings")
     return (
         found.distinct()
         .withColumn("distance", F.levenshtein("a", "b", max_distance))
@@ -75,60 +78,39 @@ def _in_order(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _segment_plan(k: int) -> str:
-    """SQL for the segments of a string of length `len`: structs (no, start, size), from 1."""
-    return f"""transform(sequence(0, {k}), i -> named_struct(
-        'no', i,
-        'start', i * (len div {k + 1}) + greatest(0, i - ({k + 1} - len % {k + 1})) + 1,
-        'size', len div {k + 1} + if(i >= {k + 1} - len % {k + 1}, 1, 0)))"""
+def _segment(n: int, i: str, length: str) -> tuple[str, str]:
+    """SQL for start (from 1) and size of segment `i` of a string of that length cut into `n`, the longer ones last."""
+    longer = f"({n} - ({length}) % {n})"
+    return f"({i} * (({length}) div {n}) + greatest(0, {i} - {longer}) + 1)", f"(({length}) div {n} + if({i} >= {longer}, 1, 0))"
 
 
-def _own_segments(k: int) -> Column:
-    segments = _segment_plan(k).replace("len", "length(s)")
-    return F.expr(
-        f"transform({segments}, g -> xxhash64(length(s), g.no, substr(s, g.start, g.size)))"
-    )
+def _own_parts(k: int, common: int) -> Column:
+    """Signatures of every `common` segments of a string `s`."""
+    start, size = _segment(k + common, "i", "length(s)")
+    chosen = ", ".join(f"array({', '.join(map(str, c))})" for c in combinations(range(k + common), common))
+    return F.expr(f"transform(array({chosen}), c -> xxhash64(length(s), c, transform(c, i -> substr(s, {start}, {size}))))")
 
 
-def _probe_segments(k: int) -> Column:
-    """Signatures under which an equally long or shorter near string would be indexed."""
-    segments = _segment_plan(k)
+def _shifts(k: int, common: int, longer: int) -> list[tuple[int, ...]]:
+    """How far segments can stand from their place in a string longer by `longer`: with k edits, all the way
+    from the start of the text to its end the shift changes by at most k."""
+    way = lambda by: sum(abs(y - x) for x, y in pairwise((0, *by, longer)))
+    return [by for by in product(range(-k, k + 1), repeat=common) if way(by) <= k]
+
+
+def _probe_parts(k: int, common: int) -> Column:
+    """Signatures under which a near string that is as long as `s` or shorter is indexed."""
+    length = "length(s) - c.longer"
+    start, size = _segment(k + common, "i", length)
+    array = lambda numbers: f"array({', '.join(map(str, numbers))})"
+    tried = ", ".join(
+        f"struct({longer} AS longer, {array(at)} AS at, {array(by)} AS by)"
+        for longer in range(k + 1) for by in _shifts(k, common, longer) for at in combinations(range(k + common), common))
+    inside = f"forall(zip_with(c.at, c.by, (i, h) -> {start} + h >= 1 AND {start} + h + {size} - 1 <= length(s)), x -> x)"
     return F.expr(f"""
-        array_distinct(flatten(transform(
-          sequence(greatest(0, length(s) - {k}), length(s)), len ->
-            flatten(transform({segments}, g ->
-              transform(
-                filter(
-                  sequence(g.start - ({k} - (length(s) - len)) div 2,
-                           g.start + ({k} + (length(s) - len)) div 2),
-                  p -> p >= 1 and p + g.size - 1 <= length(s)),
-                p -> xxhash64(len, g.no, substr(s, p, g.size))))))))
-    """)
-
-
-def _deletions(strings: DataFrame, k: int) -> DataFrame:
-    """Each string with all it can become by deleting up to k characters: (s, v)."""
-    grown = strings.select("s", F.col("s").alias("v"))
-    levels = [grown]
-    for _ in range(k):
-        grown = (
-            grown.filter("length(v) > 0")
-            .select(
-                "s",
-                F.explode(
-                    F.expr(
-                        "array_distinct(transform(sequence(1, length(v)),"
-                        " i -> concat(substr(v, 1, i - 1), substr(v, i + 1))))"
-                    )
-                ).alias("v"),
-            )
-            .distinct()
-        )
-        levels.append(grown)
-    union = levels[0]
-    for level in levels[1:]:
-        union = union.unionByName(level)
-    return union
+        array_distinct(transform(
+          filter(array({tried}), c -> {length} >= 0 AND {inside}),
+          c -> xxhash64({length}, c.at, zip_with(c.at, c.by, (i, h) -> substr(s, {start} + h, {size})))))""")
 
 
 def related_pairs_missing(pairs: DataFrame, existing: DataFrame) -> DataFrame:

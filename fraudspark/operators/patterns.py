@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from fraudspark.functions.numbers import ratio
 from fraudspark.functions.text import normalize_address
 from fraudspark.operators.enrich import count_per, with_branches
+from fraudspark.operators.ordered import running
 from fraudspark.operators.pairs import group_members, similar_strings
-from fraudspark.operators.parts import PART_SIZE, collect_parts
 from fraudspark.session import cut_lineage
 
 
@@ -220,20 +220,26 @@ def portfolio_members(
     return held.unionByName(used).join(several, "owner_id", "left_semi")
 
 
-def job_timelines(
-    owns: DataFrame, jobs: DataFrame, *, at_least: int = 2, part_size: int = PART_SIZE
-) -> DataFrame:
-    """Dated jobs over all properties of an owner, as sorted arrays in bounded parts."""
+TIMELINE = ["filing_date", "bin", "job_type", "job_status", "job_id"]
+
+
+def job_timelines(owns: DataFrame, jobs: DataFrame, *, at_least: int = 2) -> DataFrame:
+    """Dated jobs over all properties of an owner of several: one row per job with its `position` in time.
+
+    One form at every size: an owner's jobs are never put in one row.
+    """
     several = property_counts(owns).filter(F.col("property_count") >= at_least).select("owner_id")
-    dated = (
-        jobs.filter(F.col("filing_date").isNotNull())
-        .join(owns.distinct(), "bin")
-        .join(several, "owner_id", "left_semi")
-    )
-    entry = F.struct("filing_date", "bin", "job_type", "job_status", "job_id")
-    return collect_parts(
-        dated, ["owner_id"], {"job_timeline": entry}, F.col("job_id"), part_size=part_size
-    )
+    dated = jobs.filter(F.col("filing_date").isNotNull()).join(owns.distinct(), "bin").join(several, "owner_id", "left_semi")
+    stored = cut_lineage(dated.select("owner_id", *TIMELINE), "dated")
+    placed = running(stored, ["owner_id"], TIMELINE, sums={"position": F.lit(1).cast("long")})
+    return placed.select("owner_id", "position", *TIMELINE)
+
+
+def timeline_headers(timelines: DataFrame) -> DataFrame:
+    """(owner_id, n_jobs, n_properties, first_filing, last_filing): one row per owner over `job_timelines`."""
+    return timelines.groupBy("owner_id").agg(
+        F.count("*").alias("n_jobs"), F.countDistinct("bin").alias("n_properties"),
+        F.min("filing_date").alias("first_filing"), F.max("filing_date").alias("last_filing"))
 
 
 def dense_portfolios(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from fraudspark.functions.numbers import ratio
 from fraudspark.functions.patterns import column_roles
 from fraudspark.operators.ordered import quantiles
+from fraudspark.session import cut_lineage
 
 
 def quality_level(completeness: Column) -> Column:
@@ -93,12 +94,12 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """(column, n, mean, std, low, high, median) of the numeric columns."""
     columns = list(columns or numeric_columns(df))
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    long = numbers.unpivot([], columns, "column", "value")
+    long = cut_lineage(numbers.unpivot([], columns, "column", "value"), "numbers")
     moments = long.groupBy("column").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev("value").alias("std"),
         F.min("value").alias("low"), F.max("value").alias("high"),
     )
-    return moments.join(quantiles(long, ["column"], "value", {"median": 0.5}), "column", "left")
+    return moments.join(quantiles(long, ["column"], "value", {"median": 0.5}, stored=True), "column", "left")
 
 
 def categorical_summary(df: DataFrame, *, top: int = 5, max_columns: int = 10) -> DataFrame:

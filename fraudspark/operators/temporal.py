@@ -167,22 +167,22 @@ def latest_before(
     left: DataFrame, right: DataFrame, key: str, left_ts: str, left_id: str, right_ts: str, value: str,
     *, group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """As-of join: for each left row the last right row of its key at or before it.
+    """As-of join: for each left row the last right row of its key at or before it, the largest `value` of equal times.
 
-    Both sides become one time line; the running last right value is what a left row sees.
+    Both sides become one time line; the running last right value is what a left row sees. Ids keep their types.
     """
+    empty = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
     marks = left.select(
-        key, F.col(left_ts).alias("at"), F.lit(1).alias("kind"), F.col(left_id).cast("string").alias("row_id"),
-        F.lit(None).cast(right.schema[right_ts].dataType).alias("found_ts"),
-        F.lit(None).cast(right.schema[value].dataType).alias("found"),
+        key, F.col(left_ts).alias("at"), F.lit(1).alias("kind"), F.col(left_id).alias("row_id"),
+        empty(right, right_ts).alias("found_ts"), empty(right, value).alias("found"),
     ).unionByName(
         right.select(
-            key, F.col(right_ts).alias("at"), F.lit(0).alias("kind"), F.col(value).cast("string").alias("row_id"),
+            key, F.col(right_ts).alias("at"), F.lit(0).alias("kind"), empty(left, left_id).alias("row_id"),
             F.col(right_ts).alias("found_ts"), F.col(value).alias("found"),
         )
     ).filter(F.col(key).isNotNull() & F.col("at").isNotNull())
     seen = F.when(F.col("kind") == 0, F.struct("found_ts", "found"))
-    ordered = running(marks, [key], ["at", "kind", "row_id"], lasts={"seen": seen}, group_limit=group_limit)
+    ordered = running(marks, [key], ["at", "kind", "row_id", "found"], lasts={"seen": seen}, group_limit=group_limit)
     return ordered.filter("kind = 1").select(
         key, F.col("row_id").alias(left_id), F.col("at").alias(left_ts),
         F.col("seen.found_ts").alias(right_ts), F.col("seen.found").alias(value),

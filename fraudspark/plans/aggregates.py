@@ -8,6 +8,7 @@ from fraudspark.operators import aggregates as op
 from fraudspark.plans.patterns import ALERTS_SQL, all_alerts
 from fraudspark.plans.registry import query
 from fraudspark.plans.roles import Roles
+from fraudspark.session import cut_lineage
 
 
 @query("ag01_value_counts", "SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 5")
@@ -107,6 +108,29 @@ def ag15(r: Roles):
     return op.distinct_counts(r.table("lineitem"), ["l_partkey", "l_suppkey", "l_quantity"])
 
 
-@query("ag15_distinct_counts_approx")
+COUNTED = ["l_partkey", "l_suppkey", "l_quantity", "l_orderkey"]
+
+
+@query("ag15_distinct_counts_approx", " UNION ALL ".join(f"""
+    SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_exact, true AS within_error FROM lineitem""" for c in COUNTED))
 def ag15_approx(r: Roles):
-    return op.distinct_counts(r.table("lineitem"), ["l_partkey", "l_suppkey", "l_quantity"], error=0.02)
+    lines = r.table("lineitem").select(*COUNTED)
+    near = op.distinct_counts(lines, COUNTED, error=0.02).withColumnRenamed("n_distinct", "n")
+    exact = op.distinct_counts(lines, COUNTED).withColumnRenamed("n_distinct", "n_exact")
+    return exact.join(near, "column").select("column", "n_exact", (F.abs(F.col("n") - F.col("n_exact")) <= 3 * 0.02 * F.col("n_exact")).alias("within_error"))
+
+
+@query("ag15_merged_sketches", " UNION ALL ".join(f"""
+    SELECT l_returnflag, '{c}' AS "column", count(DISTINCT {c}) AS n_exact, true AS within_error, true AS same_as_one_pass
+    FROM lineitem GROUP BY 1""" for c in COUNTED))
+def ag15_merged(r: Roles):
+    """Sketches stored by day and return flag, merged over all days, against exact counts and against one pass."""
+    lines = r.table("lineitem").select("l_returnflag", "l_shipdate", *COUNTED)
+    daily = cut_lineage(op.distinct_sketches(lines, COUNTED, ["l_shipdate", "l_returnflag"]), "sketches")
+    merged = op.merged_distinct(daily, ["l_returnflag"])
+    once = op.merged_distinct(op.distinct_sketches(lines, COUNTED, ["l_returnflag"]), ["l_returnflag"]).withColumnRenamed("n_distinct", "n_once")
+    counts = [F.countDistinct(c).alias(c) for c in COUNTED]
+    exact = lines.groupBy("l_returnflag").agg(*counts).unpivot(["l_returnflag"], COUNTED, "column", "n_exact")
+    near = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 3 * op.SKETCH_ERROR * F.col("n_exact")
+    return exact.join(merged, ["l_returnflag", "column"]).join(once, ["l_returnflag", "column"]).select(
+        "l_returnflag", "column", "n_exact", near.alias("within_error"), (F.col("n_distinct") == F.col("n_once")).alias("same_as_one_pass"))

@@ -107,22 +107,19 @@ TIMELINE_SQL = """
 
 
 @query("ep04_project_documents", "WITH " + TIMELINE_SQL + """
-    SELECT 'Building_Project_' || bin AS name, bin, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS n_parts,
+    SELECT 'Building_Project_' || bin AS name, bin,
       'Building ' || bin || ' with ' || count(*) FILTER (kind = 'permit') || ' permits, ' || count(*) FILTER (kind = 'violation') || ' violations, '
-      || count(*) FILTER (kind = 'complaint') || ' complaints' AS project_summary,
-      coalesce(string_agg(id, ',' ORDER BY date, id) FILTER (kind = 'permit'), '') AS permits,
-      coalesce(string_agg(id, ',' ORDER BY date, id) FILTER (kind = 'violation'), '') AS violations,
-      coalesce(string_agg(id, ',' ORDER BY date, id) FILTER (kind = 'complaint'), '') AS complaints,
-      string_agg(strftime(date, '%Y-%m-%d') || ' ' || event || ' ' || details, '; ' ORDER BY date, event, details) AS activity_timeline
+      || count(*) FILTER (kind = 'complaint') || ' complaints' AS project_summary, count(*) FILTER (kind = 'permit') AS n_permits,
+      count(*) FILTER (kind = 'violation') AS n_violations, count(*) FILTER (kind = 'complaint') AS n_complaints, min(date) AS first_date, max(date) AS last_date
     FROM kept GROUP BY bin HAVING count(*) FILTER (kind = 'permit') > 1 OR count(*) FILTER (kind <> 'permit') > 0""")
 def ep04(r: Roles):
-    docs = op.project_documents(*records(r))
-    ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"]), ",").alias(c)
-    line = lambda x: F.concat_ws(" ", x["date"].cast("string"), x["event"], x["details"])
-    return docs.select(
-        "name", "bin", "part", "n_parts", "project_summary", ids("permits"), ids("violations"), ids("complaints"),
-        F.array_join(F.transform("activity_timeline", line), "; ").alias("activity_timeline"),
-    )
+    return op.project_documents(*records(r))
+
+
+@query("ep04_project_records", "WITH " + TIMELINE_SQL + """
+    SELECT bin, kind, date, event, details, id, category, row_number() OVER (PARTITION BY bin ORDER BY date NULLS FIRST, event, details, id) AS position FROM kept""")
+def ep04_records(r: Roles):
+    return op.project_records(*records(r))
 
 
 @query("ep05_timeline", "WITH " + TIMELINE_SQL + "SELECT bin, kind, date, event, details FROM rows_of")

@@ -69,13 +69,16 @@ def ent05(r: Roles):
     return op.owner_nodes(typed(raw_jobs(r), JOB_FILINGS))
 
 
-@query("ent06_job_facts", f"""
-    WITH {RAW_JOBS_SQL}
-    SELECT job_number, bin, job_type, job_status, TRY_CAST(nullif(cost_raw, '') AS DOUBLE) AS initial_cost,
-           CAST(stories_raw AS BIGINT) AS existing_stories FROM raw_jobs""")
+RAW_NAMES = {"initial_cost": "cost_raw", "existing_stories": "stories_raw"}
+NUMBERS = {name: kind.upper() for _, name, kind in JOB_FILINGS if kind in ("double", "bigint")}
+FACTS_SQL = ", ".join(
+    f"TRY_CAST(nullif({RAW_NAMES.get(c, c)}, '') AS {NUMBERS[c]}) AS {c}" if c in NUMBERS
+    else f"nullif({c}, '') AS {c}" if c == "council_district" else c for c in op.JOB_FACTS)
+
+
+@query("ent06_job_facts", f"WITH {RAW_JOBS_SQL} SELECT bin, {FACTS_SQL} FROM raw_jobs")
 def ent06(r: Roles):
-    facts = typed(raw_jobs(r), JOB_FILINGS)
-    return facts.select("job_number", "bin", "job_type", "job_status", "initial_cost", "existing_stories")
+    return op.job_facts(typed(raw_jobs(r), JOB_FILINGS))
 
 
 @query("ent07_professional_nodes", f"""
@@ -204,12 +207,24 @@ def ent14(r: Roles):
 
 
 @query("ent15_event_table", """
-    SELECT 'violation' AS kind, bin, issue_date AS date, round(penalty, 4) AS penalty, NULL AS contractor_id, NULL AS category FROM violations
-    UNION ALL SELECT 'permit', bin, filing_date, NULL, contractor_id, NULL FROM jobs
-    UNION ALL SELECT 'complaint', bin, date_entered, NULL, NULL, category FROM complaints""")
+    SELECT 'violation' AS kind, bin, issue_date AS date, round(penalty, 4) AS penalty, NULL AS contractor_id, NULL AS category, NULL AS case_type, NULL AS class, NULL AS occupancy FROM violations
+    UNION ALL SELECT 'permit', bin, filing_date, NULL, contractor_id, NULL, NULL, NULL, NULL FROM jobs
+    UNION ALL SELECT 'complaint', bin, date_entered, NULL, NULL, category, NULL, NULL, NULL FROM complaints
+    UNION ALL SELECT 'litigation', o_orderkey, CAST(o_orderdate AS DATE), round(o_totalprice, 4), NULL, NULL, o_orderpriority, NULL, NULL FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')
+    UNION ALL SELECT 'maintenance', l_orderkey, CAST(l_shipdate AS DATE), NULL, l_suppkey, NULL, NULL, chr(CAST(65 + l_linenumber % 3 AS INTEGER)), NULL FROM lineitem WHERE l_linestatus = 'F'
+    UNION ALL SELECT 'certificate', o_orderkey, CAST(o_orderdate AS DATE), NULL, NULL, NULL, NULL, NULL, o_orderstatus FROM orders WHERE o_orderstatus <> 'O'""")
 def ent15(r: Roles):
+    day = lambda c: F.col(c).cast("date").alias("date")
+    cases = r.table("orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    upkeep = r.table("lineitem").filter("l_linestatus = 'F'")
+    finished = r.table("orders").filter("o_orderstatus <> 'O'")
     return op.event_table({
         "violation": r.violations().select("bin", F.col("issue_date").alias("date"), F.round("penalty", 4).alias("penalty")),
         "permit": r.jobs().select("bin", F.col("filing_date").alias("date"), "contractor_id"),
         "complaint": r.complaints().select("bin", F.col("date_entered").alias("date"), "category"),
+        "litigation": cases.select(
+            F.col("o_orderkey").alias("bin"), day("o_orderdate"), F.round("o_totalprice", 4).alias("penalty"), F.col("o_orderpriority").alias("case_type")),
+        "maintenance": upkeep.select(
+            F.col("l_orderkey").alias("bin"), day("l_shipdate"), F.col("l_suppkey").alias("contractor_id"), F.char(65 + F.col("l_linenumber") % 3).alias("class")),
+        "certificate": finished.select(F.col("o_orderkey").alias("bin"), day("o_orderdate"), F.col("o_orderstatus").alias("occupancy")),
     })

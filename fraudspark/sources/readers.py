@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fraudspark.functions.patterns import dataset_category
@@ -58,6 +58,30 @@ def first_rows(df: DataFrame, n: int = 10_000) -> DataFrame:
     return df.limit(n)
 
 
+def load_cap(files: DataFrame, cap: int) -> DataFrame:
+    """The first `cap` rows of file scan `files`, files in the order of their paths and rows in the order of a file.
+
+    Rows are counted by file and block; counts are summed up in path order, whole blocks before the cap are taken
+    and the one in which it lies is cut. Only one row for each block is ordered. `files` is a scan without filters.
+    """
+    at = F.col("_metadata")
+    rows = files.select("*", at["file_path"].alias("_path"), at["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = rows.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("_path", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    placed = rows.join(starts, ["_path", "_block"])
+    return placed.filter(F.col("_at") + F.col("_shift") < cap).select(*files.columns)
+
+
+def sampled(df: DataFrame, keys: Sequence[str], share: float, *, seed: str = "sample") -> DataFrame:
+    """Rows whose hash of the seed and the keys is in the lowest `share`: the same ones at any partitioning and in any run.
+
+    Rows with equal keys are in or out together; NULL counts as an empty text.
+    """
+    text = F.concat_ws("\x1f", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return df.filter(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") < int(share * (1 << 32)))
+
+
 def since(df: DataFrame, date: str, last_load: str, *, overlap_days: int = 1) -> DataFrame:
     """Rows from the last load on, with an overlap for late records."""
     return df.filter(F.col(date) >= F.date_sub(F.lit(last_load).cast("date"), overlap_days))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import StructType
 
-from fraudspark.operators.scoring import ALERT_STATUSES, create_alerts, score
+from fraudspark.operators.scoring import create_alerts, current_status, score
+from fraudspark.streaming.sinks import append_rows, finish
 
 
 def file_stream(
@@ -55,6 +53,36 @@ def sessions(events: DataFrame, key: str, ts: str, *, gap: str = "30 minutes", d
     )
 
 
+def closed_sessions(arrivals: Iterable[DataFrame], path: str, key: str, ts: str, *, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """Sessions over all `arrivals`, also those open when the last one ends.
+
+    Each arrival is landed in `path` and read by a run from the checkpoint of the one before. At last a mark without a
+    key is landed, far enough behind the latest event that the watermark passes the end of every session.
+    Rows without a key or a time are in no session.
+    """
+    spark, schema, latest = None, None, None
+    for arrived in arrivals:
+        spark, schema = arrived.sparkSession, arrived.schema
+        arrived.write.mode("append").parquet(f"{path}/landed")
+        last = arrived.agg(F.max(ts)).first()[0]
+        latest = last if latest is None or (last is not None and last > latest) else latest
+        _sessions_run(spark, path, schema, key, ts, gap, delay)
+    if spark is None:
+        raise ValueError("no arrivals")
+    if latest is not None:
+        after = F.lit(latest) + F.expr(f"INTERVAL {gap}") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 SECOND")
+        mark = [(after if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
+        spark.range(1).select(*mark).write.mode("append").parquet(f"{path}/landed")
+        _sessions_run(spark, path, schema, key, ts, gap, delay)
+    kept = sessions(file_stream(spark, f"{path}/landed", schema), key, ts, gap=gap, delay=delay).schema
+    return spark.read.schema(kept).parquet(f"{path}/rows").filter(F.col(key).isNotNull())
+
+
+def _sessions_run(spark: SparkSession, path: str, schema: StructType, key: str, ts: str, gap: str, delay: str) -> None:
+    found = sessions(file_stream(spark, f"{path}/landed", schema), key, ts, gap=gap, delay=delay)
+    finish(append_rows(found, f"{path}/rows", f"{path}/checkpoint"))
+
+
 def without_repeats(events: DataFrame, keys: list[str], ts: str, *, delay: str = "1 day") -> DataFrame:
     """Drop records that arrive again within the overlap of incremental loads."""
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
@@ -73,61 +101,10 @@ def followed_by(
 
 # --- alert states -----------------------------------------------------------------------------
 
-STATE = StructType([
-    StructField("status", StringType()), StructField("changed_at", TimestampType()),
-    StructField("change_id", LongType()), StructField("n_changes", LongType()),
-])
-LIFECYCLE = "alert_id bigint, status string, changed_at timestamp, n_changes bigint"
-
-
-class AlertLifecycle(StatefulProcessor):
-    """Keeps the latest valid status of each alert.
-
-    The outcome does not depend on the order of rows, so a hot alert may arrive in any number of
-    Arrow batches; only its current state is held.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("alert", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        status, at, change, n = self.state.get() if self.state.exists() else (None, None, -1, 0)
-        for batch in rows:
-            valid = batch[batch["status"].isin(ALERT_STATUSES)]
-            if valid.empty:
-                continue
-            n += len(valid)
-            last = valid.sort_values(["changed_at", "change_id"]).iloc[-1]
-            when = last["changed_at"].to_pydatetime()
-            if at is None or (when, int(last["change_id"])) > (at, change):
-                status, at, change = last["status"], when, int(last["change_id"])
-        if n:
-            self.state.update((status, at, change, n))
-            yield pd.DataFrame({"alert_id": [key[0]], "status": [status], "changed_at": [at], "n_changes": [n]})
-
-    def close(self) -> None:
-        pass
-
-
 def alert_states(changes: DataFrame) -> DataFrame:
     """The state of each alert after each batch of changes(alert_id, status, changed_at, change_id).
 
-    Needs the RocksDB state store: start it inside `rocksdb_state`.
+    An aggregate that stays in the JVM: the latest valid status is a maximum, so a hot alert is added up in
+    parts and the order of arrival does not matter.
     """
-    return changes.groupBy("alert_id").transformWithStateInPandas(
-        statefulProcessor=AlertLifecycle(), outputStructType=LIFECYCLE, outputMode="Update", timeMode="None"
-    )
-
-
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-
-
-@contextmanager
-def rocksdb_state(spark: SparkSession):
-    """Streams started inside keep their state in RocksDB."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+    return current_status(changes)

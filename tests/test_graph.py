@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fraudspark.operators import graph, joins
+from fraudspark.operators import communities, graph, joins
 from fraudspark.operators.filters import edges_between
 
 
@@ -55,7 +55,7 @@ def cliques(spark):
 
 def test_modularity_communities(spark):
     edges = cliques(spark)
-    found = graph.modularity_communities(edges).select("node", "label")
+    found = communities.modularity_communities(edges).select("node", "label")
     groups = {}
     for r in found.collect():
         groups.setdefault(r.label, set()).add(r.node)
@@ -67,7 +67,7 @@ def test_modularity_communities(spark):
 
 def test_consensus_and_spectral(spark):
     edges = cliques(spark)
-    runs = graph.multi_resolution(edges, rounds=4)
+    runs = communities.multi_resolution(edges)
     assert runs.select("run").distinct().count() == 10 and runs.count() == 100
     assert graph.consensus(edges, runs).count() == 10
     split = {r.node: r.label for r in graph.spectral_communities(edges, 2).collect()}

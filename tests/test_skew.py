@@ -1,16 +1,16 @@
 """Hot keys: the ways taken for large groups give the same rows as the plain ones."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from fraudspark.operators import patterns, temporal
-from fraudspark.operators.documents import project_documents
+from fraudspark.operators.documents import project_documents, project_records
 from fraudspark.operators.ordered import quantiles, range_counts, running
 from fraudspark.operators.entities import potential_shells
 from fraudspark.operators.pairs import group_members, similar_strings
-from fraudspark.operators.parts import collect_parts
 from fraudspark.session import cut_lineage
 
 
@@ -41,12 +41,41 @@ def test_range_counts(hot):
 
 def test_quantiles(hot):
     cuts = {"q1": 0.25, "m": 0.5, "q3": 0.75}
-    got = quantiles(hot, ["user_id"], "value", cuts, group_limit=5)
+    got = quantiles(hot, ["user_id"], "value", cuts)
     want = hot.groupBy("user_id").agg(*[F.percentile("value", q).alias(n) for n, q in cuts.items()])
     rounded = lambda df: df.select("user_id", *[F.round(c, 6).alias(c) for c in cuts])
     assert same(rounded(want), rounded(got))
 
 
+def test_quantiles_of_odd_numbers(spark):
+    """Neighbouring doubles, all exponents, signs, zeros, infinities, NaN, NULL keys and values."""
+    draw = random.Random(4)
+    odd = [0.0, -0.0, float("inf"), -float("inf"), float("nan"), 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308]
+    for k in range(-1074, 1024, 3):
+        x = 2.0 ** k
+        odd += [x, math.nextafter(x, 0), math.nextafter(x, math.inf), -x, -math.nextafter(x, 0)]
+    rows = [(key, v) for key in ("a", None) for v in odd + [draw.gauss(0, 1) for _ in range(50)]] + [("b", None), ("c", None), ("c", 2.5)]
+    rows += [("h", float(draw.randrange(4))) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "key string, v double").repartition(5)
+    cuts = {f"q{i}": i / 40 for i in range(41)}
+    got = {r.key: r for r in quantiles(df, ["key"], "v", cuts, ends=True).collect()}
+    by_key = {}
+    for key, v in rows:
+        if v is not None:
+            by_key.setdefault(key, []).append(v)
+    assert set(got) == set(by_key)
+    order = lambda v: (math.isnan(v), 0.0 if math.isnan(v) else v)
+    same_number = lambda x, y: x == y or (math.isnan(x) and math.isnan(y))
+    for key, values in by_key.items():
+        values = sorted(values, key=order)
+        assert got[key].n == len(values) and same_number(got[key].low, values[0]) and same_number(got[key].high, values[-1])
+        for name, q in cuts.items():
+            at = (len(values) - 1) * q
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            want = low if at == math.floor(at) or low == high else low + (high - low) * (at - math.floor(at))
+            assert same_number(got[key][name], want), (key, name)
+
+
 def test_follow_ups_golden(spark):
     rows = [(f"2024-{d} 00:00:00", i, c) for i, (d, c) in enumerate([("01-01", "Fast"), ("01-05", "Fast"), ("01-10", "Fast"), ("02-01", "Normal"), ("03-15", "Normal")])]
     events = spark.createDataFrame(rows, "t string, id int, entity string").select(F.col("t").cast("timestamp").alias("ts"), "id", "entity")
@@ -113,11 +142,16 @@ def test_similar_strings(spark, k, limit):
     assert {tuple(r) for r in similar_strings(df, "s", k, bucket_limit=limit).collect()} == want
 
 
-def test_parts_hold_everything(hot):
-    got = collect_parts(hot, ["user_id"], {"ids": F.col("event_id")}, F.col("event_id"), part_size=50)
-    sizes = got.select("user_id", "n_parts", F.size("ids").alias("n"), "ids").collect()
-    assert max(r.n for r in sizes) < 120
-    assert sorted(i for r in sizes for i in r.ids) == sorted(r[0] for r in hot.select("event_id").collect())
+@pytest.mark.parametrize("limit", [256, 5])
+def test_similar_strings_with_a_segment_in_all(spark, limit):
+    """One long part is common to all strings, so are two, and lengths differ."""
+    rng = random.Random(11)
+    words = {f"{rng.randint(1, 400)} {rng.choice(['main', 'mian', 'elm', 'oak'])} street new york ny 10{rng.randint(0, 9)}00" for _ in range(220)}
+    words |= {w[1:] for w in list(words)[:30]} | {w + "ab" for w in list(words)[:30]}
+    df = spark.createDataFrame([(w,) for w in words], "s string")
+    ordered = sorted(words)
+    want = {(a, b, d) for i, a in enumerate(ordered) for b in ordered[i + 1:] if abs(len(a) - len(b)) <= 3 and (d := distance(a, b)) <= 3}
+    assert {tuple(r) for r in similar_strings(df, "s", 3, bucket_limit=limit).collect()} == want
 
 
 @pytest.mark.parametrize("block_size", [2, 64])
@@ -138,9 +172,14 @@ def test_crowded_properties(spark, block_size):
     assert {(r.a, r.b): (r.times, r.n_properties) for r in often} == {k: v for k, v in want.items() if v[0] >= 2}
 
 
-def test_project_parts(hot):
+def test_project_records(hot):
+    """A building with a third of all records has one head and as many rows, numbered without gaps."""
     rows = hot.select(F.col("user_id").alias("bin"), F.col("event_id").alias("id"), F.col("ts").cast("date").alias("date"), F.col("event_type").alias("category"))
-    docs = project_documents(rows, rows.filter("id % 5 = 0"), rows.limit(0), part_size=40).collect()
-    hot_docs = [d for d in docs if d.bin == -1]
-    assert len(hot_docs) > 1 and len({d.project_summary for d in hot_docs}) == 1
-    assert sum(len(d.permits) for d in docs) == rows.count() and sum(len(d.violations) for d in docs) == rows.filter("id % 5 = 0").count()
+    args = rows, rows.filter("id % 5 = 0"), rows.limit(0)
+    heads = {d.bin: d for d in project_documents(*args).collect()}
+    counts = project_records(*args).groupBy("bin").agg(
+        F.count("*").alias("n"), F.max("position").alias("last"), F.countDistinct("position").alias("places"),
+        F.count_if(F.col("kind") == "violation").alias("violations")).collect()
+    assert all(c.n == c.last == c.places for c in counts) and sum(c.n for c in counts) == rows.count() + args[1].count()
+    assert all(heads[c.bin].n_permits + c.violations == c.n and heads[c.bin].n_violations == c.violations for c in counts if c.bin in heads)
+    assert {c.bin for c in counts if c.n > 1} == set(heads)
