@@ -87,6 +87,9 @@ def _text_shape(text: str) -> tuple[str, str]:
     return words, str(int(np.log2(1 + 1000 * digits / max(1, len(text)))))
 
 
+_SIZES = [str(n.bit_length()) for n in range(21)]
+
+
 def _name(name: str) -> int:
     return xxhash.xxh32_intdigest(name) % WIDTH
 
@@ -94,7 +97,7 @@ def _name(name: str) -> int:
 class Words:
     """What a word alone gives: its pieces' features, and those it gives to its neighbours."""
 
-    KEPT, LONGEST = 1 << 17, 64
+    KEPT, LONGEST = 1 << 18, 64
     P, N, W, B, B2, A, F, D = 2, 3, 5, 10, 11, 12, 13, 14
     #: By file features, and at the ends of a text.
     START, END = [_name(x) for x in ("p^", "n$", "b^", "b2^", "a^")], [_name(x) for x in ("p^", "n$", "b$", "b2$", "a$")]
@@ -105,13 +108,21 @@ class Words:
 
     def of(self, word: str) -> tuple[np.ndarray, tuple]:
         """(features of its pieces, names as (previous, next, left, left of left, right) of another word)."""
-        pieces, low = PIECE.findall(word), word.lower()
-        key = (min(len(word), 63) // 4, NOT_HEX.search(low) is None, *map(_shape, pieces))
-        rows, last, first = self.shapes.get(key) or self.of_shape(key)
-        rows = rows.copy()
-        rows[:, self.W] = [xxhash.xxh32_intdigest("w" + p.lower()[:8]) % WIDTH for p in pieces]
-        low = low[:12]
-        made = rows, (last, first, *(xxhash.xxh32_intdigest(x + low) % WIDTH for x in ("b", "b2", "a")))
+        low = word.lower()
+        whole = xxhash.xxh3_64_intdigest(low[:12])
+        if word.isalpha() and word.isascii():  # one piece, as most words are
+            size = len(word)
+            key = (min(size, 63) // 4, max(low) <= "f", ("a" if word == low else "A" if word.isupper() else "m") + _SIZES[min(size, 20)])
+            rows, last, first = self.shapes.get(key) or self.of_shape(key)
+            rows = rows.copy()
+            rows[0, self.W] = (whole if size <= 8 else xxhash.xxh3_64_intdigest(low[:8])) >> 36 & WIDTH - 1
+        else:
+            pieces = PIECE.findall(word)
+            key = (min(len(word), 63) // 4, NOT_HEX.search(low) is None, *map(_shape, pieces))
+            rows, last, first = self.shapes.get(key) or self.of_shape(key)
+            rows = rows.copy()
+            rows[:, self.W] = [xxhash.xxh3_64_intdigest(p.lower()[:8]) >> 36 & WIDTH - 1 for p in pieces]
+        made = rows, (last, first, whole & WIDTH - 1, whole >> 12 & WIDTH - 1, whole >> 24 & WIDTH - 1)
         if len(word) <= self.LONGEST:
             if len(self.known) >= self.KEPT:
                 self.known.clear()
