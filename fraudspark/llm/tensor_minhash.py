@@ -35,6 +35,8 @@ from fraudspark.session import cut_lineage
 ROWS, MISSED = 4, 1 / 60_000
 WORDS = 5
 BLOCK = 256
+#: 64-bit words of the filter that keeps other texts from the network: 2 MB.
+FILTER_WORDS = 1 << 18
 
 
 def n_bands(percent: int) -> int:
@@ -107,14 +109,14 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     """(src, dst): every class that shares a table with others, to the smallest class of the table."""
     single = classes.select("rep", (F.size("bands") / 2).alias("half"), F.posexplode("bands").alias("pos", "key"))
     shared = single.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    kept = single.join(shared, "key").groupBy("rep").agg(
+    kept = single.join(shared.hint("merge"), "key").groupBy("rep").agg(
         F.collect_list(F.when(F.col("pos") < F.col("half"), F.col("key"))).alias("left"),
         F.collect_list(F.when(F.col("pos") >= F.col("half"), F.col("key"))).alias("right"),
     )
     tables = kept.select("rep", F.explode("left").alias("l"), "right").select("rep", "l", F.explode("right").alias("r"))
     tables = cut_lineage(tables.select("rep", F.xxhash64("l", "r").alias("key")), "tables")
     first = tables.groupBy("key").agg(F.min("rep").alias("dst"), F.count("*").alias("n")).filter("n > 1").select("key", "dst")
-    return tables.join(first, "key").filter("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct()
+    return tables.join(first.hint("merge"), "key").filter("rep <> dst").select(F.col("rep").alias("src"), "dst").distinct()
 
 
 def _forest(ids: list, sets: list[np.ndarray], sides: list[int] | None, percent: int) -> list[tuple]:
@@ -159,11 +161,24 @@ def _forest(ids: list, sets: list[np.ndarray], sides: list[int] | None, percent:
     return out
 
 
+def _likely_members(docs: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
+    """Rows of `docs` whose id is among `ids`, and few others: a Bloom filter of FILTER_WORDS 64-bit words, whatever their number."""
+    h = lambda c: F.xxhash64(c)
+    word = lambda c: F.pmod(h(c), F.lit(FILTER_WORDS)).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h(c), 40), F.lit(64)).cast("int"))
+    marks = ids.select(word(F.col("node")).alias("_word"), bit(F.col("node")).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    # At most FILTER_WORDS rows of twelve bytes.
+    found = docs.withColumn("_word", word(F.col(id_column))).join(F.broadcast(marks), "_word")
+    return found.filter(F.col("_bits").bitwiseAND(bit(F.col(id_column))) != 0).select(*docs.columns)
+
+
 def confirmed_links(docs: DataFrame, clusters: DataFrame, *, id_column: str, text_column: str, percent: int) -> DataFrame:
     """(src, dst) links of at least `percent` similarity that connect what all such links within clusters connect."""
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = clusters.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(id_column).alias("node"), F.col(text_column).alias("text")).join(members, "node")
+    # Only texts that can be a member's cross the network; the plan is the same at every size.
+    likely = _likely_members(docs.select(F.col(id_column).alias("node"), F.col(text_column).alias("text")), clusters.select("node"), "node")
+    texts = likely.join(members.hint("merge"), "node")
     kind = docs.schema[id_column].dataType.simpleString()
 
     def make():
@@ -198,10 +213,10 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     clusters = cut_lineage(connected_components(candidate_links(classes)), "clusters")
     links = confirmed_links(docs, clusters, id_column=id_column, text_column=text_column, percent=percent)
     found = connected_components(cut_lineage(links, "links")).select(F.col("node").alias("rep"), "component")
-    roots = cut_lineage(classes.select("digest", "rep").join(found, "rep", "left").select(
+    roots = cut_lineage(classes.select("digest", "rep").join(found.hint("merge"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("root")), "roots")
     component = F.when(F.col("id").isNotNull(), F.least(F.col("root"), F.col("id")))
-    return rows.select("id", "n_shingles", "digest").join(roots, "digest", "left").select(
+    return rows.select("id", "n_shingles", "digest").join(roots.hint("merge"), "digest", "left").select(
         F.col("id").alias(id_column), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
