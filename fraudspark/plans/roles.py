@@ -56,6 +56,8 @@ def with_roles(sql: str) -> str:
         return sql
     heads = ", ".join(f"{r} AS ({ROLE_SQL[r]})" for r in ROLE_SQL if r in wanted)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {heads}, {body[5:]}"
     return f"WITH {heads} {body}"
