@@ -49,17 +49,31 @@ def group_counts(docs: DataFrame, *, least_docs: int = LEAST_DOCS) -> DataFrame:
 
     docs(lang, source, text).
     """
-    split = docs.select("lang", "source", terms(F.col("text")).alias("terms"))
+    group, named = _group_keys(docs)
+    split = docs.select(group.alias("group"), terms(F.col("text")).alias("terms"))
     slices = 1
     while True:
         try:
-            return reduce(DataFrame.unionByName, [_slice_counts(split, least_docs, slices, part) for part in range(slices)])
+            counted = reduce(DataFrame.unionByName, [_slice_counts(split, least_docs, slices, part) for part in range(slices)])
+            return counted.join(named, "group").select("lang", "source", "term", "n", "docs")
         except Exception as error:
             if "maxResultSize" not in str(error):
                 raise
             slices *= 2
 
 
+def _group_keys(docs: DataFrame) -> tuple[Column, DataFrame]:
+    """One number for each (lang, source), which rows are summed up by, and (group, lang, source): a hash with the
+    first seed that gives no two groups the same number."""
+    groups, seed = cut_lineage(docs.select("lang", "source").distinct(), "groups"), 0
+    while True:
+        key = F.xxhash64(F.lit(seed), F.col("lang"), F.col("source"))
+        found = groups.agg(F.countDistinct(key).alias("keys"), F.count("*").alias("groups")).first()
+        if found["keys"] == found["groups"]:
+            return key, groups.withColumn("group", key)
+        seed += 1
+
+
 def _slice_counts(split: DataFrame, least_docs: int, slices: int, part: int) -> DataFrame:
     spark = split.sparkSession
     if slices > 1:
@@ -70,15 +84,15 @@ def _slice_counts(split: DataFrame, least_docs: int, slices: int, part: int) ->
     except IllegalArgumentException as error:
         if "vocabulary size" not in str(error):
             raise
-        return spark.createDataFrame([], "lang string, source string, term string, n long, docs long")  # no term is frequent enough
+        return spark.createDataFrame([], "group long, term string, n long, docs long")  # no term is frequent enough
     entries = F.unwrap_udt("vector")
-    sparse = model.transform(split).select("lang", "source", F.explode(F.arrays_zip(entries["indices"], entries["values"])).alias("e"))
-    sums = sparse.groupBy("lang", "source", F.col("e.indices").alias("at")).agg(
+    sparse = model.transform(split).select("group", F.explode(F.arrays_zip(entries["indices"], entries["values"])).alias("e"))
+    sums = sparse.groupBy("group", F.col("e.indices").alias("at")).agg(
         F.sum(F.col("e.values").cast("long")).alias("n"), F.count("*").alias("docs"))
     sums = cut_lineage(sums, "group-sums")
     known = model.vocabulary
     words = pa.table({"at": pa.array(range(len(known)), pa.int32()), "term": pa.array(known, pa.string())})
-    return sums.join(spark.createDataFrame(words), "at").select("lang", "source", "term", "n", "docs")
+    return sums.join(spark.createDataFrame(words), "at").select("group", "term", "n", "docs")
 
 
 def shares(counts: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
