@@ -237,13 +237,17 @@ def multi_resolution(edges: DataFrame) -> DataFrame:
     return modularity_communities(edges, resolutions=resolution_steps())
 
 
+#: Others join mutually best pairs in a round where less than this share of the communities that wish to merge is in one.
+JOIN_BELOW = 0.25
+
+
 def greedy_communities(edges: DataFrame) -> DataFrame:
     """(node, label): communities merged while modularity rises, the best merges of a neighbourhood first.
 
     In a round, pairs that are each other's best merge; the gain of a merge depends on its two communities
-    alone, so disjoint merges add up exactly. Communities whose best is in such a pair join it in the same round where
-    that still raises modularity after all others of the round that join it, so a hub takes in many at once.
-    Of equal gains, a hash decides. The best pair of all is always merged, and the rounds end when
+    alone, so disjoint merges add up exactly. Where such pairs are few, as around a hub, communities whose best is in a
+    pair join it in the same round if that still raises modularity after all others of the round that join it. So
+    a round takes in a share of all communities, at the price of not being the sequential order. Of equal gains, a hash decides. The best pair of all is always merged, and the rounds end when
     no merge raises modularity.
     """
     total = 2.0 * (edges.agg(F.sum("weight")).first()[0] or 1.0)
@@ -264,16 +268,20 @@ def greedy_communities(edges: DataFrame) -> DataFrame:
         wishes.replace(best)
         back = wishes.df.select(F.col("node").alias("other"), F.col("other").alias("node"))
         mates = wishes.df.join(back, ["node", "other"]).select("node", F.least("node", "other").alias("root"), F.col("other_k").alias("mate_k"))
-        if pairs.replace(mates).isEmpty():
+        paired = pairs.replace(mates).count()
+        if not paired:
             return placed.df
-        asks = wishes.df.join(pairs.df.select("node"), "node", "left_anti").join(pairs.df.withColumnRenamed("node", "other"), "other")
-        asks = asks.select("node", "root", "gain", "k", "mate_k")
-        crowd = asks.groupBy("root").agg(F.sum("gain").alias("g"), F.sum("k").alias("s"))
-        few = F.least(F.lit(1.0), F.col("g") * total / (F.col("s") * F.col("s")))
-        drawn.replace(asks.join(crowd, "root").filter(_drawn(turn) < few).drop("g", "s"))
-        others = drawn.df.join(drawn.df.groupBy("root").agg(F.sum("k").alias("s")), "root")
-        join = others.filter(F.col("gain") - F.col("k") * (F.col("s") - F.col("k") + F.col("mate_k")) / total > NOISE * total)
-        into.replace(pairs.df.filter("node <> root").select("node", "root").unionByName(join.select("node", "root")))
+        merges = pairs.df.filter("node <> root").select("node", "root")
+        if JOIN_BELOW * wishes.df.count() > paired:
+            asks = wishes.df.join(pairs.df.select("node"), "node", "left_anti").join(pairs.df.withColumnRenamed("node", "other"), "other")
+            asks = asks.select("node", "root", "gain", "k", "mate_k")
+            crowd = asks.groupBy("root").agg(F.sum("gain").alias("g"), F.sum("k").alias("s"))
+            few = F.least(F.lit(1.0), F.col("g") * total / (F.col("s") * F.col("s")))
+            drawn.replace(asks.join(crowd, "root").filter(_drawn(turn) < few).drop("g", "s"))
+            others = drawn.df.join(drawn.df.groupBy("root").agg(F.sum("k").alias("s")), "root")
+            join = others.filter(F.col("gain") - F.col("k") * (F.col("s") - F.col("k") + F.col("mate_k")) / total > NOISE * total)
+            merges = merges.unionByName(join.select("node", "root"))
+        into.replace(merges)
         to = lambda df, c: df.join(into.df.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
         sizes.replace(to(sizes.df, "node").groupBy("node").agg(F.sum("k").alias("k")))
         moved = to(to(links.df, "src"), "dst")
