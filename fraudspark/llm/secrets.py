@@ -373,16 +373,17 @@ def _texts_to_learn_from(docs: DataFrame, text_column: str, count: int) -> DataF
     `_share` is how many different texts of its kind one of them stands for. Only hashes are compared over
     the whole table, in the executors; two numbers a kind reach the driver.
     """
-    sign = F.col("_t").rlike(SIGN)
-    marked = docs.select(F.col(text_column).alias("_t")).filter("_t is not null").withColumn("_m", F.shiftrightunsigned(F.xxhash64("_t"), 1))
-    out = None
-    for kind in (marked.filter(sign), marked.filter(~sign)):
-        lowest = kind.select("_m").distinct().orderBy("_m").limit(count).agg(F.max("_m").alias("top"), F.count("*").alias("n")).first()
+    texts = docs.select(F.col(text_column).alias("_t")).filter("_t is not null").withColumn("_m", F.shiftrightunsigned(F.xxhash64("_t"), 1))
+    marks = cut_lineage(texts.select("_m", F.col("_t").rlike(SIGN).alias("sign")).distinct(), "marks")
+    wanted = None
+    for kind in (marks.filter("sign"), marks.filter("not sign")):
+        lowest = kind.orderBy("_m").limit(count).agg(F.max("_m").alias("top"), F.count("*").alias("n")).first()
         share = 1.0 if lowest["n"] < count else max(1.0, 2.0 ** 63 / (lowest["top"] + 1))
-        chosen = kind.filter(F.col("_m") <= F.lit(lowest["top"])).groupBy("_m").agg(F.first("_t").alias("_t"))
-        chosen = chosen.select("_t", F.lit(share).alias("_share"))
-        out = chosen if out is None else out.unionByName(chosen)
-    return out
+        own = kind.filter(F.col("_m") <= F.lit(lowest["top"])).select("_m", F.lit(share).alias("_share"))
+        wanted = own if wanted is None else wanted.unionByName(own)
+    # At most 2 x `count` rows.
+    chosen = texts.join(F.broadcast(wanted), "_m")
+    return chosen.groupBy("_m").agg(F.first("_t").alias("_t"), F.first("_share").alias("_share")).select("_t", "_share")
 
 
 def train(docs: DataFrame, *, text_column: str = "text", sample: int = 3000, longest: int = 64, texts: int = 3000) -> Field:
