@@ -316,9 +316,13 @@ class Field:
         barred = np.where(told[open_][:, :, None] & (truth[open_] == 0), -1e6, 0.0)
         pairs = truth[:, :-1, :, None] * truth[:, 1:, None, :]
         seen_emit, seen_step = np.full(self.emit.shape, 1e-6), np.full(self.step.shape, 1e-6)
-        flat = idx[real].ravel()
+        cells = idx[real]
+        flat, by_feature, score = cells.ravel(), np.ascontiguousarray(cells.T), np.zeros((n, longest, 3))
         for _ in range(rounds):
-            score = np.vstack([self.emit, np.zeros(3)])[idx].sum(axis=2)
+            table, summed = np.vstack([self.emit, np.zeros(3)]), np.zeros((len(cells), 3))
+            for column in by_feature:
+                summed += table[column]
+            score[real] = summed
             share, both = self._expected(score, real)
             if open_.any():
                 truth[open_], pairs[open_] = self._expected(score[open_] + barred, real[open_])
